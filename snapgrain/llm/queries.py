@@ -25,6 +25,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), encoder, capacity=2048, closing=0)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import encode
 
@@ -43,6 +49,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import kept_digests
+
+    return kept_digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -55,7 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours_and_edits(_table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_bpe, op5_license_scan, op7_warc, op9_exact_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_jaccard_join, op4_bpe, op5_license_scan, op7_warc, op8_substring_dedup, op9_exact_dedup, op10_fingerprints)}
 
 ORACLE = {
     "op9_exact_dedup": """
