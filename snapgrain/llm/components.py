@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settled
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b); component is the smallest node that is reachable.
@@ -13,14 +14,15 @@ def components(links: DataFrame) -> DataFrame:
     links, and the least neighbour of a node is pre-aggregated before it is exchanged.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    n = edges.count()  # no step makes more links than these
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m")).checkpoint()
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct().checkpoint()
-        least = large.groupBy("a").agg(F.min("b").alias("_m")).checkpoint()
+        least = settled(both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m")), n)
+        large = settled(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct(), n)
+        least = settled(large.groupBy("a").agg(F.min("b").alias("_m")), n)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select("a", F.col("_m").alias("b")))
-        edges = small.where("a <> b").distinct().checkpoint()
+        edges = settled(small.where("a <> b").distinct(), n)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

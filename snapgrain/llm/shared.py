@@ -39,6 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a light table that one partition holds at least, so that small tables are not spread over many tiny files.
+LIGHT_ROWS = 100_000
+
+
+def settled(df: DataFrame, rows: int) -> DataFrame:
+    """df, a light table of at most about that many rows, checkpointed in as few partitions as suit them."""
+    return df.coalesce(max(1, -(-rows // LIGHT_ROWS))).checkpoint()
+
+
 def small_batches(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import buffers, new_path, shared_dir, small_batches, stored
+from .shared import buffers, new_path, settled, shared_dir, small_batches, stored
 
 MAGIC = "WARC/1.0\r\n"
 #: Revisit rows that may be broadcast (under 100 bytes each); with more, the join is shuffled.
@@ -126,19 +126,20 @@ NAMES = ["file", "block", "file_size", "k", "place", "unit", "takes", "whole", "
 
 def reachable(edges: DataFrame) -> DataFrame:
     """(file, off) of every offset on the chain from offset 0 of its file; edges: (file, off, succ)."""
-    jump = edges.where("succ is not null").checkpoint()
-    found = jump.where("off = 0").select("file", "off").checkpoint()
+    size = edges.count()
+    jump = settled(edges.where("succ is not null"), size)
+    found = settled(jump.where("off = 0").select("file", "off"), size)
     n = found.count()
     while True:
         step = found.join(jump, ["file", "off"]).select("file", F.col("succ").alias("off"))
-        found = found.unionByName(step).distinct().checkpoint()
+        found = settled(found.unionByName(step).distinct(), size)
         now = found.count()
         if now == n:
             # the last step of each chain is the end of its file, which is no record
             return found.join(edges.select("file", "off"), ["file", "off"], "left_semi")
         n = now
         far = jump.select("file", F.col("off").alias("succ"), F.col("succ").alias("_far"))
-        jump = jump.join(far, ["file", "succ"]).select("file", "off", F.col("_far").alias("succ")).checkpoint()
+        jump = settled(jump.join(far, ["file", "succ"]).select("file", "off", F.col("_far").alias("succ")), size)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +153,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     total = Window.partitionBy("file")
     blocks = blocks.select("file", "block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), (F.sum("_size").over(total) == F.col("file_size")).alias("_fits"))
     placed = cuts.join(blocks, ["file", "block"]).withColumn("off", F.when(F.col("_fits"), F.col("_base") + F.col("place")).otherwise(F.raise_error("cuts do not add up to their file")))
-    placed = placed.where("not (block = 0 and k = 0)").select("file", "off", "unit", (F.col("off") + F.col("takes")).alias("succ"), "whole", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").checkpoint()
+    placed = placed.where("not (block = 0 and k = 0)").select("file", "off", "unit", (F.col("off") + F.col("takes")).alias("succ"), "whole", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    placed = settled(placed, cuts.count())
     real = placed.join(reachable(placed.select("file", "off", "succ")), ["file", "off"], "left_semi")
     fields = [c.split()[0] for c in RECORD.split(", ")]
     whole = real.where("whole and succ = off + unit").select(*fields)
