@@ -10,12 +10,16 @@ first common shingle.  There the sizes and places bound what they can share, whi
 from a count sketch of fixed size over all shingles of all documents; any order gives the same links, a good one gives
 small regions.
 
+In every region the member with the smallest id is its first pivot: the others are measured against it.  Deeper levels
+take what those links leave in more than one component: the other pairs of regions of up to ``small`` documents, and the
+larger regions, those that share members made one.
+
 Deeper levels.  A region with more than ``small`` documents elects documents as pivots and measures all its members
 against them.  A member within e of a pivot links to it, so members of one ball are one component and need no further
 comparison.  Every member belongs to the cell of its nearest pivot p, and is replicated into the cell of each pivot q with
 d(x, q) <= d(x, p) + 2e: if y in q's cell is within e of x, then d(x, q) <= d(y, q) + e <= d(y, p) + e <= d(x, p) + 2e.
-Cells whose members are all in one component are done; the others are regions again.  After ``levels`` levels what is
-left is compared exactly, in blocks of bounded size, by members of different components only.
+Cells whose members are all in one component are done; the others are regions again.  What has ``divide`` members or
+fewer, what pivots do not divide and what is left after ``levels`` levels is compared exactly, in blocks of bounded size, by members of different components only.
 
 Shingles are compared by 64-bit hashes.  A document without words has an empty set and links with nothing.  Null texts
 have no words.  Rows that repeat a doc_id should repeat its text; they count as one document in links and each get their
@@ -24,7 +28,6 @@ row.  A row without a doc_id has no component.  An empty table gives an empty re
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -34,12 +37,18 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .components import components
-from .shared import shared_dir, small_batches, stored
+from .shared import buffers, settled, shared_dir, small_batches, stored
 from .words import shingles
 
 #: Counters of the sketch that orders the shingles: 2 MB, whatever the input's size.
 SKETCH = 1 << 19
 SMALL, LEVELS, PIVOTS, BLOCK = 8, 3, 8, 64
+#: Members up to which a region is compared without dividing it.
+DIVIDE = 256
+#: Members that meet a pivot in one task, at least.
+SHARE = 128
+#: Routes (24 bytes each) that may be broadcast to the documents; with more of them, the join is shuffled.
+BROADCAST_ROUTES = 400_000
 
 
 def _sizes_and_sketch(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -96,7 +105,7 @@ def _possible(nx, px, ny, py):
 
 
 def _meet(regions: DataFrame, parts: int, small: int) -> DataFrame:
-    """(region, a, b): pairs to verify of small regions (region null), and the members a of large regions (b null)."""
+    """What the regions of level 0 ask for, by kind: 0 pairs (a, b) of a member and the region's smallest id, its pivot; 1 other pairs of small regions; 2 members a of large regions."""
 
     def run(batches):
         for _, rows in blobs.by_bucket(batches):
@@ -108,116 +117,162 @@ def _meet(regions: DataFrame, parts: int, small: int) -> DataFrame:
             key, doc, size, place = key[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             g = np.diff(np.append(head, len(key)))
-            pairs = []
-            for n in range(2, small + 1):
-                at = head[g == n]
-                for i, j in combinations(range(n), 2) if len(at) else ():
-                    x, y = at + i, at + j
-                    ok = _possible(size[x], place[x], size[y], place[y]) & (doc[x] != doc[y])
-                    pairs.append(np.stack([doc[x[ok]], doc[y[ok]]], 1))
-            if pairs and len(pairs := np.unique(np.concatenate(pairs), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["region", "a", "b"])
+
+            def possible(x, y, doc=doc, size=size, place=place):
+                ok = _possible(size[x], place[x], size[y], place[y]) & (doc[x] != doc[y])
+                return np.stack([doc[y[ok]], doc[x[ok]]], 1)
+
+            pairs = [possible(np.repeat(head, g), np.arange(len(key)))]
+            others = [possible(at + i, at + j) for n in range(3, small + 1) if len(at := head[g == n]) for i, j in combinations(range(1, n), 2)]
+            for kind, found in ((0, pairs), (1, others)):
+                if found and len(found := np.unique(np.concatenate(found), axis=0)):
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "region", "a", "b"])
             large = np.repeat(g > small, g)
             if large.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[large].view(np.int64)), pa.array(doc[large]), pa.nulls(int(large.sum()), pa.int64())], names=["region", "a", "b"])
+                n = int(large.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(key[large].view(np.int64)), pa.array(doc[large]), pa.nulls(n, pa.int64())], names=["kind", "region", "a", "b"])
 
-    return regions.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "region long, a long, b long")
+    return regions.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, region long, a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, digest, n, set binary) of the documents in wanted (id)."""
+def _sent(docs: DataFrame, routes: DataFrame, k: int) -> DataFrame:
+    """(target, share, turn, label, id, set): every document's set, once for each of its routes (id, target, share, turn, label)."""
+    listed = stored(routes.groupBy("id").agg(F.collect_list(F.struct("target", "share", "turn", "label")).alias("routes")), "routes")
+    few = routes.count() <= BROADCAST_ROUTES
+    met = docs.join(F.broadcast(listed) if few else listed, "id").select("id", "text", "routes")
 
     def run(batches):
-        for ids, flat, offsets in blobs.chunks(batches):
-            raw = [s.tobytes() for s in shingles(flat, offsets, k)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(x, digest_size=16).hexdigest() for x in raw]), pa.array([len(x) // 8 for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["id", "digest", "n", "set"])
+        for batch in batches:
+            ids, routes_ = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows = [(r["target"], r["share"], r["turn"], r["label"], i, s.tobytes()) for i, rs, s in zip(ids, routes_, shingles(*buffers(batch.column(1)), k), strict=True) for r in rs]
+            for at in range(0, len(rows), 1000):
+                columns = list(zip(*rows[at : at + 1000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS, strict=True)], names=NAMES)
 
-    rows = docs.join(wanted, "id", "left_semi").mapInArrow(run, "id long, digest string, n long, set binary")
-    return stored(rows.dropDuplicates(["id"]), "sets")
+    return met.mapInArrow(run, "target long, share int, turn int, label long, id long, set binary")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the size of their intersection and union."""
+NAMES = ["target", "share", "turn", "label", "id", "set"]
+KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, parts: int, k: int) -> DataFrame:
+    """pairs (a, b) with the sizes of their intersection and union.
+
+    The sets of all a of one b meet the set of b.  A b with many a is dealt in shares of SHARE or the root of their number, and its set goes to each share.
+    """
+    pairs = stored(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("both"), F.lit(1).cast("long").alias("any"))
+    shares = settled(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(SHARE), F.sqrt(F.count(F.lit(1))))).cast("int").alias("shares")), n)
+    none = F.lit(None).cast("long").alias("label")
+    routes = pairs.join(shares, "b").select(F.col("a").alias("id"), F.col("b").alias("target"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("turn"), none)
+    own = shares.select(F.col("b").alias("id"), F.col("b").alias("target"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"), none)
+    sent = _sent(docs, settled(routes.unionByName(own), 2 * n), k).drop("label")
 
     def run(batches):
+        now, own = None, None
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(u, v, True))
-                out.append((n, len(u) + len(v) - n))
-            columns = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b", "both", "any"])
+            for target, share, turn, i, data in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                if turn == 0:
+                    now, own = (target, share), s
+                elif now == (target, share):
+                    both = len(np.intersect1d(own, s, True))
+                    out.append((i, target, both, len(own) + len(s) - both))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "any"])
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), sets.select(F.col("id").alias("b"), F.col("set").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long, both long, any long")
+    dealt = sent.repartition(parts, "target", "share").sortWithinPartitions("target", "share", "turn")
+    return stored(dealt.mapInArrow(run, "a long, b long, both long, any long"), "verified")
 
 
 LINK = "100 * both >= 75 * any"
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (region, a) of regions that are not yet one component, with their component."""
-    label = components(links).select(F.col("node").alias("a"), "component")
-    rows = members.join(label, "a", "left").select("region", "a", F.coalesce("component", "a").alias("component")).checkpoint()
-    mixed = rows.groupBy("region").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("size")).where("_low <> _high").select("region", "size").checkpoint()
-    return rows.join(mixed, "region").checkpoint()
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(region, a, component, size): members (region, a) of the regions that are not yet one component."""
+    n = members.count()
+    rows = settled(members.join(label, "a", "left").select("region", "a", F.coalesce("component", "a").alias("component")), n)
+    mixed = settled(rows.groupBy("region").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("size")).where("_low <> _high").select("region", "size"), n)
+    return settled(rows.join(mixed, "region"), n)
+
 
+def _merged(members: DataFrame) -> DataFrame:
+    """(region, a) of regions that share members made one: a group of near copies meets in the region of each of its common shingles, and needs to be compared once."""
+    low = settled(members.groupBy("region").agg(F.min("a").alias("b")), members.count())
+    found = components(members.join(low, "region").select("a", "b"))
+    return found.select(F.col("component").alias("region"), F.col("node").alias("a"))
 
-def _divide(members: DataFrame, sets: DataFrame, level: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, members of the cells): one level of the recursion."""
+
+def _divide(docs: DataFrame, members: DataFrame, level: int, pivots: int, parts: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to pivots, members of the cells, members of regions that pivots do not divide): one level of the recursion."""
+    n = members.count()
     order = F.struct(F.xxhash64("a", F.lit(level)).alias("p"), F.col("a").alias("pivot"))
-    chosen = members.groupBy("region", F.pmod(F.xxhash64("a"), F.lit(pivots)).alias("_slot")).agg(F.min(order).alias("_p")).select("region", F.col("_p.pivot").alias("pivot")).checkpoint()
-    met = members.select("region", "a").join(chosen, "region").where("a <> pivot").checkpoint()
-    pairs = met.select("a", F.col("pivot").alias("b")).distinct()
-    measured = stored(_measured(pairs, sets), "measured")
+    chosen = settled(members.groupBy("region", F.pmod(F.xxhash64("a"), F.lit(pivots)).alias("_slot")).agg(F.min(order).alias("_p")).select("region", F.col("_p.pivot").alias("pivot")), n)
+    met = settled(members.select("region", "a").join(chosen, "region").where("a <> pivot"), n * pivots)
+    measured = _verified(docs, met.select("a", F.col("pivot").alias("b")).distinct(), parts, k)
     links = measured.where(LINK).select("a", "b")
     near = met.join(measured.select("a", F.col("b").alias("pivot"), (1 - F.col("both") / F.col("any")).alias("d")), ["a", "pivot"])
     # pivots have been compared with every member of their region and leave it
-    near = near.join(chosen.withColumnRenamed("pivot", "a"), ["region", "a"], "left_anti").checkpoint()
-    least = near.groupBy("region", "a").agg(F.min("d").alias("_d")).checkpoint()
-    cells = near.join(least, ["region", "a"]).where("d <= _d + 0.5 + 1e-9").select(F.xxhash64("region", "pivot").alias("region"), "a", (F.col("d") <= F.col("_d")).alias("home"))
-    owned = cells.groupBy("region").agg(F.max("home").alias("_any")).where("_any").select("region").checkpoint()
-    return links, cells.select("region", "a").join(owned, "region", "left_semi").distinct()
-
-
-def _compare(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among members of one region and different components, block by block; a block pair gives a spanning forest of its links."""
+    near = settled(near.join(chosen.withColumnRenamed("pivot", "a"), ["region", "a"], "left_anti"), n * pivots)
+    least = settled(near.groupBy("region", "a").agg(F.min("d").alias("_d")), n)
+    cells = near.join(least, ["region", "a"]).where("d <= _d + 0.5 + 1e-9").select(F.col("region").alias("of"), F.xxhash64("region", "pivot").alias("region"), "a", (F.col("d") <= F.col("_d")).alias("home"))
+    cells = settled(cells, n * pivots)
+    # a region whose members are about as far from all pivots falls into cells that are as large as itself: it stays whole
+    wide = settled(cells.groupBy("of").agg(F.count(F.lit(1)).alias("_rows"), F.count_if("home").alias("_homes")).where("2 * _rows > 3 * _homes").select("of"), n)
+    whole = near.select(F.col("region").alias("of"), "a").distinct().join(wide, "of", "left_semi").select(F.col("of").alias("region"), "a")
+    cells = cells.join(wide, "of", "left_anti")
+    owned = settled(cells.where("home").select("region").distinct(), n)
+    return links, settled(cells.select("region", "a").join(owned, "region", "left_semi").distinct(), n * pivots), settled(whole, n)
+
+
+def _compared(docs: DataFrame, members: DataFrame, parts: int, k: int) -> DataFrame:
+    """Links among members of one region and different components, block by block; a pair of blocks gives a spanning forest of its links."""
+
+    def forest(held):
+        parent = {label: label for _, label, _, _ in held}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (a, la, x, sa), (b, lb, y, sb) in combinations(held, 2):
+            if (sa == 0 or sa != sb) and top(la) != top(lb) and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
+                n = len(np.intersect1d(x, y, True))
+                if 100 * n >= 75 * (len(x) + len(y) - n):
+                    parent[top(la)] = top(lb)
+                    yield a, b
 
     def run(batches):
-        for table in batches:
-            rows = table.to_pylist()
-            parent = {r["component"]: r["component"] for r in rows}
-
-            def top(x, parent=parent):
-                while parent[x] != x:
-                    x = parent[x]
-                return x
-
-            held = [(r["a"], r["component"], np.frombuffer(r["set"], np.uint64), r["side"]) for r in rows]
+        now, held = None, []
+        for batch in batches:
             out = []
-            for (a, ca, x, sa), (b, cb, y, sb) in combinations(held, 2):
-                if (sa == 0 or sb == 0 or sa != sb) and top(ca) != top(cb) and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
-                    n = len(np.intersect1d(x, y, True))
-                    if 100 * n >= 75 * (len(x) + len(y) - n):
-                        parent[top(ca)] = top(cb)
-                        out.append((a, b))
+            for target, _, side, label, i, data in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
+                if target != now:
+                    out += forest(held)
+                    now, held = target, []
+                held.append((i, label, np.frombuffer(data, np.uint64), side))
             columns = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
-
-    def grouped(table: pa.Table) -> pa.Table:
-        found = list(run([table]))
-        return pa.Table.from_batches(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+        columns = list(zip(*forest(held), strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int"))
-    dealt = own.select("region", "a", "component", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("region", "a", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2).alias("side"))
-    full = dealt.join(sets.select(F.col("id").alias("a"), "set"), "a")
-    return full.groupBy("region", "_i", "_j").applyInArrow(grouped, "a long, b long")
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    target = F.xxhash64("region", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    routes = dealt.select(F.col("a").alias("id"), target.alias("target"), F.lit(0).alias("share"), side.alias("turn"), F.col("component").alias("label")).checkpoint()
+    sent = _sent(docs, routes, k).repartition(parts, "target").sortWithinPartitions("target", "turn")
+    return stored(sent.mapInArrow(run, "a long, b long"), "compared")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, small: int = SMALL, levels: int = LEVELS, pivots: int = PIVOTS) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, small: int = SMALL, levels: int = LEVELS, pivots: int = PIVOTS, divide: int = DIVIDE) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
     shared_dir(spark)
@@ -229,28 +284,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rarity = spark.sparkContext.broadcast(counts)
     known = rows.where("id is not null")
     met = stored(_meet(_regions(known, k, rarity, buckets), parts, small), "met")
-    pairs = met.where("b is not null").select("a", "b").distinct().checkpoint()
-    members = met.where("b is null").select("region", "a")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct().checkpoint()
-    sets = _sets(known, wanted, k)
-    # documents with equal sets are one point of the space
-    point = sets.groupBy("digest", "n").agg(F.min("id").alias("point")).checkpoint()
-    point = sets.select("id", "digest", "n").join(point, ["digest", "n"]).select("id", "point").checkpoint()
-    links = point.where("id <> point").select(F.col("id").alias("a"), F.col("point").alias("b")).checkpoint()
-    at = lambda c: point.select(F.col("id").alias(c), F.col("point").alias(f"_{c}"))
-    pairs = pairs.join(at("a"), "a").join(at("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct()
-    links = links.unionByName(stored(_measured(pairs, sets), "measured").where(LINK).select("a", "b"))
-    members = members.join(at("a"), "a").select("region", F.col("_a").alias("a")).distinct().checkpoint()
+    named = lambda links: components(links).select(F.col("node").alias("a"), "component")
+    links = _verified(known, met.where("kind = 0").select("a", "b").distinct(), parts, k).where(LINK).select("a", "b")
+    label = named(links)
+    other = met.where("kind = 1").select("a", "b").distinct().join(label, "a", "left").withColumnRenamed("component", "_ca")
+    other = other.join(label.select(F.col("a").alias("b"), F.col("component").alias("_cb")), "b", "left").where("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
+    links = links.unionByName(_verified(known, other, parts, k).where(LINK).select("a", "b"))
+    label = named(links)
+    members = _merged(_mixed(met.where("kind = 2").select("region", "a").distinct(), label))
+    whole = members.limit(0)
     for level in range(levels):
-        members = _labelled(members, links)
+        members = _mixed(members, named(links) if level else label)
+        if members.isEmpty():
+            break
+        whole = whole.unionByName(members.where(F.col("size") <= divide).select("region", "a"))
+        members = members.where(F.col("size") > divide)
         if members.isEmpty():
             break
-        found, members = _divide(members, sets, level, pivots)
-        links = links.unionByName(found).checkpoint()
-    else:
-        members = _labelled(members, links)
-        if not members.isEmpty():
-            links = links.unionByName(_compare(members, sets))
+        found, members, kept = _divide(known, members, level, pivots, parts, k)
+        links, whole = links.unionByName(found), whole.unionByName(kept)
+    rest = _mixed(members.select("region", "a").unionByName(whole), named(links))
+    if not rest.isEmpty():
+        links = links.unionByName(_compared(known, rest, parts, k))
     label = components(links)
     out = sizes.join(label, sizes["id"] == label["node"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -31,6 +31,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_main import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import encode
 
@@ -43,6 +49,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import graded
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return graded(docs, _table(spark, sf_dir, "labels")).select("doc_id", "expected", "tail", "kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -67,7 +80,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours_and_edits(_table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_jaccard_join, op4_bpe, op5_license_scan, op7_warc, op8_substring_dedup, op9_exact_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_jaccard_join, op3_html_extraction, op4_bpe, op5_license_scan, op6_quality_classifier, op7_warc, op8_substring_dedup, op9_exact_dedup, op10_fingerprints)}
 
 ORACLE = {
     "op9_exact_dedup": """
