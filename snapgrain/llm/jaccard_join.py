@@ -12,7 +12,7 @@ small regions.
 
 In every region the member with the smallest id is its first pivot: the others are measured against it.  Deeper levels
 take what those links leave in more than one component: the other pairs of regions of up to ``small`` documents, and the
-larger regions, those that share members made one.
+larger regions, those with the same smallest member made one.
 
 Deeper levels.  A region with more than ``small`` documents elects documents as pivots and measures all its members
 against them.  A member within e of a pivot links to it, so members of one ball are one component and need no further
@@ -43,6 +43,8 @@ from .words import shingles
 #: Counters of the sketch that orders the shingles: 2 MB, whatever the input's size.
 SKETCH = 1 << 19
 SMALL, LEVELS, PIVOTS, BLOCK = 8, 3, 8, 64
+#: Members up to which a region's pairs are tried by their sizes and places, all at once; larger regions keep all members.
+PRUNE = 4096
 #: Members up to which a region is compared without dividing it.
 DIVIDE = 256
 #: Members that meet a pivot in one task, at least.
@@ -129,6 +131,10 @@ def _meet(regions: DataFrame, parts: int, small: int) -> DataFrame:
                     n = len(found)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "region", "a", "b"])
             large = np.repeat(g > small, g)
+            for a in np.flatnonzero((g > small) & (g <= PRUNE)):  # a member that can link to no other one there leaves the region
+                at = np.arange(head[a], head[a] + g[a])
+                x, y = at[:, None], at[None, :]
+                large[at] = (_possible(size[x], place[x], size[y], place[y]) & (doc[x] != doc[y])).any(1)
             if large.any():
                 n = int(large.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(key[large].view(np.int64)), pa.array(doc[large]), pa.nulls(n, pa.int64())], names=["kind", "region", "a", "b"])
@@ -202,10 +208,9 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _merged(members: DataFrame) -> DataFrame:
-    """(region, a) of regions that share members made one: a group of near copies meets in the region of each of its common shingles, and needs to be compared once."""
+    """(region, a) of regions with the same smallest member made one: a group of near copies meets in the region of each of its common shingles, and needs to be compared once."""
     low = settled(members.groupBy("region").agg(F.min("a").alias("b")), members.count())
-    found = components(members.join(low, "region").select("a", "b"))
-    return found.select(F.col("component").alias("region"), F.col("node").alias("a"))
+    return members.join(low, "region").select(F.col("b").alias("region"), "a").distinct()
 
 
 def _divide(docs: DataFrame, members: DataFrame, level: int, pivots: int, parts: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -285,13 +290,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     known = rows.where("id is not null")
     met = stored(_meet(_regions(known, k, rarity, buckets), parts, small), "met")
     named = lambda links: components(links).select(F.col("node").alias("a"), "component")
-    links = _verified(known, met.where("kind = 0").select("a", "b").distinct(), parts, k).where(LINK).select("a", "b")
+    first = _verified(known, met.where("kind = 0").select("a", "b").distinct(), parts, k)
+    links = first.where(LINK).select("a", "b")
     label = named(links)
-    other = met.where("kind = 1").select("a", "b").distinct().join(label, "a", "left").withColumnRenamed("component", "_ca")
+    # a set that equals its pivot's is one point with it: they share all regions, so the pivot stands for both from here on
+    same = stored(first.where("both = any").select("a").distinct(), "same")
+    other = met.where("kind = 1").select("a", "b").distinct().join(same, "a", "left_anti").join(same.withColumnRenamed("a", "b"), "b", "left_anti").join(label, "a", "left").withColumnRenamed("component", "_ca")
     other = other.join(label.select(F.col("a").alias("b"), F.col("component").alias("_cb")), "b", "left").where("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
     links = links.unionByName(_verified(known, other, parts, k).where(LINK).select("a", "b"))
     label = named(links)
-    members = _merged(_mixed(met.where("kind = 2").select("region", "a").distinct(), label))
+    members = _merged(_mixed(met.where("kind = 2").select("region", "a").distinct().join(same, "a", "left_anti"), label))
     whole = members.limit(0)
     for level in range(levels):
         members = _mixed(members, named(links) if level else label)
