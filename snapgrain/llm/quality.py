@@ -24,7 +24,7 @@ from .words import LOWER, groups, hashes, spans
 
 BITS, SAMPLE, DENSE, GRADES = 18, 4000, 12, 3
 #: A document stays if P(grade >= 2) is at least this.
-KEEP = 0.6
+KEEP = 0.5
 
 
 def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
