@@ -125,7 +125,9 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", per_task: int
     left = pieces
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in names])
     for level in range(ROUNDS):
-        parts = max(1, left.count() // per_task)
+        n = left.count()
+        # a quarter of the partitions each round, unless a task would then get far more than its share
+        parts = max(1, n // per_task if level == 0 else max(n // (16 * per_task), min(n // per_task, parts // 4)))
         last = parts == 1 or level + 1 == ROUNDS
         dealt = left.repartition(parts, F.pmod(spread + level * 7919, F.lit(parts * 64))) if parts > 1 else left.coalesce(1)
         done = stored(dealt.mapInArrow(packer(level, last), out_schema), f"pack{level}")
