@@ -25,7 +25,7 @@ def snapshot_delta(parent: DataFrame, child: DataFrame, change: DataFrame, key:
     j = c.withColumn("_is", F.lit(True)).join(p, [*key, "old"], "full_outer")
     status = F.when(F.col("_is").isNull(), "deleted").when(F.col("_was").isNull(), "added").otherwise(F.coalesce("status", F.lit("untouched")))
     delta = [(F.coalesce(f"after_{m}", F.lit(0)) - F.coalesce(f"before_{m}", F.lit(0))).alias(f"delta_{m}") for m in metrics]
-    return j.select(*key, F.coalesce("path", "old").alias("path"), "old", status.alias("status"), *delta)
+    return j.select(*key, F.coalesce("path", "old").alias("path"), F.when(F.col("_was"), F.col("old")).alias("old"), status.alias("status"), *delta)
 
 
 def event_means(deltas: DataFrame, event: list[str], value: str) -> DataFrame:
