@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-One weight vector over hashed words and a few text measures gives a document's score z; ordered thresholds t_1 < t_2 turn
-it into P(grade >= j) = sigmoid(z - t_j).  From these come the expected grade and the tail probability for selection.
+A document's score z is a sum of three terms: hashed words by one weight vector, divided by the root of their number; a few
+text measures; and, for each distinct word, a sparse weight of its presence, which long texts do not dilute.  Ordered
+thresholds t_1 < t_2 turn z into P(grade >= j) = sigmoid(z - t_j).  From these come the expected grade and the tail probability for selection.
 
 Grades from labels (quality, toxic): 0 of low quality, 1 of good quality but toxic, 2 clean.  The model is fitted on the
 ``sample`` labelled rows with the smallest hash of their id (a documented bound; all rows where there are fewer), every
@@ -25,10 +26,14 @@ from .words import LOWER, groups, hashes, spans
 BITS, SAMPLE, DENSE, GRADES = 18, 4000, 12, 3
 #: A document stays if P(grade >= 2) is at least this.
 KEEP = 0.5
+#: Words whose pull on the likelihood stays below this have no presence weight.
+SPARSE = 0.002
 
+Features = tuple[np.ndarray, ...]
 
-def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed word numbers, words per text, measures per text) of many texts."""
+
+def features(flat: np.ndarray, offsets: np.ndarray) -> Features:
+    """(hashed word numbers, words per text, measures per text, hashes of distinct words, their number per text) of many texts."""
     n = len(offsets) - 1
     start, end, counts = spans(flat, offsets)
     # one closing punctuation mark does not make another word
@@ -37,6 +42,7 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     word = hashes(flat, start, end - marked, True)
     owner = np.repeat(np.arange(n), counts)
     dense = np.zeros((n, DENSE))
+    seen, distinct = np.zeros(0, np.uint64), np.zeros(n, np.int64)
     if len(start):
         mean = lambda x: np.bincount(owner, x, n) / np.maximum(counts, 1)
         last, before = flat[end - 1], flat[np.maximum(end - 2, start)]
@@ -57,14 +63,20 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         w, o = word[order], owner[order]
         new = np.ones(len(w))
         new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-        distinct = np.bincount(o, new, n)
+        seen, distinct = w[new > 0], np.bincount(o, new, n).astype(np.int64)
         dense[:, 6] = distinct / np.maximum(counts, 1) * (counts >= 20)
         dense[:, 7] = (distinct < 0.3 * counts) * (counts >= 20)
     dense[:, 8] = np.log1p(counts) / 10
     dense[:, 9] = counts == 0
     dense[:, 10] = counts < 20
     dense[:, 11] = 1 / (1 + counts)
-    return (word & np.uint64((1 << BITS) - 1)).astype(np.int64) if len(start) else np.zeros(0, np.int64), counts, dense
+    return (word & np.uint64((1 << BITS) - 1)).astype(np.int64) if len(start) else np.zeros(0, np.int64), counts, dense, seen, distinct
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values."""
+    total, ends = np.concatenate([[0.0], np.cumsum(values)]), np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 @dataclass
@@ -72,30 +84,35 @@ class Model:
     words: np.ndarray
     dense: np.ndarray
     steps: np.ndarray  # thresholds
+    keys: np.ndarray  # sorted hashes of words with a presence weight
+    presence: np.ndarray
 
-    def score(self, index: np.ndarray, counts: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def score(self, index: np.ndarray, counts: np.ndarray, dense: np.ndarray, seen: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1, 2."""
-        total = np.concatenate([[0.0], np.cumsum(self.words[index])])
-        ends = np.cumsum(counts)
-        z = (total[ends] - total[ends - counts]) / np.sqrt(np.maximum(counts, 1)) + dense @ self.dense
+        z = sums(self.words[index], counts) / np.sqrt(np.maximum(counts, 1)) + dense @ self.dense
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, seen), len(self.keys) - 1)
+            z = z + sums(np.where(self.keys[at] == seen, self.presence[at], 0.0), distinct)
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.steps[None], -30, 30)))
 
 
-def fit(index: np.ndarray, counts: np.ndarray, dense: np.ndarray, grade: np.ndarray, rounds: int = 200, decay: float = 2e-5) -> Model:
-    """Maximum penalised likelihood by Adam.  Thresholds are a first one and positive gaps, so they stay in order.  Grades weigh alike in the root of their frequency."""
+def fit(index: np.ndarray, counts: np.ndarray, dense: np.ndarray, seen: np.ndarray, distinct: np.ndarray, grade: np.ndarray, rounds: int = 600, decay: float = 3e-3, sparse: float = SPARSE) -> Model:
+    """Maximum penalised likelihood by Adam; presence weights by proximal steps scaled to their curvature, whose absolute penalty leaves most at exactly 0.  Thresholds are a first one and positive gaps, so they stay in order.  Grades weigh alike in the root of their frequency."""
     n, owner = len(counts), np.repeat(np.arange(len(counts)), counts)
     scale = 1 / np.sqrt(np.maximum(counts, 1))
     used, index = np.unique(index, return_inverse=True)
+    keys, place = np.unique(seen, return_inverse=True)
+    holder = np.repeat(np.arange(n), distinct)
     params = [np.zeros(len(used)), np.zeros(DENSE), np.array([-1.0, 0.0])]
+    u = np.zeros(len(keys))
     share = np.bincount(grade, minlength=GRADES) / n
     weight = 1 / np.sqrt(np.maximum(share, 1e-3))[grade]
     weight /= weight.sum()
+    reach = 1 / (2 * np.bincount(place, weight[holder], len(keys)) + 1e-12)
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
         w, d, s = params
-        total = np.concatenate([[0.0], np.cumsum(w[index])])
-        ends = np.cumsum(counts)
-        z = (total[ends] - total[ends - counts]) * scale + dense @ d
+        z = sums(w[index], counts) * scale + dense @ d + sums(u[place], distinct)
         steps = np.array([s[0], s[0] + np.exp(s[1])])
         tail = 1 / (1 + np.exp(-np.clip(z[:, None] - steps, -30, 30)))
         full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
@@ -104,14 +121,17 @@ def fit(index: np.ndarray, counts: np.ndarray, dense: np.ndarray, grade: np.ndar
         upper, lower = slope[np.arange(n), grade] / p * weight, slope[np.arange(n), grade + 1] / p * weight
         dz = -(upper - lower)
         dsteps = np.array([upper[grade == j].sum() - lower[grade == j - 1].sum() for j in (1, 2)])
-        grads = [np.bincount(index, (dz * scale)[owner], len(used)) + decay * w, dense.T @ dz + decay * d, np.array([dsteps.sum(), dsteps[1] * np.exp(s[1])])]
+        grads = [np.bincount(index, (dz * scale)[owner], len(used)) + decay * w, dense.T @ dz + 2e-5 * d, np.array([dsteps.sum(), dsteps[1] * np.exp(s[1])])]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
             params[i] = params[i] - 0.1 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-6)
+        if t > rounds // 4:  # once the thresholds have settled
+            u = u - reach * np.bincount(place, dz[holder], len(keys))
+            u = np.sign(u) * np.maximum(np.abs(u) - reach * sparse, 0.0)
     words = np.zeros(1 << BITS)
     words[used] = params[0]
-    return Model(words, params[1], np.array([params[2][0], params[2][0] + np.exp(params[2][1])]))
+    return Model(words, params[1], np.array([params[2][0], params[2][0] + np.exp(params[2][1])]), keys[u != 0], u[u != 0])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list:
@@ -139,7 +159,7 @@ def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select("*", none.alias("expected"), none.alias("tail"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # 2 MB and the presence weights of the sample, whatever the input
 
     @F.pandas_udf("struct<expected double, tail double>")
     def score(bodies):

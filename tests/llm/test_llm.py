@@ -185,6 +185,24 @@ def test_quality(spark):
     assert all(r.kept and r.tail is None for r in graded(docs.drop("kept"), labels.limit(0)).collect())
 
 
+def test_quality_finds_rare_words_of_long_texts(spark):
+    """Two bad words among 2000 are enough, and clean texts of any length stay."""
+    from snapgrain.llm.quality import graded
+
+    rng = random.Random(4)
+
+    def text(g, n):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)] if g else ["junk!!"] * n
+        for _ in range(2 if g == 1 else 0):
+            words[rng.randrange(n)] = rng.choice(["nasty", "awful"])
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i % 3, 2000 if i >= 300 else rng.randrange(40, 400))) for i in range(360)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(300)], "doc_id long, quality int, toxic int")
+    held = [r for r in graded(docs, labels).collect() if r.doc_id >= 300]
+    assert sum(r.kept == (r.doc_id % 3 == 2) for r in held) / len(held) > 0.95
+
+
 def test_empty_tables(spark):
     import public_tokenizers as P
 
