@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from snapgrain.plans import composites, evidence  # noqa: F401
 from snapgrain.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
