@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .shared import buffers, released
+
 SCHEMA = "bucket int, id long, data binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("data", pa.binary())])
 
@@ -42,12 +44,12 @@ def by_bucket(batches):
             held.append((i, data))
     if held:
         yield now, held
+        held = []
+        released()
 
 
 def chunks(batches, limit: int = 8 << 20):
     """(ids, bytes, offsets) of about limit bytes of text from batches of (id, text); a single longer text is a chunk of its own."""
-    from .shared import buffers
-
     ids, flats, sizes, total = [], [], [], 0
     for b in batches:
         flat, off = buffers(b.column(1))
@@ -58,5 +60,8 @@ def chunks(batches, limit: int = 8 << 20):
         if total >= limit:
             yield ids, np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
             ids, flats, sizes, total = [], [], [], 0
+            released()
     if ids:
         yield ids, np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        ids, flats, sizes = [], [], []
+        released()

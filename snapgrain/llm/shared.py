@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -74,5 +75,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released() -> None:
+    """Gives free memory back to the system: a worker that Spark keeps for later tasks would else hold the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]

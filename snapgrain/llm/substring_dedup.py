@@ -94,61 +94,64 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(256, 4 * parts)
 
+    def chunk_rows(ids: list, flat: np.ndarray, offsets: np.ndarray, turn: int) -> list[tuple]:
+        start, end, counts = spans(flat, offsets)
+        word = hashes(flat, start, end, False)
+        at = run_starts(counts, k)
+        owner = np.repeat(np.arange(len(counts)), counts)[at]
+        doc = np.array(ids, np.int64)[owner]
+        first_word = np.concatenate([[0], np.cumsum(counts)])[owner]
+        later, keep = _later(*_windows(word, at, k), doc)
+        rows = [(-1 - (i + turn) % buckets, d, s) for i, (_, d, s) in enumerate(_marks(doc[later], (at - first_word)[later], -1))]
+        least = _minimisers(word, at, k, m)
+        sent = np.flatnonzero(keep)
+        if len(sent):
+            new = np.ones(len(sent), bool)
+            new[1:] = (np.diff(sent) != 1) | (np.diff(at[sent]) != 1) | (owner[sent[1:]] != owner[sent[:-1]]) | (least[sent[1:]] != least[sent[:-1]])
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(sent)) - 1
+            head, tail = sent[head], sent[tail]
+            where = ((least[head] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            head, tail, where = head[order], tail[order], where[order]
+            a, b = start[at[head]], end[at[tail] + k - 1]
+            raw = flat.tobytes()
+            cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            for i, j in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                strings = b"".join([raw[p:q] for p, q in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)])
+                rows.append((int(where[i]), None, blobs.packed([doc[head[i:j]], (at - first_word)[head[i:j]].astype("<i4"), (b[i:j] - a[i:j]).astype("<i4")], strings)))
+        return rows
+
     def split(batches):
-        turn = 0
-        for ids, flat, offsets in blobs.chunks(batches):
-            start, end, counts = spans(flat, offsets)
-            word = hashes(flat, start, end, False)
-            at = run_starts(counts, k)
-            owner = np.repeat(np.arange(len(counts)), counts)[at]
-            doc = np.array(ids, np.int64)[owner]
-            first_word = np.concatenate([[0], np.cumsum(counts)])[owner]
-            later, keep = _later(*_windows(word, at, k), doc)
-            turn += 1
-            rows = [(-1 - (i + turn) % buckets, d, s) for i, (_, d, s) in enumerate(_marks(doc[later], (at - first_word)[later], -1))]
-            least = _minimisers(word, at, k, m)
-            sent = np.flatnonzero(keep)
-            if len(sent):
-                new = np.ones(len(sent), bool)
-                new[1:] = (np.diff(sent) != 1) | (np.diff(at[sent]) != 1) | (owner[sent[1:]] != owner[sent[:-1]]) | (least[sent[1:]] != least[sent[:-1]])
-                head = np.flatnonzero(new)
-                tail = np.append(head[1:], len(sent)) - 1
-                head, tail = sent[head], sent[tail]
-                where = ((least[head] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(where, kind="stable")
-                head, tail, where = head[order], tail[order], where[order]
-                a, b = start[at[head]], end[at[tail] + k - 1]
-                raw = flat.tobytes()
-                cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-                for i, j in zip(cuts, [*cuts[1:], len(where)], strict=True):
-                    strings = b"".join([raw[p:q] for p, q in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)])
-                    rows.append((int(where[i]), None, blobs.packed([doc[head[i:j]], (at - first_word)[head[i:j]].astype("<i4"), (b[i:j] - a[i:j]).astype("<i4")], strings)))
+        for turn, (ids, flat, offsets) in enumerate(blobs.chunks(batches), 1):
+            rows = chunk_rows(ids, flat, offsets, turn)
             for i in range(0, len(rows), 500):
                 yield blobs.batch(rows[i : i + 500])
+            del ids, flat, offsets, rows
+
+    def bucket_rows(rows: list[tuple]) -> list[tuple]:
+        docs_, firsts, sizes, strings = [], [], [], []
+        for _, data in rows:
+            (d, f, n), body = blobs.unpacked(data, ["<i8", "<i4", "<i4"])
+            docs_.append(d), firsts.append(f), sizes.append(n), strings.append(body)
+        d, f, n = (np.concatenate(x) for x in (docs_, firsts, sizes))
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        del strings
+        start, end, counts = spans(flat, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
+        word = hashes(flat, start, end, False)
+        at = run_starts(counts, k)
+        owner = np.repeat(np.arange(len(counts)), counts)[at]
+        doc = d[owner]
+        later, _ = _later(*_windows(word, at, k), doc)
+        place = at - np.concatenate([[0], np.cumsum(counts)])[owner] + f[owner]
+        return _marks(doc[later], place[later], 0)
 
     def settle(batches):
         for bucket, rows in blobs.by_bucket(batches):
-            if bucket < 0:
-                out = [(0, i, data) for i, data in rows]
-            else:
-                docs_, firsts, sizes, strings = [], [], [], []
-                for _, data in rows:
-                    (d, f, n), body = blobs.unpacked(data, ["<i8", "<i4", "<i4"])
-                    docs_.append(d), firsts.append(f), sizes.append(n), strings.append(body)
-                del rows
-                d, f, n = (np.concatenate(x) for x in (docs_, firsts, sizes))
-                flat = np.frombuffer(b"".join(strings), np.uint8)
-                del strings
-                start, end, counts = spans(flat, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
-                word = hashes(flat, start, end, False)
-                at = run_starts(counts, k)
-                owner = np.repeat(np.arange(len(counts)), counts)[at]
-                doc = d[owner]
-                later, _ = _later(*_windows(word, at, k), doc)
-                place = at - np.concatenate([[0], np.cumsum(counts)])[owner] + f[owner]
-                out = _marks(doc[later], place[later], 0)
+            out = [(0, i, data) for i, data in rows] if bucket < 0 else bucket_rows(rows)
             for i in range(0, len(out), 1000):
                 yield blobs.batch(out[i : i + 1000])
+            del rows, out
 
     sent = docs.select(id_col, text).where(F.col(id_col).isNotNull()).mapInArrow(split, blobs.SCHEMA)
     found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs.SCHEMA)
