@@ -7,7 +7,8 @@ a document with a smaller id are removed; windows are judged on the input.
 
 Hot windows: a task settles equal windows among its own documents first.  Only the smallest document's occurrence of a
 window leaves a chunk, so a passage shared by a third of all documents costs its bucket one string for each chunk of the
-input.  Windows are compared by two independent 64-bit hashes over their words' 64-bit hashes.
+input.  Within that document the one occurrence speaks for all: where the marks meet the text again, each place of a
+marked window follows.  Windows are compared by two independent 64-bit hashes over their words' 64-bit hashes.
 
 Null texts have no words.  Rows that repeat a doc_id with the same text are alike and do not remove each other; doc_ids
 with different texts should be distinct (else marks of one hold for the other, as far as it has words).  Rows without a
@@ -88,7 +89,10 @@ def _marks(doc: np.ndarray, start: np.ndarray, bucket) -> list[tuple]:
 
 
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
-    """(id, starts binary): word numbers (32-bit, little-endian) at which a window to remove starts; several rows a document."""
+    """(id, starts binary): word numbers (32-bit, little-endian) at which a window to remove starts; several rows a document.
+
+    Of a window that a document holds more than once, one place at least is named; ``covered`` finds the others.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -158,14 +162,20 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return found.select(F.col("id").alias(id_col), F.col("data").alias("starts"))
 
 
-def covered(n_words: int, starts: list[bytes], k: int = K) -> np.ndarray:
-    """Which words the windows cover."""
+def covered(text: bytes, starts: list[bytes], k: int = K) -> np.ndarray:
+    """Which words of a text the windows cover, at every place where the text has them."""
+    flat = np.frombuffer(text, np.uint8)
+    start, end, counts = spans(flat, np.array([0, len(flat)]))
+    places = run_starts(counts, k)  # of a single text: 0, 1, ...
     at = np.unique(np.frombuffer(b"".join(starts), "<i4"))
-    at = at[at + k <= n_words]
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + k, -1)
-    return np.cumsum(step)[:n_words] > 0
+    at = at[at < len(places)]
+    if 0 < len(at) < len(places):
+        a, b = _windows(hashes(flat, start, end, False), places, k)
+        at = np.flatnonzero(np.isin(a, a[at]) & np.isin(b, b[at]))
+    step = np.zeros(len(start) + 1, np.int64)
+    step[at] += 1
+    step[at + k] -= 1
+    return np.cumsum(step)[:-1] > 0
 
 
 def with_marks(docs: DataFrame, id_col: str, text: str, k: int, m: int) -> DataFrame:
@@ -181,10 +191,11 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             flat, off = buffers(batch.column(1))
             raw, out = flat.tobytes(), []
             for i, starts in enumerate(batch.column(2).to_pylist()):
-                words = raw[off[i] : off[i + 1]].split()
+                body = raw[off[i] : off[i + 1]]
+                words = body.split()
                 n = len(words)
                 if starts:
-                    words = [w for w, gone in zip(words, covered(n, starts, k).tolist(), strict=True) if not gone]
+                    words = [w for w, gone in zip(words, covered(body, starts, k).tolist(), strict=True) if not gone]
                 out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
@@ -203,8 +214,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             bodies, out = batch.column(at).to_pylist(), []
             for body, starts in zip(bodies, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if starts:
-                    words = body.encode().split()
-                    body = b" ".join([w for w, gone in zip(words, covered(len(words), starts, k).tolist(), strict=True) if not gone]).decode()
+                    data = body.encode()
+                    body = b" ".join([w for w, gone in zip(data.split(), covered(data, starts, k).tolist(), strict=True) if not gone]).decode()
                 out.append(body)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[at] = pa.array(out, pa.string())

@@ -88,6 +88,27 @@ def test_substring(docs, bodies):
         assert (text[i].text or "") == (kept.decode() if gone else bodies[i])
 
 
+def test_substring_of_texts_that_repeat_themselves(spark):
+    """A window that a document holds several times goes at all its places, in whichever task a smaller document has it."""
+    from snapgrain.llm.substring_dedup import kept_digests, remove_repeats
+
+    line, other = " ".join(f"l{i}" for i in range(20)), " ".join(f"o{i}" for i in range(15))
+    twice = f"{line} a b c {line} d {other} e f {line}"
+    bodies = {1: line, 2: "z " * 14 + "q", 3: None, 5: twice, 6: "y " * 40 + other, 7: twice + " g", 8: "z " * 60, 9: "r " + "z " * 30 + "s " + "z " * 20, 11: line + "\t" + line}
+    data = spark.sparkContext.parallelize(sorted(bodies.items()), len(bodies))  # each in a task of its own
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got, text, first = rows(kept_digests(docs)), rows(remove_repeats(docs)), {}
+    words = {i: (t or "").split() for i, t in bodies.items()}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][j : j + 13]), i)
+    for i, w in words.items():
+        gone = {k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(j, j + 13)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        assert (i, got[i].n_removed, got[i].kept_sha256) == (i, len(gone), hashlib.sha256(kept.encode()).hexdigest())
+        assert text[i].text == (kept if gone else bodies[i])
+
+
 def test_licenses(docs, bodies):
     from snapgrain.llm.license_scan import PHRASES, scan
 
