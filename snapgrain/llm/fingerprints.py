@@ -5,8 +5,8 @@ shorter text the whole sequence as one); all permutations run at once in numpy.
 signature, so equal texts have equal fingerprints, and the share of equal components estimates the Jaccard similarity.
 A text without words has the fingerprint of all ones, which is like itself and unlike any other.
 
-``similar_pairs`` joins bands of the signatures in Spark, against one representative of each band, and verifies the
-Jaccard similarity on the shingle sets.
+``similar_pairs`` joins bands of the signatures in Spark and verifies the Jaccard similarity on the shingle sets.  Equal
+sets are one member; all members of a band meet each other, a hot band's in blocks of bounded size.
 
 Null texts count as empty; rows that repeat a doc_id each get a result; an empty table gives an empty result.
 """
@@ -65,10 +65,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.75, bands: int = 16) -> DataFrame:
-    """(id, other, similarity): for each band value, its rows against the band's smallest id, verified on shingle sets.
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.75, bands: int = 16, block: int = 128) -> DataFrame:
+    """(id, other, similarity), other < id: all pairs of different sets that share a band value and are similar enough, verified on shingle sets.
 
-    A group of copies gives as many pairs as it has members, not their square.
+    Equal sets stand for each other under their smallest id, with which each other copy makes one pair: a group of copies
+    gives as many pairs as it has members, not their square.  Rows without an id or without words make no pairs.
     """
     small_batches(docs.sparkSession)
 
@@ -77,27 +78,41 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
             sets = sets_of(texts(batch.column(1)))
             sig = signature(sets)
             keys = [[hashlib.blake2b(bytes([j]) + x[j * len(x) // bands : (j + 1) * len(x) // bands].tobytes(), digest_size=8).hexdigest() for j in range(bands)] if len(s) else [] for x, s in zip(sig, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.string())), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "_bands", "_set"])
+            raw = [s.tobytes() for s in sets]
+            digests = [hashlib.blake2b(x, digest_size=16).hexdigest() for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.string())), pa.array(raw, pa.binary())], names=["_id", "_digest", "_bands", "_set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(id_col, text).mapInArrow(run, f"_id {kind}, _bands array<string>, _set binary"), "bands")
-    band = rows.select("_id", F.explode("_bands").alias("_band"))
-    heads = band.groupBy("_band").agg(F.min("_id").alias("_other"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    pairs = band.join(heads, "_band").where("_id <> _other").select("_id", "_other").distinct()
-    sets = rows.select("_id", "_set")
-    both = pairs.join(sets, "_id").join(sets.select(F.col("_id").alias("_other"), F.col("_set").alias("_with")), "_other")
-
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p, q):
-            u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            n = len(np.intersect1d(u, v, True))
-            return n / (len(u) + len(v) - n)
-
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
-
-    found = both.select(F.col("_id").alias(id_col), F.col("_other").alias("other"), jaccard("_set", "_with").alias("similarity"))
-    return found.where(F.col("similarity") >= threshold)
+    named = docs.select(id_col, text).where(F.col(id_col).isNotNull())
+    rows = stored(named.mapInArrow(run, f"_id {kind}, _digest string, _bands array<string>, _set binary"), "bands").where(F.size("_bands") > 0)
+    heads = rows.groupBy("_digest").agg(F.min("_id").alias("_head"), F.first("_bands").alias("_bands"))
+    copies = rows.select("_id", "_digest").join(heads.select("_digest", "_head"), "_digest").where("_id <> _head").select("_id", F.col("_head").alias("_other"), F.lit(1.0).alias("_sim"))
+    member = heads.select("_digest", F.col("_head").alias("_id"), F.explode("_bands").alias("_band"))
+    blocks = member.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_band", F.ceil(F.col("_n") / block).alias("_blocks"))
+    # each member goes to the cells of its block with every block of the band, its own among them
+    cells = member.join(blocks, "_band").withColumn("_block", F.pmod(F.xxhash64("_digest"), "_blocks"))
+    cells = cells.select("_digest", "_id", "_band", "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_with"))
+    cells = cells.select("_digest", "_id", "_band", "_block", F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j"))
+    full = cells.join(rows.select("_digest", "_set").dropDuplicates(["_digest"]), "_digest")
+
+    def verified(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        ids, where, sets = cell["_id"].tolist(), cell["_block"].to_numpy(), [np.frombuffer(x, np.uint64) for x in cell["_set"]]
+        sizes, out = np.array([len(x) for x in sets]), []
+        for a in range(len(ids)):
+            if where[a] != key[1]:
+                continue
+            fits = np.minimum(sizes, sizes[a]) >= threshold * np.maximum(sizes, sizes[a])
+            fits &= (where != key[1]) if key[1] != key[2] else (np.arange(len(ids)) > a)
+            for b in np.flatnonzero(fits):
+                n = len(np.intersect1d(sets[a], sets[b], True))
+                similarity = n / (sizes[a] + sizes[b] - n)
+                if similarity >= threshold and ids[a] != ids[b]:
+                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b]), float(similarity)))
+        return pd.DataFrame(out, columns=["_id", "_other", "_sim"])
+
+    pairs = full.groupBy("_band", "_i", "_j").applyInPandas(verified, f"_id {kind}, _other {kind}, _sim double")
+    found = pairs.unionByName(copies.where(F.col("_sim") >= threshold)).distinct()
+    return found.select(F.col("_id").alias(id_col), F.col("_other").alias("other"), F.col("_sim").alias("similarity"))
 
 
 def neighbours_and_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per_range: int = 20000) -> DataFrame:

@@ -134,6 +134,28 @@ def test_fingerprints(docs, bodies):
     assert all(r.similarity >= 0.75 for r in similar_pairs(docs).collect())
 
 
+@pytest.mark.parametrize("how", [{}, {"block": 4}])
+def test_similar_pairs_whatever_heads_a_band(spark, how):
+    """Links between members of bands whose smallest ids are others are found, as brute force has them."""
+    from snapgrain.llm.fingerprints import sets_of, similar_pairs
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    bodies = {}
+    for i in range(80):  # the smaller ids: each shares about 0.7 of the text, so together they head the bands
+        at = rng.randrange(140)
+        bodies[i] = " ".join(base[:at] + base[at + 58 :])
+    bodies |= {200: " ".join(base), 201: " ".join(base[:-2]), 202: " ".join(base[2:]), 203: " ".join(base), 204: "", 205: None, 206: " ".join(base)}
+    docs = spark.createDataFrame(list(bodies.items()), "doc_id long, text string").repartition(3)
+    got = {(r.other, r.doc_id): r.similarity for r in similar_pairs(docs, **how).collect()}
+    sets = {i: set(s.tolist()) for i, s in zip(bodies, sets_of([t or "" for t in bodies.values()]), strict=True)}
+    head = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    true = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j and sets[i] and sets[j] and (head[i] == i and head[j] == j or head[j] == i)}
+    assert {p for p, s in true.items() if s >= 0.9} <= set(got)
+    assert all(abs(true[p] - s) < 1e-12 and s >= 0.75 for p, s in got.items())
+    assert {(200, 201), (200, 202), (201, 202), (200, 203), (200, 206)} <= set(got) and (203, 206) not in got
+
+
 def test_bpe(docs, bodies):
     import public_tokenizers as P
     from tokenizers import Tokenizer
