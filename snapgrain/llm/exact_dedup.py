@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
@@ -55,7 +55,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are expected to be unique."""
+    """One row of docs for each distinct text, with all its columns: the row with the largest (keep="min": smallest) id.
+
+    A row without an id stays only where no row with an id has its text.  Of rows with one id and one text, or without ids
+    and with one text, one stays: the one whose other columns (but maps) have the least hash.  An id that repeats with
+    another text is judged for each text alone.
+    """
     shared_dir(docs.sparkSession)
-    final = merged_runs(docs, id_col, text, keep).select(F.col("_keep").alias(id_col))
-    return docs.join(final, id_col, "left_semi").select(*docs.columns)
+    same = F.xxhash64("_keep").alias("_same")  # an exchange by text and id spreads a large group of copies
+    final = merged_runs(docs, id_col, text, keep).select(*KEY, "_keep", same)
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text) and "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_same"), F.xxhash64(*rest, F.lit(0)).alias("_rest"), *digests(docs, text))
+    matched = rows.join(final, [*KEY, "_same"]).where(F.col("_id").eqNullSafe(F.col("_keep")))
+    first = F.row_number().over(Window.partitionBy(*KEY, "_same").orderBy("_rest"))
+    return matched.withColumn("_first", first).where("_first = 1").select("_row.*")

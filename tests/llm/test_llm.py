@@ -52,6 +52,22 @@ def test_exact(docs, bodies):
     assert sorted(rows(deduplicate(docs, keep="min"))) == sorted({min(j for j, u in bodies.items() if u == t) for t in bodies.values()})
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_without_and_with_repeated_ids(spark, keep):
+    """One row stays for each text, rows without an id and ids that repeat with other texts among them."""
+    from snapgrain.llm.exact_dedup import deduplicate
+
+    data = [(None, "lone", 1), (None, "lone", 2), (None, "shared", 3), (4, "shared", 4), (5, "shared", 5), (4, "other", 6), (3, "other", 7), (5, "other", 8), (9, "twice", 9), (9, "twice", 10), (None, None, 11), (None, "", 12)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _sha int").repartition(4)
+    got = deduplicate(docs, keep=keep)
+    assert got.schema == docs.schema
+    best = {"min": ("shared", 4, "other", 3), "max": ("shared", 5, "other", 5)}[keep]
+    want = [("", None), ("lone", None), (best[0], best[1]), (best[2], best[3]), ("twice", 9)]
+    kept = got.collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in kept) == sorted((t, i or 0) for t, i in want)
+    assert {(r.doc_id, r.text, r._sha) for r in kept} <= set(data)
+
+
 @pytest.mark.parametrize("how", [{}, {"small": 1, "levels": 2, "pivots": 2, "divide": 2}, {"small": 2, "levels": 0}])
 def test_jaccard(docs, bodies, how):
     from snapgrain.llm.jaccard_join import link_components
