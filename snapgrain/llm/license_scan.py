@@ -2,7 +2,8 @@
 
 All rolling two-word hashes of every text join the places where the same pair stands in a template.  Each match votes for
 the diagonal (word place minus template place); a span is what its diagonals cover, neighbouring diagonals merged so that
-an inserted or lost word does not break it.  A second hash of each pair verifies every vote.  A phrase template counts
+an inserted or lost word does not break it; a template pair counts once in a span, on however many of its diagonals it
+stands.  A second hash of each pair verifies every vote.  A phrase template counts
 only where all its pairs vote on one diagonal, which is where its words stand consecutively; a notice template counts
 where a span covers at least ``coverage`` of its pairs.
 
@@ -55,7 +56,7 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(_id, _key, tid, pairs, label, phrase, diagonal, votes): one row per text, template and diagonal with a vote."""
+    """(_id, _key, tid, pairs, label, phrase, diagonal, places): one row per text, template and diagonal with a vote; places are the template pairs that voted."""
     listed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), words(F.col(text)).alias("_words"))
     hashed = listed.select(
         "_id", "_key",
@@ -65,7 +66,7 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=P
     rolled = hashed.select("_id", "_key", F.posexplode_outer("_pairs").alias("_pos", "_pair"))
     rolled = rolled.select("_id", "_key", "_pos", F.col("_pair.h").alias("h"), F.col("_pair.c").alias("_c"))
     hit = rolled.join(F.broadcast(templates(docs.sparkSession, phrases, notices)), "h").where(F.col("_c") == F.col("check"))
-    return hit.groupBy("_id", "_key", "tid", "pairs", "label", "phrase", (F.col("_pos") - F.col("tpos")).alias("diagonal")).agg(F.count_distinct("tpos").alias("votes"))
+    return hit.groupBy("_id", "_key", "tid", "pairs", "label", "phrase", (F.col("_pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", coverage: float = 0.7, drift: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
@@ -74,8 +75,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", coverage:
     order = Window.partitionBy("_id", "_key", "tid").orderBy("diagonal")
     apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > drift)
     v = v.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(order))
-    merged = v.groupBy("_id", "_key", "tid", "label", "phrase", "pairs", "_span").agg(F.sum("votes").alias("n"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
-    score = F.least(F.lit(1.0), F.col("n") / F.col("pairs"))
+    merged = v.groupBy("_id", "_key", "tid", "label", "phrase", "pairs", "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
+    score = F.col("n") / F.col("pairs")
     return merged.where(F.when(F.col("phrase"), F.col("n") == F.col("pairs")).otherwise(score >= coverage)).select("_id", "_key", "label", "phrase", "first", "last", score.alias("score"))
 
 

@@ -137,6 +137,14 @@ def test_licenses(docs, bodies):
         assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(",")) | {""} and 0 <= got[i].score <= 1
 
 
+def test_licenses_count_a_template_pair_once_in_a_span(spark):
+    from snapgrain.llm.license_scan import scan
+
+    bodies = ["under the x under the y under the", "it is released under the very mit license", "released under the mit license under the mit license"]
+    got = rows(scan(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")))
+    assert [(got[i].labels, got[i].score) for i in range(3)] == [("", 0.0), ("mit", 1.0), ("mit", 1.0)]
+
+
 def test_fingerprints(docs, bodies):
     from snapgrain.llm.fingerprints import neighbours_and_edits, similar_pairs
 
