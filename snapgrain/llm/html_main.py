@@ -28,7 +28,8 @@ from .shared import small_batches, texts
 PAGES, ROUNDS, DEPTH = 400, 40, 4
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe select".split())
+RAW = frozenset("script style textarea iframe title".split())  # what follows is raw up to the end tag, or the page's end
+DROPPED = frozenset("noscript template svg select".split())  # elements that go as a whole where they are closed
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = frozenset("ul ol table div section article aside nav main header footer form body html dl blockquote figure".split())
@@ -41,6 +42,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 SPACES = re.compile(r"\s+")
+DROPS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)(script|style|textarea|iframe|title|noscript|template|svg|select)(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
 
 
 @dataclass
@@ -53,10 +55,34 @@ class Node:
     inline: bool = False
 
 
+def closed(page: str) -> dict[int, int]:
+    """Where each element that is DROPPED and closed starts and where its end tag ends; a self-closed svg ends with its tag."""
+    opened: dict[str, list[int]] = {name: [] for name in DROPPED}
+    out, at = {}, 0
+    while m := DROPS.search(page, at):
+        at = m.end()
+        if m.group(2) is None:
+            continue  # a comment
+        name, shut = m.group(2).lower(), m.group(3).endswith("/")
+        if name in RAW:
+            if not m.group(1) and not (shut and opened["svg"]):
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+        elif m.group(1):
+            if opened[name]:
+                out[opened[name].pop()] = m.end()
+        elif shut and name == "svg":
+            out[m.start()] = m.end()
+        else:
+            opened[name].append(m.start())
+    return out
+
+
 def tree(page: str) -> list[Node]:
     """The nodes of a page; a parent stands before its children.  The text of an inline element without blocks belongs to the block around it, but its node stays for its place in the stack."""
     nodes = [Node("html", -1, 0, "")]
     stack, at, n, linked = [0], 0, len(page), 0
+    ends = None
 
     def text(raw):
         if raw:
@@ -90,9 +116,13 @@ def tree(page: str) -> list[Node]:
                 if name in INLINE and open_tag in STOPS:
                     break
             continue
-        if name in RAW or name == "title" or name == "head":
-            if name == "head":
-                continue
+        if name == "head":
+            continue
+        if name in DROPPED:
+            ends = closed(page) if ends is None else ends
+            at = ends.get(m.start(), at)  # of one that is never closed only the tag goes
+            continue
+        if name in RAW:
             m = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = m.end() if m else n
             continue

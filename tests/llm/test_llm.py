@@ -238,6 +238,17 @@ def test_html():
     assert extract_pages([page, "", "<"], model()) == ["T & x\nOne two.\nThree", "", ""]
 
 
+def test_html_drops_only_closed_elements():
+    from snapgrain.llm.html_main import tree
+
+    text = lambda page: "".join(p[0] for x in tree(page) for p in x.parts if type(p) is tuple)
+    assert text("<p>a<svg class='x'/>b<svg><text>no</text></svg>c") == "abc"
+    assert text("<select name=s><p>a<select><option>no</select>b<SVG>c<svg>no<svg>no</svg>no</svg>d") == "abcd"
+    assert text("a<template>no<template>no</template>no</template>b<noscript>c") == "abc"
+    assert text("<svg>a<!-- </svg> -->b<script>'</svg>'</script>c<iframe>no") == "abc"
+    assert text("a<svg><title/><style>no</style></svg>b") == "ab"
+
+
 def test_quality(spark):
     from snapgrain.llm.quality import graded
 
