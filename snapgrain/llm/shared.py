@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ BATCH_ROWS = "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a temporary one of the single machine that a local master has; a cluster must name one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(sc, "_snapgrain_shared", None)
         if found is None:
             found = sc._snapgrain_shared = "file://" + tempfile.mkdtemp(prefix="snapgrain-")
@@ -28,8 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at its end: what is read from them must have been written elsewhere by then."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +71,17 @@ def settled(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // LIGHT_ROWS))).checkpoint()
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores in front as long as a name of names (in any case) is like it."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

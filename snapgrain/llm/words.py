@@ -1,11 +1,15 @@
 """Vectorised words, word hashes and word windows over the bytes of many texts at once.
 
-Words are runs of bytes other than space and \\t..\\r.  A word's hash is a polynomial in its bytes modulo 2**64, taken
-from prefix sums, so its cost does not depend on the number of words; a finaliser then spreads it over all 64 bits.
+Words are runs of bytes other than space and \\t..\\r.  The hash of a word of up to LONG bytes is a polynomial in its bytes
+modulo 2**64, taken from prefix sums, so its cost does not depend on the number of words; a finaliser then spreads it over
+all 64 bits.  Structured patterns of hundreds of bytes cancel out in such a polynomial, so longer words, which are rare,
+get a keyed BLAKE2b hash each.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -14,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _ROOT = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of the longest word that the polynomial hashes.
+LONG = 32
 #: Bytes hashed at a time; long texts are cut at white space, so memory does not follow a text's length.
 CHUNK = 1 << 20
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -72,7 +78,11 @@ def hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) ->
         h *= down[s]
         out[at:to] = h + (e - s).astype(np.uint64)
         at = to
-    return mix(out)
+    out = mix(out)
+    for i in np.flatnonzero(end - start > LONG):
+        word = flat[start[i] : end[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((LOWER[word] if lower else word).tobytes(), digest_size=8, key=b"snapgrain").digest(), "little")
+    return out
 
 
 def windows(word: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
