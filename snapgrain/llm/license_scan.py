@@ -1,15 +1,17 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
-All rolling two-word hashes of every text join the places where the same pair stands in a template.  Each match votes for
-the diagonal (word place minus template place); a span is what its diagonals cover, neighbouring diagonals merged so that
-an inserted or lost word does not break it; a template pair counts once in a span, on however many of its diagonals it
-stands.  A second hash of each pair verifies every vote.  A phrase template counts
-only where all its pairs vote on one diagonal, which is where its words stand consecutively; a notice template counts
-where a span covers at least ``coverage`` of its pairs.
-
-The templates are a fixed table of a few hundred rows, the only data that is broadcast.  A null text counts as empty.
-Rows that repeat a doc_id are told apart by their text; full repeats get the same result each.  Empty tables give empty
-results.
+The hashes of all rolling two-word grams of every text join the places where the same pair stands in a template; the words
+themselves verify each match.  A match votes for the diagonal (word place minus template place).  A span is a diagonal
+with the ``drift`` next ones merged into it, so that inserted or lost words do not break it, yet it is never longer than
+its template and the drift.  A template pair counts once in a span, on however many of its diagonals it stands.  A phrase
+template counts only where all its pairs vote on one diagonal, which is where its words stand consecutively; a notice
+template counts where a span covers at least ``coverage`` of its pairs.
+
+Each text is read once: its number of words travels with a mark that every row carries into the join, so a text without
+any match keeps its row.  The templates are a fixed table of a few hundred rows, the only data that is broadcast.
+
+A null text counts as empty.  Rows that repeat a doc_id are told apart by their text; full repeats get the same result
+each.  A null id is an id like others.  Empty tables give empty results; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -45,55 +47,74 @@ def words(text):
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
+#: The template number of the mark that every text carries.
+MARK = -1
+
+
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(h, check, tid, tpos, pairs, label, phrase): a row for each pair of each template."""
-    rows = []
+    """(h, a, b, tid, tpos, pairs, label, phrase): a row for each pair of each template, and one for the mark, whose words are empty."""
+    rows = [f"('', '', {MARK}, 0, 1, '', false)"]
     for tid, (body, label, phrase) in enumerate([(*x, True) for x in phrases] + [(*x, False) for x in notices]):
         w = body.split()
         rows += [f"('{a}', '{b}', {tid}, {i}, {len(w) - 1}, '{label}', {str(phrase).lower()})" for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
     values = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(a, b, tid, tpos, pairs, label, phrase)")
-    return values.select(F.xxhash64("a", "b").alias("h"), F.hash("a", "b").alias("check"), "tid", "tpos", "pairs", "label", "phrase")
+    return values.select(F.xxhash64("a", "b").alias("h"), "a", "b", "tid", "tpos", "pairs", "label", "phrase")
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(_id, _key, tid, pairs, label, phrase, diagonal, places): one row per text, template and diagonal with a vote; places are the template pairs that voted."""
-    listed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), words(F.col(text)).alias("_words"))
-    hashed = listed.select(
-        "_id", "_key",
-        F.transform("_words", lambda w, i: F.struct(F.xxhash64(w, F.get("_words", i + 1)).alias("h"), F.hash(w, F.get("_words", i + 1)).alias("c"))).alias("_pairs"),
-    )
-    # the outer form keeps the optimiser from repeating the pairs in a filter on their number
-    rolled = hashed.select("_id", "_key", F.posexplode_outer("_pairs").alias("_pos", "_pair"))
-    rolled = rolled.select("_id", "_key", "_pos", F.col("_pair.h").alias("h"), F.col("_pair.c").alias("_c"))
-    hit = rolled.join(F.broadcast(templates(docs.sparkSession, phrases, notices)), "h").where(F.col("_c") == F.col("check"))
-    return hit.groupBy("_id", "_key", "tid", "pairs", "label", "phrase", (F.col("_pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places"))
+    """(_id, _key, tid, pairs, label, phrase, diagonal, places, n_words, copies): one row per text, template and diagonal with a vote; places are the template pairs that voted.
+
+    Rows with tid MARK stand for the texts: n_words, and how many rows are alike in id and text.
+    """
+    listed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_key"), words(F.col(f"`{text}`")).alias("_w"))
+    pair = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))).alias("b"))
+    mark = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b")))
+    rolled = listed.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.concat(mark, pair)).alias("_pos", "_p"))
+    rolled = rolled.select("_id", "_key", "n_words", (F.col("_pos") - 1).alias("_pos"), F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b")).withColumn("h", F.xxhash64("_a", "_b"))
+    # equality of the words, written so that the join's key stays the hash, a plain long
+    same = " AND ".join(f"startswith(_{x}, {x}) AND startswith({x}, _{x})" for x in "ab")
+    hit = rolled.join(F.broadcast(templates(docs.sparkSession, phrases, notices)), "h").where(same)
+    diagonal = F.when(F.col("tid") == MARK, 0).otherwise(F.col("_pos") - F.col("tpos")).alias("diagonal")
+    return hit.groupBy("_id", "_key", "tid", "pairs", "label", "phrase", diagonal).agg(F.collect_set("tpos").alias("places"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+
+
+def _scored(v: DataFrame, drift: int) -> DataFrame:
+    """votes with score: the share of the template's pairs that the span of a diagonal and those up to drift behind it covers; a phrase has its own diagonal only."""
+    near = Window.partitionBy("_id", "_key", "tid").orderBy("diagonal").rangeBetween(0, drift)
+    seen = F.when(F.col("phrase"), F.size("places")).otherwise(F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))))
+    return v.withColumn("score", seen / F.col("pairs"))
+
+
+def _verified(v: DataFrame, coverage: float):
+    return F.when(F.col("phrase"), F.col("score") == 1).otherwise(F.col("score") >= coverage) & (F.col("tid") != MARK)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", coverage: float = 0.7, drift: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(_id, _key, label, phrase, first, last, score): verified spans; first and last are the smallest and largest start among the merged diagonals."""
-    v = votes(docs, id_col, text, phrases, notices)
+    """(_id, _key, label, phrase, first, score): verified spans; first is the word at which the template would start on the span's first diagonal.  Of spans that overlap by their diagonals the best stays."""
+    v = _scored(votes(docs, id_col, text, phrases, notices), drift)
+    v = v.where(_verified(v, coverage))
     order = Window.partitionBy("_id", "_key", "tid").orderBy("diagonal")
     apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > drift)
     v = v.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(order))
-    merged = v.groupBy("_id", "_key", "tid", "label", "phrase", "pairs", "_span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last"))
-    score = F.col("n") / F.col("pairs")
-    return merged.where(F.when(F.col("phrase"), F.col("n") == F.col("pairs")).otherwise(score >= coverage)).select("_id", "_key", "label", "phrase", "first", "last", score.alias("score"))
+    best = F.max(F.struct(F.col("score"), -F.col("diagonal"))).alias("_best")
+    return v.groupBy("_id", "_key", "tid", "label", "phrase", "_span").agg(best).select("_id", "_key", "label", "phrase", (-F.col("_best.col2")).alias("first"), F.col("_best.score").alias("score"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", coverage: float = 0.7, drift: int = 3, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest coverage of a verified span, 0 without)."""
+    v = _scored(votes(docs, id_col, text, phrases, notices), drift)
+    real = _verified(v, coverage)
+    base = real & F.col("phrase")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    found = spans(docs, id_col, text, **how).groupBy("_id", "_key").agg(
-        F.count_if("phrase").alias("n_base"),
-        F.min(F.when(F.col("phrase"), F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(F.col("phrase"), F.col("last"))).cast("long").alias("last_word"),
-        joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"),
-        joined(F.col("label")).alias("labels"),
-        F.max("score").alias("score"),
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    same = rows["_id"].eqNullSafe(found["_id"]) & (rows["_key"] == found["_key"])
-    return rows.join(found, same, "left").select(
-        rows["_id"].alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    found = v.groupBy("_id", "_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.max(F.when(F.col("tid") == MARK, F.col("copies"))).alias("_copies"),
+        F.count_if(base).cast("long").alias("n_base"),
+        F.min(F.when(base, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(base, F.col("diagonal"))).cast("long").alias("last_word"),
+        joined(F.when(base, F.col("label"))).alias("base_labels"),
+        joined(F.when(real, F.col("label"))).alias("labels"),
+        F.coalesce(F.max(F.when(real, F.col("score"))), F.lit(0.0)).alias("score"),
     )
+    each = found.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return each.select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
