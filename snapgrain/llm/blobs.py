@@ -32,18 +32,30 @@ def unpacked(data: bytes, kinds: list[str]) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def by_bucket(batches):
-    """(bucket, its rows' (id, data)) from rows that are sorted by bucket."""
-    held, now = [], None
+#: Rows of a part of a bucket at least; a row is what one chunk of 8 MB of texts has for a bucket.
+LEAST = 4
+
+
+def size_of(data: bytes | None) -> int:
+    """Bytes of a packed value before compression."""
+    return int(np.frombuffer(data, "<i8", 1)[0]) if data else 0
+
+
+def by_bucket(batches, limit: int):
+    """(bucket, its rows' (id, data), whether these are all) from rows that are sorted by bucket; a bucket of more than limit bytes comes in parts, of LEAST rows or more so that each can put rows together."""
+    held, now, total, parts = [], None, 0, 0
     for b in batches:
         for bucket, i, data in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
-            if bucket != now and held:
-                yield now, held
-                held = []
+            size = size_of(data) if bucket >= 0 else 0  # negative buckets are passed on as they are
+            if held and (bucket != now or (total + size > limit and len(held) >= LEAST)):
+                over = bucket == now
+                yield now, held, not over and not parts
+                held, total, parts = [], 0, parts + 1 if over else 0
             now = bucket
             held.append((i, data))
+            total += size
     if held:
-        yield now, held
+        yield now, held, not parts
         held = []
         released()
 

@@ -21,9 +21,14 @@ d(x, q) <= d(x, p) + 2e: if y in q's cell is within e of x, then d(x, q) <= d(y,
 Cells whose members are all in one component are done; the others are regions again.  What has ``divide`` members or
 fewer, what pivots do not divide and what is left after ``levels`` levels is compared exactly, in blocks of bounded size, by members of different components only.
 
-Shingles are compared by 64-bit hashes.  A document without words has an empty set and links with nothing.  Null texts
-have no words.  Rows that repeat a doc_id should repeat its text; they count as one document in links and each get their
-row.  A row without a doc_id has no component.  An empty table gives an empty result.
+Buckets and tasks of level 0 are as many as the number of replicas asks for.  A bucket that is still too large, as a hot
+shingle's is, is met in parts: every region in it counts as a large one, so all its members meet at the deeper levels.
+Components are contracted anew only where a level's links join them.
+
+Shingles are compared by 64-bit hashes (see ``words``).  A document without words has an empty set and links with nothing.
+Null texts have no words.  Rows that repeat a doc_id should repeat its text; they count as one document in links and each
+get their row.  A row without a doc_id has no component and, in ``one_of_each``, stays.  An empty table gives an empty
+result.  Other columns are left out by ``link_components`` and kept by ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .components import components
-from .shared import buffers, settled, shared_dir, small_batches, stored
+from .components import components, extended
+from .shared import buffers, settled, shared_dir, small_batches, stored, unused
 from .words import shingles
 
 #: Counters of the sketch that orders the shingles: 2 MB, whatever the input's size.
@@ -49,6 +54,8 @@ PRUNE = 4096
 DIVIDE = 256
 #: Members that meet a pivot in one task, at least.
 SHARE = 128
+#: Replicas (24 bytes each) for one bucket and for one task, and the bytes of a bucket that are unpacked at once.
+BUCKET_ROWS, TASK_ROWS, LIMIT = 250_000, 2_000_000, 64 << 20
 #: Routes (24 bytes each) that may be broadcast to the documents; with more of them, the join is shuffled.
 BROADCAST_ROUTES = 400_000
 
@@ -106,11 +113,11 @@ def _possible(nx, px, ny, py):
     return (4 * least >= 3 * most) & (7 * share >= 3 * (nx + ny))
 
 
-def _meet(regions: DataFrame, parts: int, small: int) -> DataFrame:
+def _meet(regions: DataFrame, parts: int, small: int, limit: int = LIMIT) -> DataFrame:
     """What the regions of level 0 ask for, by kind: 0 pairs (a, b) of a member and the region's smallest id, its pivot; 1 other pairs of small regions; 2 members a of large regions."""
 
     def run(batches):
-        for _, rows in blobs.by_bucket(batches):
+        for _, rows, whole in blobs.by_bucket(batches, limit):
             cols = [blobs.unpacked(data, ["<u8", "<i8", "<i4", "<i4"])[0] for _, data in rows]
             del rows
             key, doc, size, place = (np.concatenate(x) for x in zip(*cols, strict=True))
@@ -125,13 +132,14 @@ def _meet(regions: DataFrame, parts: int, small: int) -> DataFrame:
                 return np.stack([doc[y[ok]], doc[x[ok]]], 1)
 
             pairs = [possible(np.repeat(head, g), np.arange(len(key)))]
-            others = [possible(at + i, at + j) for n in range(3, small + 1) if len(at := head[g == n]) for i, j in combinations(range(1, n), 2)]
+            least = small if whole else 0  # the other members of a region in a part of a bucket may be in another part
+            others = [possible(at + i, at + j) for n in range(3, least + 1) if len(at := head[g == n]) for i, j in combinations(range(1, n), 2)]
             for kind, found in ((0, pairs), (1, others)):
                 if found and len(found := np.unique(np.concatenate(found), axis=0)):
                     n = len(found)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "region", "a", "b"])
-            large = np.repeat(g > small, g)
-            for a in np.flatnonzero((g > small) & (g <= PRUNE)):  # a member that can link to no other one there leaves the region
+            large = np.repeat(g > least, g)
+            for a in np.flatnonzero((g > least) & (g <= PRUNE)) if whole else ():  # a member that can link to no other one there leaves the region
                 at = np.arange(head[a], head[a] + g[a])
                 x, y = at[:, None], at[None, :]
                 large[at] = (_possible(size[x], place[x], size[y], place[y]) & (doc[x] != doc[y])).any(1)
@@ -277,32 +285,31 @@ def _compared(docs: DataFrame, members: DataFrame, parts: int, k: int) -> DataFr
     return stored(sent.mapInArrow(run, "a long, b long"), "compared")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, small: int = SMALL, levels: int = LEVELS, pivots: int = PIVOTS, divide: int = DIVIDE) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, small: int = SMALL, levels: int = LEVELS, pivots: int = PIVOTS, divide: int = DIVIDE, limit: int = LIMIT) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
     shared_dir(spark)
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(256, 4 * parts)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sizes, counts = _sizes_and_sketch(rows, k)
+    replicas = sizes.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
+    tasks = max(parts, replicas // TASK_ROWS)
+    buckets = max(256, 4 * tasks, replicas // BUCKET_ROWS)
     rarity = spark.sparkContext.broadcast(counts)
     known = rows.where("id is not null")
-    met = stored(_meet(_regions(known, k, rarity, buckets), parts, small), "met")
-    named = lambda links: components(links).select(F.col("node").alias("a"), "component")
+    met = stored(_meet(_regions(known, k, rarity, buckets), tasks, small, limit), "met")
     first = _verified(known, met.where("kind = 0").select("a", "b").distinct(), parts, k)
-    links = first.where(LINK).select("a", "b")
-    label = named(links)
+    label = components(first.where(LINK).select("a", "b")).select(F.col("node").alias("a"), "component").checkpoint()
     # a set that equals its pivot's is one point with it: they share all regions, so the pivot stands for both from here on
     same = stored(first.where("both = any").select("a").distinct(), "same")
     other = met.where("kind = 1").select("a", "b").distinct().join(same, "a", "left_anti").join(same.withColumnRenamed("a", "b"), "b", "left_anti").join(label, "a", "left").withColumnRenamed("component", "_ca")
     other = other.join(label.select(F.col("a").alias("b"), F.col("component").alias("_cb")), "b", "left").where("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
-    links = links.unionByName(_verified(known, other, parts, k).where(LINK).select("a", "b"))
-    label = named(links)
+    label = extended(label, _verified(known, other, parts, k).where(LINK))
     members = _merged(_mixed(met.where("kind = 2").select("region", "a").distinct().join(same, "a", "left_anti"), label))
     whole = members.limit(0)
     for level in range(levels):
-        members = _mixed(members, named(links) if level else label)
+        members = _mixed(members, label)
         if members.isEmpty():
             break
         whole = whole.unionByName(members.where(F.col("size") <= divide).select("region", "a"))
@@ -310,16 +317,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if members.isEmpty():
             break
         found, members, kept = _divide(known, members, level, pivots, parts, k)
-        links, whole = links.unionByName(found), whole.unionByName(kept)
-    rest = _mixed(members.select("region", "a").unionByName(whole), named(links))
+        label, whole = extended(label, found), whole.unionByName(kept)
+    rest = _mixed(members.select("region", "a").unionByName(whole), label)
     if not rest.isEmpty():
-        links = links.unionByName(_compared(known, rest, parts, k))
-    label = components(links)
-    out = sizes.join(label, sizes["id"] == label["node"], "left")
+        label = extended(label, _compared(known, rest, parts, k))
+    out = sizes.join(label.withColumnRenamed("a", "node"), sizes["id"] == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns; those without an id stay."""
-    heads = link_components(docs, id_col, text, **how).where(f"`{id_col}` <> component_id").select(id_col).distinct()
-    return docs.join(heads, id_col, "left_anti").select(*docs.columns)
+    (other,) = unused(docs.columns, "_other")
+    heads = link_components(docs, id_col, text, **how).where(f"`{id_col}` <> component_id").select(F.col(f"`{id_col}`").alias(other)).distinct()
+    return docs.join(heads, docs[f"`{id_col}`"] == heads[other], "left_anti")

@@ -5,14 +5,18 @@ words; consecutive windows with one minimiser travel as one packed string to the
 are cut out again, sorted, and each gets the smallest document that starts it.  Words under a window that also starts in
 a document with a smaller id are removed; windows are judged on the input.
 
-Hot windows: a task settles equal windows among its own documents first.  Only the smallest document's occurrence of a
-window leaves a chunk, so a passage shared by a third of all documents costs its bucket one string for each chunk of the
-input.  Within that document the one occurrence speaks for all: where the marks meet the text again, each place of a
-marked window follows.  Windows are compared by two independent 64-bit hashes over their words' 64-bit hashes.
+Buckets and tasks are as many as the bytes of the texts ask for, so neither grows with the input.  Hot windows: a task
+settles equal windows among its own documents first.  Only the smallest document's occurrence of a window leaves a chunk,
+so a passage shared by a third of all documents costs its bucket one string for each chunk of the input.  Within that
+document the one occurrence speaks for all: where the marks meet the text again, each place of a marked window follows.
+Hot minimisers: a bucket of more than ``limit`` bytes is settled in parts, and what each part keeps of a window goes,
+window by window, to buckets by the hash of the whole window; such rounds repeat until no bucket is too large.
+
+Windows are compared by two 64-bit hashes over their words' 64-bit hashes (see ``words``).
 
 Null texts have no words.  Rows that repeat a doc_id with the same text are alike and do not remove each other; doc_ids
 with different texts should be distinct (else marks of one hold for the other, as far as it has words).  Rows without a
-doc_id keep all words.  An empty table gives an empty result.
+doc_id keep all words.  An empty table gives an empty result.  ``remove_repeats`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .shared import buffers, small_batches
+from .shared import buffers, small_batches, stored, unused
 from .words import hashes, mix, run_starts, spans
 
 K, M = 13, 3
+#: Bytes of text for one bucket and for one task, and the bytes of a bucket that are unpacked at once.
+BUCKET_BYTES, TASK_BYTES, LIMIT = 4 << 20, 64 << 20, 64 << 20
 
 
 def _windows(word: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +94,17 @@ def _marks(doc: np.ndarray, start: np.ndarray, bucket) -> list[tuple]:
     return [(bucket, int(doc[i]), start[i:j].tobytes()) for i, j in zip(at, [*at[1:], len(doc)], strict=True)]
 
 
-def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
+def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, m: int = M, limit: int = LIMIT) -> DataFrame:
     """(id, starts binary): word numbers (32-bit, little-endian) at which a window to remove starts; several rows a document.
 
     Of a window that a document holds more than once, one place at least is named; ``covered`` finds the others.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(256, 4 * parts)
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    buckets = max(256, 4 * parts, total // BUCKET_BYTES)
 
     def chunk_rows(ids: list, flat: np.ndarray, offsets: np.ndarray, turn: int) -> list[tuple]:
         start, end, counts = spans(flat, offsets)
@@ -133,33 +141,54 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 yield blobs.batch(rows[i : i + 500])
             del ids, flat, offsets, rows
 
-    def bucket_rows(rows: list[tuple]) -> list[tuple]:
+    def bucket_rows(rows: list[tuple], whole: bool, turn: int) -> list[tuple]:
         docs_, firsts, sizes, strings = [], [], [], []
         for _, data in rows:
             (d, f, n), body = blobs.unpacked(data, ["<i8", "<i4", "<i4"])
             docs_.append(d), firsts.append(f), sizes.append(n), strings.append(body)
         d, f, n = (np.concatenate(x) for x in (docs_, firsts, sizes))
-        flat = np.frombuffer(b"".join(strings), np.uint8)
+        raw = b"".join(strings)
+        flat = np.frombuffer(raw, np.uint8)
         del strings
         start, end, counts = spans(flat, np.concatenate([[0], np.cumsum(n, dtype=np.int64)]))
         word = hashes(flat, start, end, False)
         at = run_starts(counts, k)
         owner = np.repeat(np.arange(len(counts)), counts)[at]
         doc = d[owner]
-        later, _ = _later(*_windows(word, at, k), doc)
+        a, b = _windows(word, at, k)
+        later, keep = _later(a, b, doc)
         place = at - np.concatenate([[0], np.cumsum(counts)])[owner] + f[owner]
-        return _marks(doc[later], place[later], 0)
-
-    def settle(batches):
-        for bucket, rows in blobs.by_bucket(batches):
-            out = [(0, i, data) for i, data in rows] if bucket < 0 else bucket_rows(rows)
-            for i in range(0, len(out), 1000):
-                yield blobs.batch(out[i : i + 1000])
-            del rows, out
-
-    sent = docs.select(id_col, text).where(F.col(id_col).isNotNull()).mapInArrow(split, blobs.SCHEMA)
-    found = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, blobs.SCHEMA)
-    return found.select(F.col("id").alias(id_col), F.col("data").alias("starts"))
+        out = _marks(doc[later], place[later], 0)
+        if not whole and len(one := np.flatnonzero(keep)):
+            # the windows of this part go on alone, to buckets 1, 2, ... by their own hash, another one each round
+            where = (mix(b[one] + np.uint64(turn)) % np.uint64(buckets)).astype(np.int32) + 1
+            order = np.argsort(where, kind="stable")
+            one, where = one[order], where[order]
+            x, y = start[at[one]], end[at[one] + k - 1]
+            cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            for i, j in zip(cuts, [*cuts[1:], len(where)], strict=True):
+                alone = b"".join([raw[p:q] for p, q in zip(x[i:j].tolist(), y[i:j].tolist(), strict=True)])
+                out.append((int(where[i]), None, blobs.packed([doc[one[i:j]], place[one[i:j]].astype("<i4"), (y[i:j] - x[i:j]).astype("<i4")], alone)))
+        return out
+
+    def settled_by(turn: int):
+        def settle(batches):
+            for bucket, rows, whole in blobs.by_bucket(batches, limit):
+                out = [(0, i, data) for i, data in rows] if bucket < 0 else bucket_rows(rows, whole, turn)
+                for i in range(0, len(out), 1000):
+                    yield blobs.batch(out[i : i + 1000])
+                del rows, out
+
+        return settle
+
+    left, turn, marks = known.mapInArrow(split, blobs.SCHEMA), 0, None
+    while True:
+        found = stored(left.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settled_by(turn), blobs.SCHEMA), "windows")
+        here = found.where("bucket = 0").select(F.col("id").alias(id_col), F.col("data").alias("starts"))
+        marks = here if marks is None else marks.unionByName(here)
+        left, turn = found.where("bucket > 0"), turn + 1
+        if left.isEmpty():
+            return marks
 
 
 def covered(text: bytes, starts: list[bytes], k: int = K) -> np.ndarray:
@@ -179,8 +208,10 @@ def covered(text: bytes, starts: list[bytes], k: int = K) -> np.ndarray:
 
 
 def with_marks(docs: DataFrame, id_col: str, text: str, k: int, m: int) -> DataFrame:
-    marks = removed_windows(docs, id_col, text, k, m).groupBy(id_col).agg(F.collect_list("starts").alias("_starts"))
-    return docs.join(marks, id_col, "left")
+    """The columns of docs and, last, a list of the starts that are marked; null without."""
+    own, starts = unused(docs.columns, "_id", "_starts")
+    marks = removed_windows(docs, id_col, text, k, m).groupBy(F.col(id_col).alias(own)).agg(F.collect_list("starts").alias(starts))
+    return docs.join(marks, docs[f"`{id_col}`"] == marks[own], "left").select(*[docs[f"`{c}`"] for c in docs.columns], marks[starts])
 
 
 def kept_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -200,7 +231,7 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
-    rows = with_marks(docs.select(id_col, text), id_col, text, k, m).select(id_col, text, "_starts")
+    rows = with_marks(docs.select(f"`{id_col}`", f"`{text}`"), id_col, text, k, m)
     return rows.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -221,4 +252,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return with_marks(docs, id_col, text, k, m).select(*[f"`{c}`" for c in schema.names], "_starts").mapInArrow(run, schema)
+    return with_marks(docs, id_col, text, k, m).mapInArrow(run, schema)
