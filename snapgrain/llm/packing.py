@@ -6,14 +6,16 @@ and compares its bin count with a lower bound: the largest of the rounded-up tok
 sizes.  Where both agree the count is proven optimal and the partition is done.  A partition with a gap, or whose last
 bins are not full, keeps its full bins and hands the pieces of the others to fewer partitions, which pack again; the
 rounds end with one partition when what is left is small.  Only pieces of bins with free room move, so each round moves a
-small part of the one before.
+small part of the one before.  Where the pieces that are left no longer fit fewer tasks (their bins stay open round after
+round, so there is nothing to gain), the round closes them as they are, with a gap that no bound certifies.
 
-Null texts count as empty: one piece with the closing id only.  Rows that repeat a doc_id make pieces of their own.  An
-empty table gives an empty result.
+Null texts count as empty: one piece with the closing id only.  Rows that repeat a doc_id make pieces of their own; rows
+without one make pieces with a null id.  An empty table gives an empty result.  Other columns of the input are left out.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,8 +28,8 @@ from .shared import small_batches, stored, texts
 
 #: Pieces that one task packs at once.
 PER_TASK = 20_000
-#: The rounds at most; the last one closes every bin.
-ROUNDS = 8
+#: White space in one run from which a text goes to the tokenizer file's own library, as the pattern's look-ahead would backtrack too far.
+LONG_SPACE = re.compile(r"(?<!\s)\s{50000}")
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,7 +85,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length", per_task: int = PER_TASK) -> DataFrame:
-    """pieces (1 <= length <= capacity) with sequence_id and offset; the columns of pieces stay.  sequence_id = 2**40 * (round, partition) + bin."""
+    """pieces (1 <= length <= capacity) with sequence_id and offset; the columns of pieces stay.  sequence_id holds the round, the partition in 22 bits and the bin in 36."""
     schema = pieces.schema
     names = schema.names
     at_length = names.index(length)
@@ -115,7 +117,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", per_task: int
             offset = before - before[first[where]]
             task = TaskContext.get().partitionId()
             table = table.take(pa.array(order))
-            table = table.append_column("sequence_id", pa.array(((level << 20 | task) << 40) + where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+            table = table.append_column("sequence_id", pa.array(((level << 22 | task) << 36) + where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
             yield from table.append_column("_open", pa.array(open_bin[where])).to_batches()
 
         return run
@@ -124,17 +126,19 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", per_task: int
     closed: list[DataFrame] = []
     left = pieces
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    for level in range(ROUNDS):
-        n = left.count()
+    level, parts = 0, 0
+    while True:
+        n, before = left.count(), parts
         # a quarter of the partitions each round, unless a task would then get far more than its share
         parts = max(1, n // per_task if level == 0 else max(n // (16 * per_task), min(n // per_task, parts // 4)))
-        last = parts == 1 or level + 1 == ROUNDS
+        last = parts == 1 or (level > 0 and parts >= before)
         dealt = left.repartition(parts, F.pmod(spread + level * 7919, F.lit(parts * 64))) if parts > 1 else left.coalesce(1)
         done = stored(dealt.mapInArrow(packer(level, last), out_schema), f"pack{level}")
         closed.append(done.where("not _open").drop("_open"))
         left = done.where("_open").select(*names)
         if last:
             break
+        level += 1
     result = closed[0]
     for c in closed[1:]:
         result = result.unionByName(c)
@@ -163,7 +167,7 @@ _held: dict = {}
 
 
 def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> Callable[[], Callable[[str], list[int]]]:
-    """An encoder by the ranks file, whose ids equal those of the tokenizer file, special tokens included, at a quarter of the time."""
+    """An encoder by the ranks file, whose ids equal those of the tokenizer file, special tokens included, at a quarter of the time; texts with very long white space take the tokenizer file itself."""
 
     def make():
         if json_path not in _held:
@@ -177,7 +181,17 @@ def byte_bpe(json_path: str, ranks_path: str, pattern: str) -> Callable[[], Call
             with open(json_path, encoding="utf-8") as f:
                 special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-            _held[json_path] = lambda body: e.encode(body, allowed_special="all")
+
+            def encode(body: str) -> list[int]:
+                if not LONG_SPACE.search(body):
+                    return e.encode(body, allowed_special="all")
+                if ranks_path not in _held:
+                    from tokenizers import Tokenizer
+
+                    _held[ranks_path] = Tokenizer.from_file(json_path)
+                return _held[ranks_path].encode(body, add_special_tokens=False).ids
+
+            _held[json_path] = encode
         return _held[json_path]
 
     return make
