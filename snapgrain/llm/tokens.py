@@ -2,16 +2,22 @@
 
 ``Merger`` takes the words of a batch that it has not met before as one flat array of symbols.  Each round looks every
 neighbouring pair up by binary search over the sorted pair keys, finds the lowest rank in each word, and merges that
-pair's occurrences in all words at once, until no word has a pair left.  Results are kept in a cache of bounded size.
+pair's occurrences in all words at once, until no word has a pair left.  Words of more than LONG symbols merge together,
+one rank a round from the lowest up, and each round looks only at the places that the one before changed: a merge makes
+pairs of higher ranks only, so a rank is done once and the cost does not grow with the square of a word's length.  Results
+are kept in a cache of bounded size.
 
 ``WordBpe`` adds what the vocabulary file asks for around it: special tokens are found first and cut the text; then NFC,
 white space, lower case and the word pattern; the last symbol of a word carries its end mark.  Decoding joins the tokens
 by one space, as the file names no decoder.  A null text counts as empty; an empty text has no ids and decodes to "".
+Rows that repeat a doc_id, or have none, each get their result; an empty table gives an empty result; other columns of the
+input are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -24,6 +30,8 @@ from .shared import small_batches, texts
 
 #: Words kept with their ids in each Python worker.
 CACHE = 400_000
+#: Symbols of a word from which it merges rank by rank.
+LONG = 256
 
 
 def byte_chars() -> list[str]:
@@ -33,6 +41,12 @@ def byte_chars() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def second(follows: np.ndarray) -> np.ndarray:
+    """Of runs of places that each follow the one before: every second one."""
+    n = np.arange(len(follows))
+    return (n - np.maximum.accumulate(np.where(follows, 0, n))) % 2 == 1
+
+
 class Merger:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         left = np.array([vocab[a] for a, _ in merges], np.int64)
@@ -42,6 +56,10 @@ class Merger:
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order
         self.to = np.array([vocab[a + b] for a, b in merges], np.int64)
+        # whether every merge takes only symbols that merges of lower ranks made
+        made = np.full(self.base, -1, np.int64)
+        np.maximum.at(made, self.to, np.arange(len(merges)))
+        self.rising = bool((np.maximum(made[left], made[right]) < np.arange(len(merges))).all())
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair; one past the last where there is none."""
@@ -51,8 +69,64 @@ class Merger:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], len(self.key))
 
+    def by_rank(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, a rank a round; only for merges that are ``rising``."""
+        n, none = len(symbols), len(self.key)
+        sym, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        cut = np.flatnonzero(owner[1:] != owner[:-1])
+        after[cut], after[-1:], before[cut + 1] = -1, -1, -1
+        rank, live = np.full(n, none, np.int64), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at):
+            """Rank the pairs that start at these places and put them on the list of their rank."""
+            pair = at[after[at] >= 0]
+            rank[at] = none
+            found = self.lookup(sym[pair], sym[after[pair]])
+            rank[pair] = found
+            order = np.argsort(found, kind="stable")
+            pair, found = pair[order], found[order]
+            heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else []
+            for a, b in zip(heads, [*heads[1:], len(found)], strict=True):
+                r = int(found[a])
+                if r != none:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(pair[a:b])
+
+        look(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            at = at[~second(np.concatenate([[False], after[at[:-1]] == at[1:]]))]
+            gone = after[at]
+            sym[at] = self.to[r]
+            live[gone], rank[gone] = False, none
+            after[at] = after[gone]
+            has = at[after[at] >= 0]
+            before[after[has]] = has
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return sym[live], owner[live]
+
     def merge(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merged symbols and their words, for symbols in word order."""
+        size = np.bincount(owner) if len(owner) else np.zeros(0, np.int64)
+        long = self.rising & (size[owner] > LONG)
+        if not long.any():
+            return self.in_words(symbols, owner)
+        a, b = self.by_rank(symbols[long], owner[long]), self.in_words(symbols[~long], owner[~long])
+        symbols, owner = (np.concatenate(x) for x in zip(a, b, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return symbols[order], owner[order]
+
+    def in_words(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, the lowest rank of every word a round."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.key)
         while len(symbols):
@@ -73,9 +147,7 @@ class Merger:
             hit = rank == each
             # of a run of overlapping occurrences (a a a), every second one merges, from the left
             at = np.flatnonzero(hit)
-            begins = np.concatenate([[True], np.diff(at) != 1])
-            since = np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-            at = at[since % 2 == 0]
+            at = at[~second(np.concatenate([[False], np.diff(at) == 1]))]
             symbols = symbols.copy()
             symbols[at] = self.to[rank[at]]
             keep = np.ones(len(symbols), bool)
