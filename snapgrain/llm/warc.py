@@ -5,7 +5,8 @@ files that can be split.  Reading cuts the files at every magic ``WARC/1.0\\r\\n
 Each cut is only a candidate: a task parses what follows as a header and emits the candidate's offset and the offset of
 its successor.  Pointer jumping from offset 0 of each file, doubling the step each round, keeps the candidates that the
 chain of lengths reaches; a magic inside a payload is not among them, even if a whole record follows it.  A record whose
-payload holds magics is put together again from its cuts.
+payload holds magics is put together again from its cuts.  A chain must lead to the very end of its file: an archive that
+is cut off, or whose lengths are damaged, is an error that names the file and the place, never a shorter result.
 
 Null html counts as an empty payload, a null url as an empty one; white space and control characters in a url are
 written as %20.  Rows that repeat a page_id are records of their own.  Payloads under ``least`` bytes are never revisits.
@@ -155,7 +156,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     placed = cuts.join(blocks, ["file", "block"]).withColumn("off", F.when(F.col("_fits"), F.col("_base") + F.col("place")).otherwise(F.raise_error("cuts do not add up to their file")))
     placed = placed.where("not (block = 0 and k = 0)").select("file", "off", "unit", (F.col("off") + F.col("takes")).alias("succ"), "whole", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     placed = settled(placed, cuts.count())
-    real = placed.join(reachable(placed.select("file", "off", "succ")), ["file", "off"], "left_semi")
+    real = placed.join(reachable(placed.select("file", "off", "succ")), ["file", "off"], "left_semi").checkpoint()
+    ends = real.groupBy("file").agg(F.max(F.coalesce("succ", "off")).alias("_end"))
+    sizes = cuts.groupBy("file").agg(F.max("file_size").alias("_size"))
+    short = sizes.join(ends, "file", "left").where("_size > 0 and not (_end <=> _size)").orderBy("file").limit(3).collect()
+    if short:
+        raise ValueError("damaged archives: " + ", ".join(f"{r['file']} ends at {r['_size']}, its records at {r['_end']}" for r in short))
     fields = [c.split()[0] for c in RECORD.split(", ")]
     whole = real.where("whole and succ = off + unit").select(*fields)
     broken = real.where("not (whole and succ = off + unit)").select("file", F.col("off").alias("_from"), F.col("succ").alias("_to")).checkpoint()
