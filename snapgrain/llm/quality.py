@@ -6,9 +6,15 @@ thresholds t_1 < t_2 turn z into P(grade >= j) = sigmoid(z - t_j).  From these c
 
 Grades from labels (quality, toxic): 0 of low quality, 1 of good quality but toxic, 2 clean.  The model is fitted on the
 ``sample`` labelled rows with the smallest hash of their id (a documented bound; all rows where there are fewer), every
-document is scored on its whole text.  Rows without a quality label or without a document do not count.  Without any
-usable label, or with labels of one grade only, nothing can be learned: expected and tail are null and all documents stay.
-A null text counts as empty.  Rows that repeat a doc_id are scored each by its text.
+document is scored on its whole text.  Of a sampled row's text the driver gets no more than its features: hashes of words
+and measures, about 8 bytes a word.  Rows without a quality label or without a document do not count; a null toxic label
+counts as not toxic.  Of clashing labels of one doc_id the lowest grade holds.  Without any usable label, or with labels of
+one grade only, nothing can be learned: expected and tail are null and all documents stay.
+
+A null text counts as empty.  Rows that repeat a doc_id are scored each by its text; of those, a label trains on the text
+with the least hash.  Rows without an id are scored and have no label.  Other columns of the input stay, but for those
+named expected, tail or kept in any case, in whose place ``graded`` puts its own; ``select_good`` keeps all.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import buffers, small_batches
+from .shared import buffers, small_batches, unused
 from .words import LOWER, groups, hashes, spans
 
 BITS, SAMPLE, DENSE, GRADES = 18, 4000, 12, 3
@@ -135,30 +141,49 @@ def fit(index: np.ndarray, counts: np.ndarray, dense: np.ndarray, seen: np.ndarr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list:
-    """At most sample rows (text, grade)."""
-    graded = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    chosen = graded.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded by sample, so it may be broadcast
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_id", body.alias("text"), "grade").orderBy("_id", "text").collect()
+    """The features and the grade of at most sample labelled documents; a row each, in order of id."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    lowest = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(grade).alias("grade"))
+    chosen = lowest.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded by sample, so it may be broadcast
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")
+    own = docs.select(F.col(f"`{id_col}`").alias("_id"), body, F.xxhash64(body).alias("_hash"))
+    found = own.join(F.broadcast(chosen), "_id")
+    one = found.groupBy("_id", "grade").agg(F.min(F.struct("_hash", "_text")).alias("_row")).select("_id", F.col("_row._text").alias("_text"), "grade")
+
+    def run(batches):
+        for batch in batches:
+            flat, offsets = buffers(batch.column(1))
+            rows = []
+            for a, b in groups(offsets):
+                index, counts, dense, seen, distinct = features(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                words, kinds = np.split(index.astype("<i4"), np.cumsum(counts)[:-1]), np.split(seen.astype("<u8"), np.cumsum(distinct)[:-1])
+                rows += [(w.tobytes(), d.tolist(), k.tobytes()) for w, d, k in zip(words, dense, kinds, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            arrays = [batch.column(0), batch.column(2), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.float64())), pa.array(columns[2], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "grade", "words", "dense", "seen"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return sorted(one.mapInArrow(run, f"_id {kind}, grade int, words binary, dense array<double>, seen binary").collect(), key=lambda r: r["_id"])
 
 
 def train(rows: list) -> Model | None:
     grade = np.array([r["grade"] for r in rows], np.int64)
     if len(np.unique(grade)) < 2:
         return None
-    flat, offsets = buffers(pa.array([r["text"] for r in rows], pa.large_string()))
-    parts = [features(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in groups(offsets)]
-    return fit(*(np.concatenate(x) for x in zip(*parts, strict=True)), grade)
+    words, seen = ([np.frombuffer(r[c], kind) for r in rows] for c, kind in (("words", "<i4"), ("seen", "<u8")))
+    size = lambda parts: np.array([len(x) for x in parts], np.int64)
+    return fit(np.concatenate(words).astype(np.int64), size(words), np.array([r["dense"] for r in rows]), np.concatenate(seen).astype(np.uint64), size(seen), grade)
 
 
-def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """docs with expected (grade), tail (P(grade >= 2)) and kept."""
+def scores(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str], id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """docs with expected (grade), tail (P(grade >= 2)) and kept under names, which docs must not have."""
     spark = docs.sparkSession
     small_batches(spark)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     model = train(labelled(docs, labels, id_col, text, sample))
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select("*", none.alias("expected"), none.alias("tail"), F.lit(True).alias("kept"))
+        return docs.select(*own, none.alias(names[0]), none.alias(names[1]), F.lit(True).alias(names[2]))
     shared = spark.sparkContext.broadcast(model)  # 2 MB and the presence weights of the sample, whatever the input
 
     @F.pandas_udf("struct<expected double, tail double>")
@@ -170,11 +195,18 @@ def graded(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         tail = np.concatenate(out) if out else np.zeros((0, 2))
         return pd.DataFrame({"expected": tail.sum(1), "tail": tail[:, 1]})
 
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    scored = docs.select(*names, score(F.col(text)).alias("_score"))
-    return scored.select(*names, F.col("_score.expected").alias("expected"), F.col("_score.tail").alias("tail"), (F.col("_score.tail") >= keep).alias("kept"))
+    (s,) = unused([*docs.columns, *names], "_score")
+    scored = docs.select(*own, score(F.col(f"`{text}`")).alias(s))
+    return scored.select(*own, F.col(f"{s}.expected").alias(names[0]), F.col(f"{s}.tail").alias(names[1]), (F.col(f"{s}.tail") >= keep).alias(names[2]))
+
+
+def graded(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs with expected (grade), tail (P(grade >= 2)) and kept; columns of docs with these names give way."""
+    names = ("expected", "tail", "kept")
+    return scores(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), labels, names, **how)
 
 
 def select_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that stay, with their columns."""
-    return graded(docs, labels, **how).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    names = unused(docs.columns, "_expected", "_tail", "_kept")
+    return scores(docs, labels, tuple(names), **how).where(F.col(names[2])).select(*[f"`{c}`" for c in docs.columns])
