@@ -7,8 +7,8 @@ and its place.  Boosted trees score each node; the decoder then labels all nodes
 child may be left out, nothing under a node that is out comes back, and a node around the article is neither.  So no
 choice contradicts an ancestor's.
 
-The trees are trained here, on pages that ``made_page`` composes from a seed with every node's label known; PAGES bounds
-their number.  A null or empty page gives an empty text.  Rows that repeat a page_id each get a result.  An empty table
+The trees are trained here, on pages of several layouts that ``made_page`` composes from a seed with every node's label known; PAGES
+bounds their number.  A null or empty page gives an empty text.  Rows that repeat a page_id each get a result.  An empty table
 gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .shared import small_batches, texts
 
-PAGES, ROUNDS, DEPTH = 400, 40, 4
+PAGES, ROUNDS, DEPTH = 600, 40, 4
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea iframe title".split())  # what follows is raw up to the end tag, or the page's end
@@ -311,75 +311,140 @@ def blocks(nodes: list[Node], keep: np.ndarray) -> str:
     return "\n".join(lines)
 
 
-def made_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page and the tokens that are in its article; every word of the page is a token of its own kind: c… in the article, x… elsewhere."""
+class Maker:
+    """Composes pages whose every word is a token of its own kind: c... in the article, x... elsewhere."""
 
-    def words(kind, low, high):
-        out = []
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def words(self, kind: str, low: int, high: int) -> str:
+        rng, out = self.rng, []
         for i in range(rng.randint(low, high)):
             w = kind + "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(1, 8)))
             out.append(w + rng.choice(["", "", "", "", ",", "."]) if i else w.capitalize())
         return " ".join(out) + rng.choice([".", ".", "", "!"])
 
-    def links(n):
-        return "".join(f'<li><a href="#">{words("x", 1, 3)}</a></li>' for _ in range(n))
+    def some(self, *options):
+        return self.rng.choice(options)
+
+    def maybe(self, share: float, text: str) -> str:
+        return text if self.rng.random() < share else ""
 
-    def name(*options):
-        return rng.choice(options)
+    def links(self, n: int, tag: str = "li") -> str:
+        return "".join(f'<{tag}><a href="#">{self.words("x", 1, 3)}</a></{tag}>' for _ in range(n))
 
-    def paragraph():
-        inner = words("c", 1, 90)
-        if rng.random() < 0.2:
-            inner += f' <a href="#">{words("c", 1, 4)}</a> {words("c", 2, 20)}'
-        shape = rng.random()
+    def paragraph(self, plain: str = "p") -> str:
+        inner, shape = self.words("c", 1, 90), self.rng.random()
+        if self.rng.random() < 0.2:
+            inner += f' <a href="#">{self.words("c", 1, 4)}</a> {self.words("c", 2, 20)}'
+        if plain == "div":
+            return f"<div>{inner}</div>" if shape < 0.8 else f"<div><span>{inner}</span></div>" if shape < 0.9 else f"{inner}<br><br>"
         return f"<p>{inner}</p>" if shape < 0.7 else f"<p><b>{inner}</b></p>" if shape < 0.75 else f"<b>{inner}<br>" if shape < 0.85 else f"<div>{inner}</div>" if shape < 0.9 else f"<p>{inner}"
 
-    def extra():
-        return rng.choice([
-            lambda: f"<ul>{''.join(f'<li>{words("c", 1, 20)}</li>' for _ in range(rng.randint(2, 6)))}</ul>",
+    def items(self) -> str:
+        tag = self.some("ul", "ul", "ol")
+        return f"<{tag}>{''.join(f'<li>{self.words("c", 1, 20)}</li>' for _ in range(self.rng.randint(2, 6)))}</{tag}>"
+
+    def extra(self) -> str:
+        words, some = self.words, self.some
+        return self.rng.choice([
+            self.items, self.items,
             lambda: f"<blockquote><p>{words('c', 5, 40)}</p></blockquote>",
-            lambda: f"<h2>{words('c', 1, 8)}</h2>",
+            lambda: f"<{(h := some('h2', 'h3'))}>{words('c', 1, 8)}</{h}>",
             lambda: f"<pre>{words('c', 3, 20)}</pre>",
+            lambda: f"<figure><img src=x><figcaption>{words('c', 2, 12)}</figcaption></figure>",
+            lambda: f"<dl><dt>{words('c', 1, 4)}<dd>{words('c', 2, 20)}</dl>",
             lambda: f"<table><tr><td>{words('c', 1, 5)}</td><td>{words('c', 1, 5)}</td></tr></table>",
-            lambda: f'<div class="{name("ad", "advert", "ad-slot", "promo", "sponsored")}">{words("x", 3, 30)}</div>',
-            lambda: f'<aside class="{name("related", "sidebar", "widget")}"><ul>{links(rng.randint(2, 5))}</ul></aside>',
-            lambda: f'<form class="{name("newsletter", "subscribe", "search")}"><label>{words("x", 1, 6)}</label><input><button>{words("x", 1, 2)}</button></form>',
-            lambda: f'<div class="{name("share", "social")}"><a href="#">{words("x", 1, 1)}</a> <a href="#">{words("x", 1, 1)}</a></div>',
+            lambda: f'<div class="{some("ad", "advert", "ad-slot", "promo", "sponsored")}">{words("x", 3, 30)}</div>',
+            lambda: f'<aside class="{some("related", "sidebar", "widget")}"><ul>{self.links(self.rng.randint(2, 5))}</ul></aside>',
+            lambda: f'<form class="{some("newsletter", "subscribe", "search")}"><label>{words("x", 1, 6)}</label><input><button>{words("x", 1, 2)}</button></form>',
+            lambda: f'<div class="{some("share", "social")}"><a href="#">{words("x", 1, 1)}</a> <a href="#">{words("x", 1, 1)}</a></div>',
         ])()
 
-    top = [
-        f"<nav>{'<ul>' + links(rng.randint(3, 8)) + '</ul>'}</nav>",
-        f'<header class="{name("site-header", "top", "")}"><h1>{words("x", 1, 4)}</h1><p>{words("x", 1, 9)}</p></header>',
-        f'<div class="{name("nav", "menu", "breadcrumbs")}">{links(rng.randint(2, 5))}</div>',
-        f'<div class="{name("cookie-notice", "consent", "notice", "banner")}">{words("x", 5, 40)} <button>{words("x", 1, 1)}</button></div>',
-        f'<div class="{name("ad", "ads", "advertisement")}">{words("x", 2, 20)}</div>',
-    ]
-    bottom = [
-        f'<footer>{words("x", 2, 30)}</footer>',
-        f'<div class="{name("footer", "copyright")}"><p>{words("x", 2, 15)}</p></div>',
-        f'<aside class="{name("sidebar", "side", "")}"><h3>{words("x", 1, 3)}</h3><ul>{links(4)}</ul><p>{words("x", 5, 30)}</p></aside>',
-        f'<{(t := name("section", "div"))} class="{name("comments", "comment-list", "replies")}"><h3>{words("x", 1, 3)}</h3>' + "".join(f'<div class="comment"><p>{words("x", 3, 60)}</p></div>' for _ in range(rng.randint(1, 6))) + f"</{t}>",
-        f'<form class="{name("login", "search", "contact")}"><label>{words("x", 1, 4)}</label><textarea></textarea></form>',
-    ]
-    body = [f"<h1>{words('c', 1, 10)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14])):
-        body.append(paragraph())
-        if rng.random() < 0.25:
-            body.append(extra())
-    if not body:
-        body = [paragraph()]
-    a, z = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ('<main><article class="entry">', "</article></main>")])
-    head = "".join(x for x in top if rng.random() < 0.45)
-    tail = "".join(x for x in bottom if rng.random() < 0.45)
-    page = f"<html><head><title>{words('x', 1, 5)}</title></head><body>{head}{a}{''.join(body)}{z}{tail}</body></html>"
-    return page, []
+    def body(self, plain: str = "p", most: tuple = (0, 1, 1, 2, 3, 5, 8, 14)) -> str:
+        out = []
+        for _ in range(self.rng.choice(most)):
+            out.append(self.paragraph(plain) + self.maybe(0.25, self.extra()))
+        return "".join(out)
+
+    def comments(self) -> str:
+        words, n, name = self.words, self.rng.randint(1, 6), self.some("comments", "comment-list", "replies", "commentlist", "responses discussion")
+        if self.rng.random() < 0.4:
+            return f'<ol class="{name}">' + "".join(f"<li><cite>{words('x', 1, 2)}</cite><p>{words('x', 3, 60)}</p></li>" for _ in range(n)) + "</ol>"
+        tag = self.some("section", "div")
+        return f'<{tag} class="{name}"><h3>{words("x", 1, 3)}</h3>' + "".join(f'<div class="comment"><p>{words("x", 3, 60)}</p></div>' for _ in range(n)) + f"</{tag}>"
+
+    def around(self) -> tuple[str, str]:
+        """What stands before and behind the article."""
+        words, some, links, r = self.words, self.some, self.links, self.rng
+        top = [
+            f"<nav>{'<ul>' + links(r.randint(3, 8)) + '</ul>'}</nav>",
+            f'<header class="{some("site-header", "top", "")}"><h1>{words("x", 1, 4)}</h1><p>{words("x", 1, 9)}</p></header>',
+            f'<div class="{some("nav", "menu", "breadcrumbs")}">{links(r.randint(2, 5))}</div>',
+            f'<div class="{some("cookie-notice", "consent", "notice", "banner")}">{words("x", 5, 40)} <button>{words("x", 1, 1)}</button></div>',
+            f'<div class="{some("ad", "ads", "advertisement")}">{words("x", 2, 20)}</div>',
+        ]
+        bottom = [
+            f"<footer>{words('x', 2, 30)}</footer>",
+            f'<div class="{some("footer", "copyright")}"><p>{words("x", 2, 15)}</p></div>',
+            f'<aside class="{some("sidebar", "side", "")}"><h3>{words("x", 1, 3)}</h3><ul>{links(4)}</ul><p>{words("x", 5, 30)}</p></aside>',
+            self.comments(),
+            f'<form class="{some("login", "search", "contact")}"><label>{words("x", 1, 4)}</label><textarea></textarea></form>',
+        ]
+        return "".join(x for x in top if r.random() < 0.45), "".join(x for x in bottom if r.random() < 0.45)
+
+    def classic(self) -> str:
+        a, z = self.some(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main-content"><div class="post-body">', "</div></div>"), ('<section class="story">', "</section>"), ('<main><article class="entry">', "</article></main>"))
+        head, tail = self.around()
+        inner = self.maybe(0.8, f"<h1>{self.words('c', 1, 10)}</h1>") + self.body()
+        return head + a + (inner or self.paragraph()) + z + tail
+
+    def headed(self) -> str:
+        """An article with a header, and perhaps a footer, of its own."""
+        words, head, tail = self.words, *self.around()
+        by = self.some(f"<p>{words('c', 2, 6)}</p>", f'<p class="byline">{words("c", 2, 6)}</p>', f"<div><span>{words('c', 2, 4)}</span> <time>{words('c', 1, 3)}</time></div>", "")
+        inner = f"<header><h1>{words('c', 1, 12)}</h1>{by}</header>{self.body(most=(1, 2, 4, 8))}"
+        a, z = self.some(("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<article class="post">', "</article>"), ("<div><main>", "</main></div>"))
+        return head + a + inner + z + tail
+
+    def divs(self) -> str:
+        """Nothing but divs, whose classes tell nothing."""
+        words, r = self.words, self.rng
+        mark = lambda: self.maybe(0.5, f' class="{self.some("c", "box", "row", "col", "x", "wrap", "inner", "l")}{r.randint(1, 40)}"')
+        menu = f"<div{mark()}>{' '.join(f'<a href=#>{words("x", 1, 2)}</a>' for _ in range(r.randint(3, 9)))}</div>"
+        title = self.maybe(0.8, f"<{(t := self.some('div', 'h1', 'h2'))}>{words('c', 2, 10)}</{t}>")
+        inner = title + "".join(f"<div>{words('c', 25, 120)}</div>" + self.maybe(0.3, self.items()) for _ in range(r.randint(2, 8)))
+        foot = f"<div{mark()}>{self.some('&copy; ', '')}{words('x', 2, 12)} <a href=#>{words('x', 1, 2)}</a></div>"
+        depth = r.randint(0, 3)
+        return menu + f"<div{mark()}>" * depth + f"<div{mark()}>{inner}</div>" + "</div>" * depth + self.maybe(0.8, foot)
+
+    def blog(self) -> str:
+        words, r = self.words, self.rng
+        top = f'<div id="{self.some("header", "masthead", "branding")}"><h1><a href="#">{words("x", 1, 4)}</a></h1><div class="description">{words("x", 2, 9)}</div></div>'
+        title = f'<h2 class="{self.some("post-title", "entry-title", "title")}">{words("c", 2, 10)}</h2>'
+        date = self.maybe(0.3, f'<div class="date">{words("c", 2, 4)}</div>')
+        inner = self.body(most=(1, 2, 3, 5, 8)) + self.maybe(0.6, self.items() + self.paragraph())
+        wrapped = f'<div class="{self.some("entry", "post-content", "entry-content", "text")}">{inner}</div>' if r.random() < 0.7 else inner
+        meta = self.maybe(0.5, f'<div class="{self.some("share", "post-footer", "social")}">{words("x", 1, 6)} <a href=#>{words("x", 1, 2)}</a></div>')
+        side = f'<div id="{self.some("sidebar", "secondary")}"><div class="widget"><h3>{words("x", 1, 3)}</h3><ul>{self.links(r.randint(3, 9))}</ul></div></div>'
+        parts = f'<div class="{self.some("post", "hentry", "blog-post", "post type-post")}">{title}{date}{wrapped}{meta}</div>'
+        return self.maybe(0.9, top) + self.some('<div id="content">', '<div class="main">', "<div>") + parts + self.maybe(0.6, self.comments()) + "</div>" + self.maybe(0.8, side) + self.maybe(0.7, f'<div id="footer">{words("x", 2, 12)}</div>')
+
+
+LAYOUTS = ("classic", "classic", "headed", "divs", "blog")
+
+
+def made_page(rng: random.Random, layout: str | None = None) -> str:
+    m = Maker(rng)
+    inner = getattr(m, layout or rng.choice(LAYOUTS))()
+    return f"<html><head><title>{m.words('x', 1, 5)}</title></head><body>{inner}</body></html>"
 
 
 def training(seed: int = 7, pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
     """(features, labels) of the nodes of made pages; a node's label is whether most of its subtree's words are the article's, except for nodes around the whole article, which do not train."""
     rng, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
-        nodes = tree(made_page(rng)[0])
+        nodes = tree(made_page(rng))
         c, x = np.zeros(len(nodes)), np.zeros(len(nodes))
         for i, node in enumerate(nodes):
             for part in node.parts:
