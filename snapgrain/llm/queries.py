@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +76,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import neighbours_and_edits
 
-    return neighbours_and_edits(_table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
+    return neighbours_and_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"), classes=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_jaccard_join, op3_html_extraction, op4_bpe, op5_license_scan, op6_quality_classifier, op7_warc, op8_substring_dedup, op9_exact_dedup, op10_fingerprints)}

@@ -148,7 +148,7 @@ def test_licenses_count_a_template_pair_once_in_a_span(spark):
 def test_fingerprints(docs, bodies):
     from snapgrain.llm.fingerprints import neighbours_and_edits, similar_pairs
 
-    got, ids = rows(neighbours_and_edits(docs, per_range=5)), sorted(bodies, reverse=True)
+    got, ids = rows(neighbours_and_edits(docs, parts=5)), sorted(bodies, reverse=True)
     for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
         k = len(bodies[a]) // 3
         edited = bodies[a][: len(bodies[a]) - k] + bodies[b][:k]
@@ -257,10 +257,10 @@ def test_quality(spark):
     data = [(i, text(i % 3), "en") for i in range(300)] + [(900, None, "en"), (901, "", "en")]
     docs = spark.createDataFrame(data, "doc_id long, text string, kept string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 1)) for i in range(150)] + [(77777, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
-    got = graded(docs.drop("kept"), labels).collect()
+    got = graded(docs, labels).collect()
     held = [r for r in got if 150 <= r.doc_id < 300]
     assert sum(r.kept == (r.doc_id % 3 == 2) for r in held) / len(held) > 0.95
-    assert all(r.kept and r.tail is None for r in graded(docs.drop("kept"), labels.limit(0)).collect())
+    assert all(r.kept and r.tail is None for r in graded(docs, labels.limit(0)).collect())
 
 
 def test_quality_finds_rare_words_of_long_texts(spark):
