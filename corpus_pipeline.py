@@ -1,6 +1,7 @@
 """A training-text pipeline over ``documents``: each stage reads what the one before it wrote.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  Each
+stage takes an empty table, null and repeated ids, null texts and other columns of any name as its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from snapgrain.llm.exact_dedup import deduplicate
 from snapgrain.llm.jaccard_join import one_of_each
 from snapgrain.llm.packing import byte_bpe, pack_documents
 from snapgrain.llm.quality import select_good
-from snapgrain.llm.shared import stored
+from snapgrain.llm.shared import new_path, remove_path, scratch
 from snapgrain.llm.substring_dedup import remove_repeats
 
 
@@ -60,10 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the documents of sf_dir, each written as Parquet and read again; a stage's input and what it stored meanwhile are deleted once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs
 
 
