@@ -30,14 +30,5 @@ def path_class(path: Column, prefixes=DOC_PREFIXES, extensions=(".c", ".h", ".py
     return F.when(prefixed, "excluded_prefix").when(~known, "excluded_extension").otherwise("kept")
 
 
-def guard_rate(guards: Column, risks: Column) -> Column:
-    return guards / (risks + 1)
-
-
-def signature(added: Column, removed: Column, guard: Column) -> Column:
-    """fix_shaped: guards come and risks do not; strict: guards come alone; loose: any guard comes; else none."""
-    return F.when((guard > 0) & (removed >= added), "strict").when((guard > 0) & (added <= 0), "fix_shaped").when(guard > 0, "loose").otherwise("none")
-
-
 def era(year: Column, width: int = 5) -> Column:
     return F.floor(year / width) * width

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exposure(columns: list[str]) -> Column:
-    """Sum of columns, null as 0."""
-    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
-
-
 def snapshot_delta(parent: DataFrame, child: DataFrame, change: DataFrame, key: list[str], metrics: list[str]) -> DataFrame:
     """Full outer join of parent and child on the path, through renames.
 
@@ -43,3 +36,17 @@ def parity(left: DataFrame, right: DataFrame, key: list[str], columns: list[str]
     side = F.when(F.col("_r").isNull(), "only_left").when(F.col("_l").isNull(), "only_right").otherwise("both")
     out = j.select(*key, side.alias("side"), F.when(side == "both", differing).otherwise("").alias("columns"))
     return out.where("side <> 'both' OR columns <> ''")
+
+
+def split_means(deltas: DataFrame, event: list[str], values: list[str]) -> DataFrame:
+    """event, touched, n and the mean of each delta, for the files with both sides: added and deleted ones are skipped."""
+    both = deltas.where("status IN ('touched', 'untouched')").withColumn("touched", F.col("status") == "touched")
+    return both.groupBy(*event, "touched").agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in values])
+
+
+def pair_record(before: DataFrame, after: DataFrame, key: list[str], columns: list[str], digits: int = 6) -> DataFrame:
+    """(key, record): one JSON object a file with before, after and delta of each column; a column that is null on either side is left out of the delta."""
+    a = before.select(*key, F.struct(*[F.col(c) for c in columns]).alias("before"))
+    b = after.select(*key, F.struct(*[F.col(c) for c in columns]).alias("after"))
+    delta = F.struct(*[F.round(F.col(f"after.{c}") - F.col(f"before.{c}"), digits).alias(c) for c in columns])
+    return a.join(b, key, "full_outer").select(*key, F.to_json(F.struct("before", "after", delta.alias("delta"))).alias("record"))

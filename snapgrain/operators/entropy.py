@@ -51,3 +51,10 @@ def change_entropy_variants(touches: DataFrame, lengths=LENGTHS) -> DataFrame:
         long = wide.unpivot(["anchor", "path", "length"], [f"{a}_{d}" for a in ATTRIBUTION for d in DECAY], "variant", "value")
         out = long if out is None else out.unionByName(long)
     return out
+
+
+def flavour(touches: DataFrame, length: int = 90, most: int = 30) -> DataFrame:
+    """touches (anchor, path, sha, age) -> (anchor, path, value): weighted attribution with exponential decay, commits of over most files left out."""
+    t = touches.withColumn("_commit", F.struct("anchor", "sha"))
+    kept = narrow(t, "_commit", 1, most).select("anchor", "path", "age")
+    return change_entropy_variants(kept, (length,)).where("variant = 'weighted_exp'").select("anchor", "path", "value")

@@ -34,20 +34,60 @@ def macro_f1(model, df: DataFrame, columns: list[str], label: str) -> float:
     return confusion(guess, "t", "g").agg(F.avg("f1")).first()[0] or 0.0
 
 
-def folds(df: DataFrame, label: str, ident: str, k: int = 5) -> DataFrame:
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(ident)) - 1) % k)
+def folds(df: DataFrame, label: str, ident: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """df with fold: each class is dealt over k folds in an order that the seed and the ident give, so any executor deals alike."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
+    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(order, ident)) - 1) % k)
 
 
-def select_and_fit(train: DataFrame, test: DataFrame, columns: list[str], label: str, ident: str, grid=(0.01, 0.1, 1.0, 10.0), k: int = 5) -> DataFrame:
-    """test with the argmax class and its probability; the first best penalty by mean macro-F1 over folds wins."""
-    train, test = standardised(train, test, columns)
+GRID = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+
+
+def select_penalty(train: DataFrame, columns: list[str], label: str, ident: str, grid=GRID, k: int = 5) -> tuple[float, dict[float, float]]:
+    """The first penalty with the best mean macro-F1 over the folds, and all means.  Each fold is standardised by its own train part."""
     parts = folds(train, label, ident, k).persist()
-    best = None
-    for penalty in grid:
-        score = sum(macro_f1(fit_multinomial(parts.where(F.col("fold") != i), columns, label, penalty), parts.where(F.col("fold") == i), columns, label) for i in range(k)) / k
-        if best is None or score > best[0] + 1e-12:
-            best = (score, penalty)
+    scores: dict[float, list[float]] = {g: [] for g in grid}
+    for i in range(k):
+        tr, va = standardised(parts.where(F.col("fold") != i), parts.where(F.col("fold") == i), columns)
+        if va.isEmpty() or tr.isEmpty():
+            continue
+        tr, va = tr.persist(), va.persist()
+        for g in grid:
+            scores[g].append(macro_f1(fit_multinomial(tr, columns, label, g), va, columns, label))
+        tr.unpersist(), va.unpersist()
     parts.unpersist()
-    model = fit_multinomial(train, columns, label, best[1])
+    means = {g: sum(x) / len(x) if x else -1.0 for g, x in scores.items()}
+    return max(grid, key=lambda g: means[g]), means
+
+
+def select_and_fit(train: DataFrame, test: DataFrame, columns: list[str], label: str, ident: str, grid=GRID, k: int = 5) -> DataFrame:
+    """test with the argmax class and its probability, by a model of all of train with the selected penalty."""
+    best, _ = select_penalty(train, columns, label, ident, grid, k)
+    train, test = standardised(train, test, columns)
+    model = fit_multinomial(train, columns, label, best)
     out = model.transform(_vector(test, columns)).withColumn("p", F.array_max(vector_to_array("probability")))
-    return out.select(ident, F.col(label).cast("int").alias("truth"), F.col("prediction").cast("int").alias("guess"), F.round("p", 6).alias("p"), F.lit(best[1]).alias("penalty"))
+    return out.select(ident, F.col(label).cast("int").alias("truth"), F.col("prediction").cast("int").alias("guess"), F.round("p", 6).alias("p"), F.lit(best).alias("penalty"))
+
+
+def temporal_parts(df: DataFrame, date: str, cutoff: str) -> tuple[DataFrame, DataFrame, int]:
+    """(train before the cutoff, test from it on, rows without a date, which are in neither)."""
+    day = F.to_date(F.lit(cutoff))
+    return df.where(F.col(date) < day), df.where(F.col(date) >= day), df.where(F.col(date).isNull()).count()
+
+
+def active(train: DataFrame, columns: list[str], least: float = 0.03) -> list[str]:
+    """The signals that are not 0 in at least that share of train."""
+    share = train.agg(*[F.avg((F.coalesce(F.col(c), F.lit(0)) != 0).cast("double")).alias(c) for c in columns]).first()
+    return [c for c in columns if (share[c] or 0) >= least]
+
+
+def contrasts(model, columns: list[str], first: list[int], second: int) -> list[tuple[str, float]]:
+    """(column, difference of coefficients): the mean over the classes of first minus the second class, the largest absolute one first; names break ties."""
+    w = model.coefficientMatrix.toArray()
+    diff = w[first].mean(0) - w[second]
+    return sorted(zip(columns, map(float, diff), strict=True), key=lambda x: (-abs(x[1]), x[0]))
+
+
+def collapsed(df: DataFrame, label: str, first: list[int]) -> DataFrame:
+    """df with the label made two classes: 1 for those of first, else 0."""
+    return df.withColumn(label, F.col(label).isin(first).cast("int"))

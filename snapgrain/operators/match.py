@@ -28,28 +28,81 @@ def prefix_join(left: DataFrame, right: DataFrame, a: str, b: str, least: int =
     return j.where(F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a)))
 
 
-def greedy_controls(cases: DataFrame, pool: DataFrame, key: list[str]) -> DataFrame:
-    """Size-matched controls without replacement, in case order: cost 50 * |files| + |churn|, the first least cost wins, a cost of 0 ends the search.  The order matters, so each key's cases are one sequential group."""
+def sorted_neighbours(cases: DataFrame, pool: DataFrame, key: list[str], size: str, ident: str, low: float = 0.66, high: float = 1.5) -> DataFrame:
+    """(key, case, match, gap): for each case the pool row of its key with the nearest size within [low, high] times its own, which may serve many cases.
+
+    One window over both in order of size finds the next row at or above and the next below; of two as near the one above
+    wins, of equal sizes above the smaller ident, below the larger.
+    """
+    row = lambda df, side: df.select(*key, F.col(size).alias("_s"), F.lit(side).alias("_side"), F.col(ident).alias("_i"))
+    both = row(cases, 0).unionByName(row(pool, 1))
+    # a case stands before pool rows of its size, so these are above it
+    w = Window.partitionBy(*key).orderBy("_s", "_side", "_i")
+    mine = F.when(F.col("_side") == 1, F.struct("_s", "_i"))
+    up, down = F.first(mine, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.last(mine, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = both.withColumns({"_up": up, "_down": down}).where("_side = 0")
+
+    def near(c, after):
+        fits = (F.col(f"{c}._s") >= low * F.col("_s")) & (F.col(f"{c}._s") <= high * F.col("_s"))
+        return F.when(fits, F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.lit(after).alias("after"), F.col(f"{c}._i").alias("match")))
+
+    best = F.least(near("_up", 0), near("_down", 1))
+    return d.withColumn("_b", best).where("_b is not null").select(*key, F.col("_i").alias("case"), F.col("_b.match").alias("match"), F.col("_b.gap").alias("gap"))
+
+
+def date_nearest(cases: DataFrame, pool: DataFrame, snapshot: str, date: str, size: str, ident: str, low: float = 0.66, high: float = 1.5) -> DataFrame:
+    """(case, match, tier, day_gap, gap): the nearest size within the band in the case's own snapshot (tier 0), else in the snapshot nearest by date (tier 1); unmatched cases are left out.
+
+    Sizes are positive.  The join's key is the logarithm of the size, of which the band spans three steps.
+    """
+    step = F.floor(F.ln(F.col(size)) / F.ln(F.lit(high)))
+    a = cases.where(F.col(size) > 0).select(F.col(ident).alias("case"), F.col(snapshot).alias("_snap"), F.col(date).alias("_day"), F.col(size).alias("_s"), F.explode(F.sequence(step - 2, step + 1)).alias("_k"))
+    b = pool.where(F.col(size) > 0).select(F.col(ident).alias("match"), F.col(snapshot).alias("_of"), F.col(date).alias("_at"), F.col(size).alias("_t"), step.alias("_k"))
+    fits = (F.col("_t") >= low * F.col("_s")) & (F.col("_t") <= high * F.col("_s"))
+    gap, days = F.abs(F.col("_t") - F.col("_s")).alias("gap"), F.abs(F.datediff("_day", "_at"))
+
+    def nearest(left, same):
+        j = left.join(b, (left["_k"] == b["_k"]) & (left["_snap"] == b["_of"])) if same else left.join(b, left["_k"] == b["_k"])
+        found = j.where(fits).groupBy("case").agg(F.min(F.struct((F.lit(0) if same else days).alias("day_gap"), gap, F.col("match"), F.col("_of"))).alias("_b"))
+        return found.select("case", F.col("_b.match").alias("match"), F.lit(0 if same else 1).alias("tier"), F.col("_b.day_gap").alias("day_gap"), F.col("_b.gap").alias("gap"))
+
+    first = nearest(a, True)
+    return first.unionByName(nearest(a.join(first.select("case"), "case", "left_anti"), False))
+
+
+def greedy_controls(commits: DataFrame, key: list[str], order: list[str], event: str, width: int = 400) -> DataFrame:
+    """(key, ident, control, cost): for each event commit in order the cheapest of the width - 1 commits before it that is no event, has files and was not taken before.
+
+    Cost is 50 * |files| + |churn|; of equal costs the newest commit wins.  commits: key, order, ident, files, churn, event.
+    Spark makes the pairs, by places in blocks of width, and sorts them; a task then streams a key's pairs and holds the
+    controls taken so far.  Events without files get no control.
+    """
     import pandas as pd
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        cases_, left = group[group.side == 0].sort_values("ident"), group[group.side == 1].sort_values("ident").to_dict("records")
-        out = []
-        for c in cases_.to_dict("records"):
-            best = None
-            for i, p in enumerate(left):
-                cost = 50 * abs(p["files"] - c["files"]) + abs(p["churn"] - c["churn"])
-                if best is None or cost < best[0]:
-                    best = (cost, i)
-                    if cost == 0:
-                        break
-            if best:
-                out.append([*(c[k] for k in key), c["ident"], left.pop(best[1])["ident"], best[0]])
-        return pd.DataFrame(out, columns=[*key, "ident", "control", "cost"])
-
-    both = cases.select(*key, "ident", "files", "churn", F.lit(0).alias("side")).unionByName(pool.select(*key, "ident", "files", "churn", F.lit(1).alias("side")))
-    kinds = ", ".join(f"{k} {cases.schema[k].dataType.simpleString()}" for k in key)
-    return both.groupBy(*key).applyInPandas(run, f"{kinds}, ident long, control long, cost long")
+    c = commits.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    e = c.where(F.col(event) & (F.col("files") > 0)).select(*key, F.col("ident"), F.col("_at").alias("_e"), F.col("files").alias("_f"), F.col("churn").alias("_c"))
+    e = e.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor((F.col("_e") - width + 1) / width), F.floor((F.col("_e") - 1) / width)))))
+    p = c.where(~F.col(event) & (F.col("files") > 0)).select(*key, F.col("ident").alias("control"), "_at", "files", "churn", F.floor(F.col("_at") / width).alias("_block"))
+    j = e.join(p, [*key, "_block"]).where((F.col("_at") < F.col("_e")) & (F.col("_at") > F.col("_e") - width))
+    j = j.select(*key, "_e", "ident", (50 * F.abs(F.col("files") - F.col("_f")) + F.abs(F.col("churn") - F.col("_c"))).cast("long").alias("cost"), "_at", "control")
+
+    def run(batches):
+        now, taken, served = None, set(), None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                group, (place, ident, cost, _, control) = tuple(r[: len(key)]), r[len(key) :]
+                if group != now:
+                    now, taken, served = group, set(), None
+                if place != served and control not in taken:
+                    taken.add(control)
+                    served = place
+                    out.append((*group, ident, control, cost))
+            yield pd.DataFrame(out, columns=[*key, "ident", "control", "cost"])
+
+    kinds = ", ".join(f"{k} {commits.schema[k].dataType.simpleString()}" for k in key)
+    kind = commits.schema["ident"].dataType.simpleString()
+    return j.repartition(*key).sortWithinPartitions(*key, "_e", "cost", F.desc("_at")).mapInPandas(run, f"{kinds}, ident {kind}, control {kind}, cost long")
 
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:

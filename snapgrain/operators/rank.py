@@ -15,11 +15,6 @@ def unpivoted(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return df.unpivot(ids, metrics, "metric", "value")
 
 
-def mid_rank(value: str, by: list[str]) -> Column:
-    """Average rank of ties."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def rank_quartile(df: DataFrame, by: list[str], value: str, ordinal: str, out: str = "band") -> DataFrame:
     """Four bands of equal count with edges floor(i * n / 4); ties keep the ordinal's order."""
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(value, ordinal))
@@ -39,10 +34,11 @@ def absolute_band(value: Column, edges=BAND_EDGES) -> Column:
     return band
 
 
-def quantile_nearest(value: str, f: float) -> Column:
-    """The value at index round-half-even(f * (n - 1)) of the sorted values."""
-    sorted_values = F.array_sort(F.collect_list(value))
-    return F.element_at(sorted_values, (F.bround(f * (F.size(sorted_values) - 1)) + 1).cast("int"))
+def quantile_nearest(df: DataFrame, by: list[str], value: str, f: float, out: str) -> DataFrame:
+    """by, out: the value at index round-half-even(f * (n - 1)) of each group's sorted values, from counts of distinct values."""
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    h = h.withColumn("_to", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    return h.where(F.col("_to") > F.bround(f * (F.col("_n") - 1))).groupBy(*by).agg(F.min("_v").alias(out))
 
 
 def quantile_linear(value: str, f: float) -> Column:

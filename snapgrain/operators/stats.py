@@ -6,11 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which the scores of a single group are cut, so that its running sums are not one task's.
+RANGES = 64
+
+
+def running(h: DataFrame, by: list[str], score: str, values: dict[str, str]) -> DataFrame:
+    """h (a row for each distinct score) with the running sum of each value (new name: column) up to and with the score, within by.
+
+    Groups sum in windows of their own.  Without groups the scores are cut at quantiles: sums within each range, and the
+    totals of the ranges below, which are RANGES rows.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(score)
+        return h.withColumns({n: F.sum(v).over(w) for n, v in values.items()})
+    cuts = sorted(set(h.approxQuantile(score, [i / RANGES for i in range(1, RANGES)], 0.2 / RANGES)))
+    place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(score))) if cuts else F.lit(0)
+    d = h.withColumn("_range", place)
+    w = Window.partitionBy("_range").orderBy(score)
+    totals = d.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{n}") for n, v in values.items()])
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(below), F.lit(0)).alias(f"_b_{n}") for n in values])
+    d = d.withColumns({n: F.sum(v).over(w) for n, v in values.items()}).join(F.broadcast(totals), "_range")
+    return d.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in values}).drop("_range", *[f"_b_{n}" for n in values])
+
+
 def _histogram(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
     """Distinct scores with their positives, negatives, and the negatives and rows below."""
     h = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    order = Window.partitionBy(*by).orderBy(score)
-    return h.withColumn("below_n", F.sum("n").over(order) - F.col("n")).withColumn("below", F.sum(F.col("p") + F.col("n")).over(order) - F.col("p") - F.col("n"))
+    h = running(h.withColumn("_all", F.col("p") + F.col("n")), by, score, {"below_n": "n", "below": "_all"})
+    return h.withColumns({"below_n": F.col("below_n") - F.col("n"), "below": F.col("below") - F.col("_all")}).drop("_all")
 
 
 def auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
@@ -39,7 +63,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("c"))
     for v, r in ((x, "rx"), (y, "ry")):
         h = pairs.groupBy(*by, v).agg(F.sum("c").alias("k"))
-        h = h.withColumn(r, F.sum("k").over(Window.partitionBy(*by).orderBy(v)) - F.col("k") / 2 + 0.5).drop("k")
+        h = running(h, by, v, {"_to": "k"}).select(*by, v, (F.col("_to") - F.col("k") / 2 + 0.5).alias(r))
         pairs = pairs.join(h, [*by, v])
     c, a, b = (F.col(k) for k in ("c", "rx", "ry"))
     s = pairs.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(c * a).alias("sx"), F.sum(c * b).alias("sy"), F.sum(c * a * a).alias("sxx"), F.sum(c * b * b).alias("syy"), F.sum(c * a * b).alias("sxy"))

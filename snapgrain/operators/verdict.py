@@ -24,8 +24,8 @@ def monotone_share(lifts: DataFrame, iteration: str, band: str, lift: str, n_ban
 
 
 def equivalent(df: DataFrame, p: str, low: str, high: str, delta: float, level: float = 0.01) -> DataFrame:
-    """df with equivalent: no difference at the level, and the interval inside (-delta, delta)."""
-    return df.withColumn("equivalent", (F.col(p) >= level) & (F.col(low) > -delta) & (F.col(high) < delta))
+    """df with equivalent: no difference at the level, and the interval inside [-delta, delta], its bounds included; an undefined one is not equivalent."""
+    return df.withColumn("equivalent", F.coalesce((F.col(p) >= level) & (F.col(low) >= -delta) & (F.col(high) <= delta), F.lit(False)))
 
 
 def bonferroni(cells: DataFrame, positives: str, alpha: float = 0.05, least: int = 20) -> DataFrame:

@@ -90,31 +90,40 @@ def spearman_rho(spark, d):
     return rounded(stats.spearman(scored(spark, d), "n_words", "n_stops"), "rho")
 
 
+# every month with the month before it, if that has rows
 RENAMED = """
-    p AS (SELECT path, qty, lines FROM months WHERE idx = 1996 * 12 + 3), c AS (SELECT path, qty, lines FROM months WHERE idx = 1996 * 12 + 4),
-    j AS (SELECT coalesce(c.path, p.path) AS path, p.path AS old, CASE WHEN c.path IS NULL THEN 'deleted' WHEN p.path IS NULL THEN 'added' WHEN c.path % 3 = 0 THEN 'touched' ELSE 'untouched' END AS status,
+    ev AS (SELECT idx AS event FROM (SELECT DISTINCT idx FROM months) m WHERE EXISTS (SELECT 1 FROM months p WHERE p.idx = m.idx - 1)), c AS (SELECT idx AS event, path, qty, lines FROM months SEMI JOIN ev ON event = idx), p AS (SELECT idx + 1 AS event, path, qty, lines FROM months SEMI JOIN ev ON event = idx + 1),
+    j AS (SELECT coalesce(c.event, p.event) AS event, coalesce(c.path, p.path) AS path, p.path AS old, CASE WHEN c.path IS NULL THEN 'deleted' WHEN p.path IS NULL THEN 'added' WHEN c.path % 3 = 0 THEN 'touched' ELSE 'untouched' END AS status,
           coalesce(c.qty, 0) - coalesce(p.qty, 0) AS delta_qty, coalesce(c.lines, 0) - coalesce(p.lines, 0) AS delta_lines
-          FROM c FULL OUTER JOIN p ON p.path = CASE WHEN c.path % 10 = 0 THEN c.path + 1 ELSE c.path END AND (c.path % 10 <> 1))
+          FROM c FULL OUTER JOIN p ON p.event = c.event AND p.path = CASE WHEN c.path % 10 = 0 THEN c.path + 1 ELSE c.path END AND c.path % 10 <> 1)
 """
 
 
+def _sides(m):
+    """(parent, child) rows of all pairs of neighbouring months, keyed by the later one as event."""
+    months_ = m.select("idx").distinct()
+    pairs = F.broadcast(months_.join(months_.select((F.col("idx") + 1).alias("idx")), "idx", "left_semi").select(F.col("idx").alias("event")))
+    child = m.withColumnRenamed("idx", "event").join(pairs, "event", "left_semi")
+    parent = m.withColumn("event", F.col("idx") + 1).drop("idx").join(pairs, "event", "left_semi")
+    return parent, child
+
+
 def _delta(spark, d):
-    m = months(spark, d).withColumn("repo", F.lit("r"))
-    parent, child = (m.where(F.col("idx") == 1996 * 12 + i).drop("idx") for i in (3, 4))
+    parent, child = _sides(months(spark, d))
     # renames: part 10k was 10k + 1 before; the part 10k + 1 of the later month is new
     ten = F.col("path") % 10
-    change = child.where((F.col("path") % 3 == 0) | ten.isin(0, 1)).select("repo", F.when(ten == 1, None).when(ten == 0, F.col("path") + 1).otherwise(F.col("path")).alias("old_path"), F.col("path").alias("new_path"), F.when(ten == 1, "added").when(F.col("path") % 3 == 0, "touched").otherwise("untouched").alias("status"))
-    return delta.snapshot_delta(parent, child, change, ["repo"], ["qty", "lines"])
+    change = child.where((F.col("path") % 3 == 0) | ten.isin(0, 1)).select("event", F.when(ten == 1, None).when(ten == 0, F.col("path") + 1).otherwise(F.col("path")).alias("old_path"), F.col("path").alias("new_path"), F.when(ten == 1, "added").when(F.col("path") % 3 == 0, "touched").otherwise("untouched").alias("status"))
+    return delta.snapshot_delta(parent, child, change, ["event"], ["qty", "lines"])
 
 
-@query(f"WITH {MONTHS}, {RENAMED} SELECT path, old, status, delta_qty, delta_lines FROM j")
+@query(f"WITH {MONTHS}, {RENAMED} SELECT event, path, old, status, delta_qty, delta_lines FROM j")
 def snapshot_delta(spark, d):
-    return _delta(spark, d).select("path", "old", "status", "delta_qty", "delta_lines")
+    return _delta(spark, d).select("event", "path", "old", "status", "delta_qty", "delta_lines")
 
 
-@query(f"WITH {MONTHS}, {RENAMED} SELECT status, count(*) AS n, CAST(sum(delta_qty) AS BIGINT) AS total FROM j GROUP BY 1")
+@query(f"WITH {MONTHS}, {RENAMED} SELECT event, status, count(*) AS n, CAST(sum(delta_qty) AS BIGINT) AS total FROM j GROUP BY 1, 2")
 def snapshot_status(spark, d):
-    return _delta(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("delta_qty").alias("total"))
+    return _delta(spark, d).groupBy("event", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("delta_qty").alias("total"))
 
 
 @query(f"WITH {MONTHS}, l AS (SELECT path, idx, qty - lag(qty) OVER (PARTITION BY path ORDER BY idx) AS dq FROM months) SELECT idx, round(avg(dq), 6) AS mean_delta, count(*) FILTER (dq < 0) AS n_neg, count(*) FILTER (dq > 0) AS n_pos, count(*) FILTER (dq = 0) AS n_zero FROM l GROUP BY 1")
@@ -146,7 +155,7 @@ def absolute_bands(spark, d):
 
 @query("SELECT c_mktsegment, round(list_sort(list(c_acctbal))[CAST(round_even(0.9 * (count(*) - 1), 0) AS INTEGER) + 1], 6) AS q90 FROM customer GROUP BY 1")
 def quantile_nearest(spark, d):
-    return rounded(table(spark, d, "customer").groupBy("c_mktsegment").agg(rank.quantile_nearest("c_acctbal", 0.9).alias("q90")), "q90")
+    return rounded(rank.quantile_nearest(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", 0.9, "q90"), "q90")
 
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.9), 4) AS q90, round(median(c_acctbal), 4) AS mid FROM customer GROUP BY 1")
@@ -186,28 +195,45 @@ def ownership_entropy(spark, d):
     return e.select("path", "total", "n_kinds", (F.round(F.abs("entropy"), 4)).alias("entropy"))
 
 
-def _touches(spark, d, anchor="1997-01-01"):
-    age = F.datediff(F.lit(anchor).cast("date"), F.to_date("l_shipdate"))
-    return table(spark, d, "lineitem").select(F.lit(anchor).alias("anchor"), (F.col("l_partkey") % 97).alias("path"), age.alias("age")).where("age >= 0 AND age < 400")
+def _touches(spark, d):
+    """Each New Year as anchor, the 400 days before it and 30 after: every line is in a window, some in two, so both clips are at work."""
+    anchors = spark.range(8).select(F.make_date(F.lit(1995) + F.col("id").cast("int"), F.lit(1), F.lit(1)).alias("anchor"))
+    l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_orderkey").alias("sha"), F.to_date("l_shipdate").alias("day"))
+    near = l.withColumn("_y", F.explode(F.sequence(F.year(F.date_sub("day", 30)), F.year("day") + 2)))
+    j = near.join(F.broadcast(anchors.withColumn("_y", F.year("anchor"))), "_y").withColumn("age", F.datediff("anchor", "day")).drop("_y")
+    return j.where("age >= -30 AND age < 400").select("anchor", "path", "sha", "age")
+
+
+TOUCHES = "t0 AS (SELECT anchor, l_partkey AS path, l_orderkey AS sha, date_diff('day', CAST(l_shipdate AS DATE), anchor) AS age FROM lineitem, (SELECT make_date(1995 + CAST(i AS INTEGER), 1, 1) AS anchor FROM range(8) r(i)) WHERE date_diff('day', CAST(l_shipdate AS DATE), anchor) >= -30 AND date_diff('day', CAST(l_shipdate AS DATE), anchor) < 400)"
+
+
+def _hcm_ctes(name: str, source: str, lengths: tuple[int, ...]) -> str:
+    """The common tables t, e0, e, j of the variants, under a prefix."""
+    values = ", ".join(f"({x})" for x in lengths)
+    return f"""{name}t AS (SELECT anchor, path, length, least(greatest(age, 0) // length, CAST(ceil(365 / length) AS BIGINT) - 1) AS k, count(*) AS c FROM {source}, (VALUES {values}) v(length) GROUP BY ALL),
+    {name}e0 AS (SELECT *, sum(c) OVER (PARTITION BY anchor, length, k) AS total, count(*) OVER (PARTITION BY anchor, length, k) AS files FROM {name}t),
+    {name}e AS (SELECT anchor, length, k, max(total) AS total, max(files) AS files, CASE WHEN max(files) < 2 THEN 0 ELSE -sum(c / total * log2(c / total)) / log2(max(files)) END AS h FROM {name}e0 GROUP BY 1, 2, 3),
+    {name}j AS (SELECT t.*, e.total, e.files, e.h, t.k * t.length + t.length / 2.0 AS mid FROM {name}t t JOIN {name}e e USING (anchor, length, k))"""
 
 
 def _hcm_sql() -> str:
-    sums = "SELECT path, length, '{a}_{d}' AS variant, sum(({s}) * ({w})) AS value FROM j GROUP BY 1, 2"
     share = {"weighted": "CAST(c AS DOUBLE) / total * h", "shared": "h / files", "full": "h"}
     decay = {"none": "1.0", "exp": "exp(-mid / 180)", "linear": "greatest(0.0, 1 - mid / 365)", "log": "1 / log2(2 + mid / 30)"}
-    body = " UNION ALL ".join(sums.format(a=a, d=w, s=share[a], w=decay[w]) for a in share for w in decay)
-    return f"""WITH t0 AS (SELECT l_partkey % 97 AS path, date_diff('day', CAST(l_shipdate AS DATE), DATE '1997-01-01') AS age FROM lineitem),
-    t AS (SELECT path, length, least(age // length, CAST(ceil(365 / length) AS BIGINT) - 1) AS k, count(*) AS c FROM t0, (VALUES (30), (90), (180)) v(length) WHERE age >= 0 AND age < 400 GROUP BY ALL),
-    e0 AS (SELECT *, sum(c) OVER (PARTITION BY length, k) AS total, count(*) OVER (PARTITION BY length, k) AS files FROM t),
-    e AS (SELECT length, k, max(total) AS total, max(files) AS files, CASE WHEN max(files) < 2 THEN 0 ELSE -sum(c / total * log2(c / total)) / log2(max(files)) END AS h FROM e0 GROUP BY 1, 2),
-    j AS (SELECT t.*, e.total, e.files, e.h, t.k * t.length + t.length / 2.0 AS mid FROM t JOIN e USING (length, k))
-    SELECT path, length, variant, round(value, 4) AS value FROM ({body})"""
+    body = " UNION ALL ".join(f"SELECT anchor, path, length, '{a}_{w}' AS variant, sum(({share[a]}) * ({decay[w]})) AS value FROM j GROUP BY 1, 2, 3" for a in share for w in decay)
+    return f"{TOUCHES}, {_hcm_ctes('', 't0', (30, 90, 180))}, hcm AS ({body})"
 
 
-@query(_hcm_sql())
+@query(f"WITH {_hcm_sql()} SELECT anchor, path, length, variant, round(value, 4) AS value FROM hcm")
 def hcm_36(spark, d):
-    v = entropy.change_entropy_variants(_touches(spark, d))
-    return rounded(v.select("path", "length", "variant", "value"), "value", digits=4)
+    v = entropy.change_entropy_variants(_touches(spark, d).select("anchor", "path", "age"))
+    return rounded(v.select("anchor", "path", "length", "variant", "value"), "value", digits=4)
+
+
+@query(f"""WITH {TOUCHES}, n AS (SELECT anchor, sha FROM t0 GROUP BY 1, 2 HAVING count(DISTINCT path) <= 5), t1 AS (SELECT t0.* FROM t0 JOIN n USING (anchor, sha)), {_hcm_ctes('', 't1', (90,))}
+    SELECT anchor, path, round(sum(CAST(c AS DOUBLE) / total * h * exp(-mid / 180)), 4) AS value FROM j GROUP BY 1, 2""")
+def hcm_flavour(spark, d):
+    """One variant without commits of over 5 files (orders are that narrow)."""
+    return rounded(entropy.flavour(_touches(spark, d), most=5), "value", digits=4)
 
 
 RUNS = MONTHS + ", i AS (SELECT *, idx - row_number() OVER (PARTITION BY path ORDER BY idx) AS island FROM months), runs AS (SELECT *, min(idx) OVER (PARTITION BY path, island) AS run_start, max(idx) OVER (PARTITION BY path, island) AS run_end FROM i)"
@@ -340,11 +366,10 @@ def confusion_matrix(spark, d):
     return rounded(stats.confusion(x, "t", "g"), "precision", "recall", "f1")
 
 
-@query(f"WITH {MONTHS}, a AS (SELECT path, qty, lines FROM months WHERE idx = 1996 * 12 + 3), b AS (SELECT path, qty, lines FROM months WHERE idx = 1996 * 12 + 4), j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'only_left' WHEN a.path IS NULL THEN 'only_right' ELSE 'both' END AS side, CASE WHEN a.path IS NULL OR b.path IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.qty IS DISTINCT FROM b.qty THEN 'qty' END, CASE WHEN a.lines IS DISTINCT FROM b.lines THEN 'lines' END) END AS columns FROM a FULL OUTER JOIN b USING (path)) SELECT * FROM j WHERE side <> 'both' OR columns <> ''")
+@query(f"""WITH {MONTHS}, {RENAMED}, k AS (SELECT coalesce(p.event, c.event) AS event, coalesce(p.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'only_left' WHEN p.path IS NULL THEN 'only_right' ELSE 'both' END AS side,
+    CASE WHEN p.path IS NULL OR c.path IS NULL THEN '' ELSE concat_ws(',', CASE WHEN p.qty IS DISTINCT FROM c.qty THEN 'qty' END, CASE WHEN p.lines IS DISTINCT FROM c.lines THEN 'lines' END) END AS columns FROM p FULL OUTER JOIN c ON p.event = c.event AND p.path = c.path) SELECT * FROM k WHERE side <> 'both' OR columns <> ''""")
 def parity_diff(spark, d):
-    m = months(spark, d)
-    a, b = (m.where(F.col("idx") == 1996 * 12 + i).drop("idx") for i in (3, 4))
-    return delta.parity(a, b, ["path"], ["qty", "lines"])
+    return delta.parity(*_sides(months(spark, d)), ["event", "path"], ["qty", "lines"])
 
 
 @query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
@@ -401,16 +426,17 @@ def sign_and_fisher(spark, d):
     e = event_mean_delta(spark, d).agg(F.count_if(F.col("mean_delta") > 0).alias("w"), F.count_if(F.col("mean_delta") < 0).alias("l")).first()
     t = scored(spark, d).agg(*[F.count_if((F.col("good") == g) & (F.col("toxic") == x)).alias(f"c{int(g)}{x}") for g in (True, False) for x in (0, 1)]).first()
     u = mann_whitney_u(spark, d).first()
-    rows = [("sign_test", tails.sign_test(e["w"], e["l"])), ("fisher_lower", tails.fisher_lower(t["c10"], t["c11"], t["c00"], t["c01"])), ("mann_whitney_less", tails.normal_cdf(u["z"]))]
+    both = tails.hypergeometric_tails([[t["c10"], t["c11"]], [t["c00"], t["c01"]]])
+    rows = [("sign_test", tails.sign_tail(e["w"], e["l"])), ("fisher_lower", both[0]), ("fisher_upper", both[1]), ("mann_whitney_less", tails.normal_cdf(u["z"]))]
     return spark.createDataFrame(rows, "test string, p double")
 
 
 @query()
 def control_matching(spark, d):
-    """Greedy matching of one in ten orders with other orders of the same priority and month, without replacement."""
+    """One in ten orders of a priority with the cheapest of the 399 orders before it, each taken once."""
     o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("l_quantity").cast("long")).alias("churn"))
-    o = o.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("ident"), "files", "churn")
-    return match.greedy_controls(o.where("ident % 10 = 0"), o.where("ident % 10 <> 0"), ["o_orderpriority", "month"])
+    o = table(spark, d, "orders").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderpriority", "o_orderdate", F.col("o_orderkey").alias("ident"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("churn", F.lit(0)).alias("churn"))
+    return match.greedy_controls(o.withColumn("hit", F.col("ident") % 10 == 0), ["o_orderpriority"], ["o_orderdate", "ident"], "hit")
 
 
 @query()
@@ -419,4 +445,4 @@ def multinomial_signals(spark, d):
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("o_totalprice").alias("price"), F.min("o_orderdate").alias("since"))
     c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey")).withColumn("label", F.when(F.col("c_acctbal") < 1000, 0).when(F.col("c_acctbal") < 5000, 1).otherwise(2))
     x = c.select("c_custkey", "label", "n", "price", F.col("c_acctbal").alias("balance"), (F.col("since") >= "1996-01-01").alias("late"))
-    return learn.select_and_fit(x.where("not late"), x.where("late"), ["n", "price", "balance"], "label", "c_custkey", grid=(0.1, 10.0), k=3)
+    return learn.select_and_fit(x.where("not late"), x.where("late"), ["n", "price", "balance"], "label", "c_custkey")

@@ -17,11 +17,11 @@ from .catalog import ORACLE, QUERIES
 PRESENT = "present"  # the metric of sections whose rows have no number
 
 SECTIONS = {
-    "q1_exposure_report": [("snapshot_status", "status", "n total"), ("event_mean_delta", "idx", "mean_delta n_neg n_pos n_zero"), ("mann_whitney_u", "", "u z"), ("movers", "path", "delta"), ("pre_percentile", "path idx", "pct"), ("co_added", "p_brand l_returnflag", "n lift"), ("era_medians", "era", "n mid"), ("dwell", "user_id", "days"), ("spearman_rho", "", "n rho")],
+    "q1_exposure_report": [("snapshot_status", "event status", "n total"), ("event_mean_delta", "idx", "mean_delta n_neg n_pos n_zero"), ("mann_whitney_u", "", "u z"), ("movers", "path", "delta"), ("pre_percentile", "path idx", "pct"), ("co_added", "p_brand l_returnflag", "n lift"), ("era_medians", "era", "n mid"), ("dwell", "user_id", "days"), ("spearman_rho", "", "n rho")],
     "q2_signal_anatomy": [("signature_rates", "lang", "n loud tabular both"), ("pre_percentile_by_metric", "path idx metric", "pct"), ("span_overlap", "user_id start length", "touched"), ("length_matched_pairs", "k case match", "gap")],
     "q3_review_budget": [("budget_recall", "idx", "n_read n_pos recall"), ("prior_count", "event_id", "prior"), ("auc_by_feature", "feature", "auc")],
     "q4_process_features": [("cochange_features", "path", "partners change_entropy"), ("ownership_entropy", "path", "total n_kinds entropy"), ("quartile_bands_rank", "path idx", "band"), ("auc_by_feature", "feature", "n_pos n_neg auc"), ("boot_auc", "iter", "auc"), ("band_headline", "c_nationkey", "n_supported n_bands all_bands any_band")],
-    "q5_entropy_sweep": [("hcm_36", "path length variant", "value"), ("band_headline", "c_nationkey", "clears"), ("boot_auc", "iter", "auc")],
+    "q5_entropy_sweep": [("hcm_36", "anchor path length variant", "value"), ("band_headline", "c_nationkey", "clears"), ("boot_auc", "iter", "auc")],
     "q6_centrality_bands": [("absolute_bands", "band", "n total"), ("quartile_bands_rank", "path idx", "band"), ("auc_by_feature", "feature", "auc"), ("bonferroni_level", "", "n_powered level"), ("boot_auc", "iter", "auc")],
     "q7_label_evaluation": [("skip_reasons", "reason", "n"), ("auc_pooled", "", "n_pos n_neg auc"), ("boot_auc", "iter", "auc"), ("monotone_share", "", "n_valid share supported")],
     "q8_trajectories": [("islands", "path run_start run_end", "n"), ("lookback_slope", "path idx", "slope n_moves"), ("pairing_ratio", "path idx", "ratio drift"), ("value_ahead", "path idx", "ahead"), ("next_gap", "event_id", "gap again"), ("forward_outcome", "path idx", "outcome"), ("asof_forward", "event_id", "idx")],
@@ -34,7 +34,7 @@ SECTIONS = {
     "q15_first_event_profile": [("exemplars", "o_orderpriority o_orderkey", "o_totalprice"), ("matched_pair_boot", "iter", "win"), ("median_difference_boot", "iter", "diff"), ("span_overlap", "user_id start length", "touched")],
     "q16_signal_classes": [("confusion_matrix", "class", "actual guessed precision recall f1"), ("temporal_split", "part", "n")],
     "q17_label_export": [("label_draw", "doc_id class labels", ""), ("vulnerability_events", "class known", "n n_sha")],
-    "q18_parity_check": [("parity_diff", "path side columns", "")],
+    "q18_parity_check": [("parity_diff", "event path side columns", "")],
     "q19_chart_feeds": [("box_feed", "p_brand", "q1 q2 q3 low high outliers"), ("era_medians", "era", "n mid"), ("signature_rates", "lang", "loud tabular both")],
 }
 

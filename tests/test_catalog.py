@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from snapgrain.plans import composites, evidence  # noqa: F401
+from snapgrain.plans import composites, evidence, panel  # noqa: F401
 from snapgrain.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,6 +38,6 @@ def test_oracle(spark, con, name):
     assert got == sorted(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"multinomial_signals"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

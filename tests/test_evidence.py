@@ -75,8 +75,8 @@ def test_verdicts(spark):
     assert tuple(verdict.monotone_share(df, "i", "b", "x").first()) == (4, 0.5, False)
     assert tuple(verdict.monotone_share(df.where("i in (0, 5)"), "i", "b", "x").first()) == (2, 1.0, True)
     assert tuple(verdict.monotone_share(df.limit(0), "i", "b", "x").first()) == (0, None, False)
-    ranges = spark.createDataFrame([(0.5, -0.05, 0.05), (0.5, -0.2, 0.05), (0.001, -0.05, 0.05)], "p double, lo double, hi double")
-    assert [r.equivalent for r in verdict.equivalent(ranges, "p", "lo", "hi", 0.1).collect()] == [True, False, False]
+    ranges = spark.createDataFrame([(0.5, -0.05, 0.05), (0.5, -0.2, 0.05), (0.001, -0.05, 0.05), (0.01, -0.1, 0.1), (None, 0.0, 0.0)], "p double, lo double, hi double")
+    assert [r.equivalent for r in verdict.equivalent(ranges, "p", "lo", "hi", 0.1).collect()] == [True, False, False, True, False]
     cells = spark.createDataFrame([(25,), (20,), (19,)], "n long")
     assert tuple(verdict.bonferroni(cells, "n").first()) == (2, 0.025)
 

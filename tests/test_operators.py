@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snapgrain.functions import stats as tails
 from snapgrain.operators import boot, delta, entropy, match, panel, rank, stats
@@ -49,8 +50,6 @@ def test_bands(spark):
         got = [r.band for r in rank.rank_quartile(df, ["s"], "v", "o").orderBy("o").collect()]
         edges = [i * n // 4 for i in range(1, 4)]
         assert got == [sum(i >= e for e in edges) for i in range(n)]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(v,) for v in (22, 23, 48, 49, 108, 109)], "v long")
     assert [r[0] for r in df.select(rank.absolute_band(F.col("v"))).collect()] == [0, 1, 1, 2, 2, 3]
 
@@ -65,7 +64,8 @@ def test_bootstrap_matrix_equals_resampling(spark):
     for i, d in enumerate(draws):
         want = brute_auc([(s, y) for c in d for k, s, y in rows if k == c])
         assert got.get(i) == (pytest.approx(want) if want is not None else None)
-    assert boot.verdict(3, 0.9, 0.1, 0.1) == "UNDERPOWERED" and boot.verdict(30, 0.9, 0.1, 0.01) == "SUPPORTED"
+    judged = spark.createDataFrame([(3, 0.9, 0.1, 0.1), (30, 0.9, 0.1, 0.01), (30, 0.9, 0.1, -0.01), (30, 0.4, 0.1, 0.01), (30, None, None, None)], "n long, auc double, lift double, low double")
+    assert [r[0] for r in judged.select(boot.verdict(*map(F.col, judged.columns))).collect()] == ["UNDERPOWERED", "SUPPORTED", "NOT SUPPORTED", "NOT SUPPORTED", "NOT SUPPORTED"]
 
 
 def test_panel(spark):
@@ -88,8 +88,16 @@ def test_match_and_entropy(spark):
 
 
 def test_tails():
-    assert tails.sign_test(3, 0) == 0.125 and tails.sign_test(0, 0) == 1.0
-    assert tails.fisher_lower(0, 2, 2, 0) == pytest.approx(1 / 6)
+    from math import comb
+
+    assert tails.sign_tail(3, 0) == 0.125 and tails.sign_tail(0, 0) is None and tails.sign_tail(0, 4) == 1.0
+    for n in (1, 7, 30, 3000):
+        for w in {0, 1, n // 2, n}:
+            assert tails.sign_tail(w, n - w) == pytest.approx(sum(comb(n, k) for k in range(w, n + 1)) / 2**n, rel=1e-9)
+    for a, b, c, d in [(0, 2, 2, 0), (3, 5, 4, 2), (10, 1, 2, 9), (0, 0, 3, 4), (5, 5, 0, 0), (40, 60, 70, 20)]:
+        lower = sum(comb(a + b, k) * comb(c + d, a + c - k) for k in range(max(0, a - d), a + 1)) / comb(a + b + c + d, a + c)
+        upper = sum(comb(a + b, k) * comb(c + d, a + c - k) for k in range(a, min(a + b, a + c) + 1)) / comb(a + b + c + d, a + c)
+        assert tails.hypergeometric_tails([[a, b], [c, d]]) == (pytest.approx(lower), pytest.approx(upper))
 
 
 def test_sources(spark, tmp_path):
