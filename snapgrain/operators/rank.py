@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import running
+
 
 def percentile_within(df: DataFrame, snapshot: list[str], value: str, out: str = "pct") -> DataFrame:
     """100 * (values below) / max(n - 1, 1) within a snapshot."""
@@ -22,6 +24,17 @@ def rank_quartile(df: DataFrame, by: list[str], value: str, ordinal: str, out: s
     return df.withColumn(out, F.least(F.lit(3), F.floor((4 * rn - 1) / n)).cast("int"))
 
 
+def rank_quartile_of_all(df: DataFrame, value: str, *ordinals: str, out: str = "band") -> DataFrame:
+    """``rank_quartile`` over all rows: places from running counts of the distinct values and a place among equal ones, so no task sorts them all."""
+    h = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    h = running(h, [], value, {"_to": "_c"})
+    n = df.sparkSession.createDataFrame([(df.count(), 1)], "_n long, _one int")
+    place = F.row_number().over(Window.partitionBy(value).orderBy(*ordinals))
+    d = df.withColumn("_rn", place).join(h, value).withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+    rn = F.col("_to") - F.col("_c") + F.col("_rn")
+    return d.withColumn(out, F.least(F.lit(3), F.floor((4 * rn - 1) / F.col("_n"))).cast("int")).drop("_rn", "_to", "_c", "_one", "_n")
+
+
 # Upper edges of the absolute size bands.
 BAND_EDGES = (22, 48, 108)
 

@@ -1,64 +1,331 @@
-"""The composite analyses as single calls: sections of registered queries in one long table.
+"""Composite analyses: from the panel or the labelled texts to a table that ends in a verdict.
 
-A row is (section, key, metric, value): the key joins the section's key columns by "|", a metric is a number or a truth as 0
-or 1.  Each section's SQL is built from the SQL of its query, so a composite is checked like any other.
+Bindings are those of ``panel``; labelled texts stand for pooled observations: good ones are positive, the number of
+characters is the size that a measure must beat, and the source is the cluster that is drawn.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import evidence  # noqa: F401  (registers queries that sections use)
-from .catalog import ORACLE, QUERIES
-
-PRESENT = "present"  # the metric of sections whose rows have no number
-
-SECTIONS = {
-    "q1_exposure_report": [("snapshot_status", "event status", "n total"), ("event_mean_delta", "idx", "mean_delta n_neg n_pos n_zero"), ("mann_whitney_u", "", "u z"), ("movers", "path", "delta"), ("pre_percentile", "path idx", "pct"), ("co_added", "p_brand l_returnflag", "n lift"), ("era_medians", "era", "n mid"), ("dwell", "user_id", "days"), ("spearman_rho", "", "n rho")],
-    "q2_signal_anatomy": [("signature_rates", "lang", "n loud tabular both"), ("pre_percentile_by_metric", "path idx metric", "pct"), ("span_overlap", "user_id start length", "touched"), ("length_matched_pairs", "k case match", "gap")],
-    "q3_review_budget": [("budget_recall", "idx", "n_read n_pos recall"), ("prior_count", "event_id", "prior"), ("auc_by_feature", "feature", "auc")],
-    "q4_process_features": [("cochange_features", "path", "partners change_entropy"), ("ownership_entropy", "path", "total n_kinds entropy"), ("quartile_bands_rank", "path idx", "band"), ("auc_by_feature", "feature", "n_pos n_neg auc"), ("boot_auc", "iter", "auc"), ("band_headline", "c_nationkey", "n_supported n_bands all_bands any_band")],
-    "q5_entropy_sweep": [("hcm_36", "anchor path length variant", "value"), ("band_headline", "c_nationkey", "clears"), ("boot_auc", "iter", "auc")],
-    "q6_centrality_bands": [("absolute_bands", "band", "n total"), ("quartile_bands_rank", "path idx", "band"), ("auc_by_feature", "feature", "auc"), ("bonferroni_level", "", "n_powered level"), ("boot_auc", "iter", "auc")],
-    "q7_label_evaluation": [("skip_reasons", "reason", "n"), ("auc_pooled", "", "n_pos n_neg auc"), ("boot_auc", "iter", "auc"), ("monotone_share", "", "n_valid share supported")],
-    "q8_trajectories": [("islands", "path run_start run_end", "n"), ("lookback_slope", "path idx", "slope n_moves"), ("pairing_ratio", "path idx", "ratio drift"), ("value_ahead", "path idx", "ahead"), ("next_gap", "event_id", "gap again"), ("forward_outcome", "path idx", "outcome"), ("asof_forward", "event_id", "idx")],
-    "q9_heldout_specificity": [("temporal_split", "part", "n"), ("discriminant_matrix", "feature", "auc"), ("two_sample_boot", "iter", "auc")],
-    "q10_density_specificity": [("length_matched_pairs", "k case match", "gap"), ("matched_pair_boot", "iter", "win"), ("quantile_linear", "c_mktsegment", "q90 mid")],
-    "q11_churn_floors": [("churn_floors", "floor", "n_good n_bad gap")],
-    "q12_follow_up_events": [("reverts_and_follow_ups", "sha class", ""), ("exemplars", "o_orderpriority o_orderkey", "o_totalprice")],
-    "q13_keyword_pools": [("keyword_counts", "doc_id", "k_guard k_alloc k_license k_markup"), ("co_added", "p_brand l_returnflag", "n lift"), ("signal_correlations", "a b", "rho"), ("signal_clusters", "signal cluster", "")],
-    "q14_patch_grammar": [("signature_rates", "lang", "n loud tabular both"), ("skip_reasons", "reason", "n")],
-    "q15_first_event_profile": [("exemplars", "o_orderpriority o_orderkey", "o_totalprice"), ("matched_pair_boot", "iter", "win"), ("median_difference_boot", "iter", "diff"), ("span_overlap", "user_id start length", "touched")],
-    "q16_signal_classes": [("confusion_matrix", "class", "actual guessed precision recall f1"), ("temporal_split", "part", "n")],
-    "q17_label_export": [("label_draw", "doc_id class labels", ""), ("vulnerability_events", "class known", "n n_sha")],
-    "q18_parity_check": [("parity_diff", "event path side columns", "")],
-    "q19_chart_feeds": [("box_feed", "p_brand", "q1 q2 q3 low high outliers"), ("era_medians", "era", "n mid"), ("signature_rates", "lang", "loud tabular both")],
-}
-
-
-def section(df: DataFrame, name: str, keys: list[str], metrics: list[str]) -> DataFrame:
-    pairs = [(m, F.col(f"`{m}`").cast("double")) for m in metrics] or [(PRESENT, F.lit(1.0))]
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in pairs])
-    key = F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys]) if keys else F.lit("")
-    return df.select(F.lit(name).alias("section"), key.alias("key"), F.inline(rows))
-
-
-def section_sql(sql: str, name: str, keys: list[str], metrics: list[str]) -> str:
-    pairs = [(m, f'CAST("{m}" AS DOUBLE)') for m in metrics] or [(PRESENT, "CAST(1 AS DOUBLE)")]
-    rows = ", ".join(f"{{'metric': '{m}', 'value': {v}}}" for m, v in pairs)
-    key = "concat_ws('|', " + ", ".join(f'CAST("{k}" AS VARCHAR)' for k in keys) + ")" if keys else "''"
-    return f"SELECT section, key, u.metric AS metric, u.value AS value FROM (SELECT '{name}' AS section, {key} AS key, unnest([{rows}]) AS u FROM ({sql}))"
-
-
-def composite(parts: list[tuple[str, str, str]]):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [section(QUERIES[q](spark, d), q, k.split(), m.split()) for q, k, m in parts])
-
-    return run, " UNION ALL ".join(section_sql(ORACLE[q], q, k.split(), m.split()) for q, k, m in parts)
-
-
-for _name, _parts in SECTIONS.items():
-    QUERIES[_name], ORACLE[_name] = composite(_parts)
+from ..operators import boot, entropy, rank, signature, snapshot, stats, verdict
+from .catalog import AUC, SCORED, _hcm_sql, _touches, query, rounded, scored, table
+from .panel import CHANGE, DELTA, RISKS, SIGNALS, change, deltas, event_stats, panel, parents
+
+DRAWS, SEED, SOURCES = 5000, 2982, 20
+MEASURES = ["n_words", "n_stops"]
+
+
+def banded(spark, d) -> DataFrame:
+    return rank.rank_quartile_of_all(scored(spark, d), "n_chars", "doc_id")
+
+
+BANDED = SCORED + ", s AS (SELECT *, CAST(least(3, (4 * row_number() OVER (ORDER BY n_chars, doc_id) - 1) // count(*) OVER ()) AS INTEGER) AS band FROM scored), k AS (SELECT source, row_number() OVER (ORDER BY source) AS k FROM (SELECT DISTINCT source FROM s))"
+
+
+def weights_sql(bands: int, joint: bool, draws: int = DRAWS) -> str:
+    """The seeded draws of the sources as a table w (band, iter, digits): a digit for each source in order."""
+    rows = []
+    for b in range(bands):
+        w = boot.drawn(SOURCES, draws, SEED + (0 if joint else b))
+        assert w.max() < 10
+        rows += [f"({b},{i},'{''.join(map(str, x))}')" for i, x in enumerate(w.tolist())]
+    return f"w AS (SELECT * FROM (VALUES {','.join(rows)}) v(band, iter, digits))"
+
+
+def draws_sql(band: str, measures=MEASURES, base: str = "n_chars") -> str:
+    """Tables after s, k and w: l (band, measure, iter, auc, base_auc, lift) of each draw, o of the sample itself."""
+    long = " UNION ALL ".join(f"SELECT {band} AS band, source, good, '{m}' AS measure, {m} AS score FROM s" for m in [*measures, base])
+    return f"""g AS ({long}), x AS (SELECT band, measure, iter, score, sum(w) FILTER (good) AS p, sum(w) FILTER (NOT good) AS n FROM (SELECT g.band, measure, iter, score, good, CAST(substr(digits, CAST(k AS INTEGER), 1) AS INTEGER) AS w FROM g JOIN k USING (source) JOIN w ON w.band = g.band) GROUP BY 1, 2, 3, 4),
+    y AS (SELECT band, measure, iter, coalesce(p, 0) AS p, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY band, measure, iter ORDER BY score) - coalesce(n, 0) AS below FROM x),
+    a AS (SELECT band, measure, iter, CAST(sum(p * (2 * below + n)) AS DOUBLE) / (2.0 * sum(p) * sum(n)) AS auc FROM y GROUP BY 1, 2, 3 HAVING sum(p) > 0 AND sum(n) > 0),
+    l AS (SELECT band, a.measure, iter, a.auc, b.auc AS base_auc, a.auc - b.auc AS lift FROM a JOIN a b USING (band, iter) WHERE a.measure <> '{base}' AND b.measure = '{base}'),
+    h AS (SELECT band, measure, score, count(*) FILTER (good) AS p, count(*) FILTER (NOT good) AS n FROM g GROUP BY 1, 2, 3), c AS (SELECT *, sum(n) OVER (PARTITION BY band, measure ORDER BY score) - n AS below FROM h),
+    q AS (SELECT band, measure, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) END AS auc FROM c GROUP BY 1, 2),
+    o AS (SELECT band, q.measure, q.n_pos, q.n_neg, q.auc, b.auc AS base_auc, q.auc - b.auc AS lift FROM q JOIN q b USING (band) WHERE q.measure <> '{base}' AND b.measure = '{base}')"""
+
+
+def verdict_sql(cells: int) -> str:
+    """Table r (o with low, n_valid, level and verdict).  The level depends on the powered cells, and a quantile takes a constant: one case for each number of them."""
+    quantile = "CASE any_value(powered) " + " ".join(f"WHEN {i} THEN quantile_cont(lift, {0.05 / i!r})" for i in range(1, cells + 1)) + " END"
+    return f"""z AS (SELECT greatest(count(*) FILTER (n_pos >= 20), 1) AS powered FROM o), lows AS (SELECT band, measure, {quantile} AS low, count(*) AS n_valid FROM l, z GROUP BY 1, 2),
+    r AS (SELECT o.*, low, coalesce(n_valid, 0) AS n_valid, 0.05 / powered AS level, CASE WHEN n_pos < 20 THEN 'UNDERPOWERED' WHEN auc > 0.5 AND lift > 0 AND low > 0 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END AS verdict FROM o CROSS JOIN z LEFT JOIN lows USING (band, measure))"""
+
+
+ROUNDED = "round(auc, 6) AS auc, round(base_auc, 6) AS base_auc, round(lift, 6) AS lift, round(low, 6) AS low, n_valid, round(level, 8) AS level, verdict"
+
+
+def lifts(rows: DataFrame, bands: list[str], joint: bool = False, cluster: str = "source", measures=MEASURES, base: str = "n_chars", positive: str = "good") -> DataFrame:
+    d = boot.lift_draws(rows, cluster, positive, base, list(measures), bands, DRAWS, SEED, joint)
+    t = boot.lift_table(rows, cluster, positive, base, list(measures), bands, d)
+    return rounded(rounded(t, "auc", "base_auc", "lift", "low"), "level", digits=8).persist()  # a row a cell
+
+
+@query(f"WITH {BANDED}, {weights_sql(4, False)}, {draws_sql('band')}, {verdict_sql(8)} SELECT band, measure, n_pos, n_neg, {ROUNDED} FROM r")
+def boot_lift(spark, d):
+    """Lift of each measure over size within each band of equal count: 5000 seeded draws of the sources, a seed a band."""
+    return lifts(banded(spark, d), ["band"])
+
+
+@query(f"WITH {BANDED}, {weights_sql(1, True)}, {draws_sql('0')}, {verdict_sql(2)} SELECT measure, n_pos, n_neg, {ROUNDED} FROM r")
+def boot_paired_lift(spark, d):
+    """The pooled lift: measure and size on the same 5000 draws."""
+    return lifts(scored(spark, d), [])
+
+
+MONOTONE = "i AS (SELECT measure, iter, lift, lift >= lag(lift) OVER (PARTITION BY measure, iter ORDER BY band) AS up FROM l), m AS (SELECT measure, iter, count(*) FILTER (up) AS ups FROM i GROUP BY 1, 2 HAVING count(*) = 4), v AS (SELECT measure, count(iter) AS n_valid, avg(CAST(ups = 0 AS INTEGER)) AS share FROM (SELECT DISTINCT measure FROM o) LEFT JOIN m USING (measure) GROUP BY 1)"
+
+
+def monotone(spark, d, measure):
+    draws = boot.lift_draws(banded(spark, d), "source", "good", "n_chars", [measure], ["band"], DRAWS, SEED, True)
+    return verdict.monotone_share(draws, "iter", "band", "lift").withColumn("measure", F.lit(measure))
+
+
+@query(f"WITH {BANDED}, {weights_sql(4, True)}, {draws_sql('band')}, {MONOTONE} SELECT measure, n_valid, round(share, 6) AS share, coalesce(share >= 0.99, false) AS supported FROM v")
+def boot_joint_lift(spark, d):
+    """Whether lifts fall from band to band, on draws that all bands share."""
+    return rounded(reduce(DataFrame.unionByName, [monotone(spark, d, m) for m in MEASURES]), "share")
+
+
+@query(f"""WITH {SCORED}, t AS (SELECT *, doc_id % 3 AS part FROM scored), long AS (SELECT part || ':' || m AS feature, CASE m WHEN 'n_chars' THEN n_chars WHEN 'n_words' THEN n_words ELSE n_stops END AS score, good FROM t, (VALUES ('n_chars'), ('n_words'), ('n_stops')) v(m)), {AUC}, a AS (SELECT split_part(feature, ':', 1) AS part, split_part(feature, ':', 2) AS m, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1, 2)
+    SELECT CAST(a.part AS BIGINT) AS part, a.m AS measure, round(a.auc, 6) AS auc, round(a.auc - b.auc, 6) AS lift FROM a JOIN a b ON a.part = b.part AND b.m = 'n_chars'""")
+def defect_lift(spark, d):
+    """AUC of each measure minus that of size, in three parts of the texts."""
+    t = scored(spark, d).withColumn("part", F.col("doc_id") % 3)
+    a = stats.auc(t.unpivot(["part", "good"], ["n_chars", "n_words", "n_stops"], "measure", "score"), "score", "good", ["part", "measure"])
+    base = a.where("measure = 'n_chars'").select("part", F.col("auc").alias("_b"))
+    return a.join(base, "part").select("part", "measure", F.round("auc", 6).alias("auc"), F.round(F.col("auc") - F.col("_b"), 6).alias("lift"))
+
+
+FAMILIES = ("n_chars", "n_words", "n_stops")
+FAMILY_SQL = " UNION ALL ".join(f"SELECT '{f}:{m}' AS feature, {m} AS score, doc_id % 3 = {i} AS good FROM scored WHERE NOT good OR doc_id % 3 = {i}" for i, f in enumerate(FAMILIES) for m in FAMILIES)
+
+
+@query(f"""WITH {SCORED}, long AS ({FAMILY_SQL}), {AUC}, a AS (SELECT split_part(feature, ':', 1) AS family, split_part(feature, ':', 2) AS signals, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY auc DESC NULLS LAST, signals) AS rn FROM a)
+    SELECT family, signals, round(auc, 6) AS auc, rn = 1 AS best, family = signals AND rn = 1 AS diagonal FROM b""")
+def discriminant_square(spark, d):
+    """Each family of positives against the controls by each family's signals, and whether a family's own signals tell it best."""
+    s = scored(spark, d)
+    sets = [s.where(~F.col("good") | (F.col("doc_id") % 3 == i)).withColumn("family", F.lit(f)).withColumn("hit", F.col("doc_id") % 3 == i) for i, f in enumerate(FAMILIES)]
+    long = reduce(DataFrame.unionByName, sets).unpivot(["family", "hit"], list(FAMILIES), "signals", "score")
+    a = stats.auc(long, "score", "hit", ["family", "signals"]).select("family", "signals", "auc")
+    best = signature.argmax(a, ["family"], "signals", "auc").select("family", F.col("signals").alias("_best"))
+    top = F.col("signals") == F.col("_best")
+    return a.join(best, "family").select("family", "signals", F.round("auc", 6).alias("auc"), top.alias("best"), (top & (F.col("family") == F.col("signals"))).alias("diagonal"))
+
+
+# --- Q3: which order of reading finds the touched files within a budget ------------------------------------------------
+
+REVIEW = CHANGE + """, t AS (SELECT DISTINCT sha AS event, old_path AS path FROM change WHERE status = 'touched'),
+    o0 AS (SELECT q.sha AS event, p.path, p.loc, coalesce(p.risk_debt, 0) + coalesce(p.risk_safety, 0) AS exposure, t.path IS NOT NULL AS hit FROM parents q JOIN panel p ON p.sha = q.parent LEFT JOIN t ON t.event = q.sha AND t.path = p.path),
+    o AS (SELECT *, coalesce(sum(CAST(hit AS INTEGER)) OVER (PARTITION BY path ORDER BY event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, dense_rank() OVER (ORDER BY event) - 1 AS idx FROM o0),
+    u AS (SELECT event, idx, path, loc, hit, 'exposure' AS score, exposure AS v FROM o UNION ALL SELECT event, idx, path, loc, hit, 'loc', loc FROM o UNION ALL SELECT event, idx, path, loc, hit, 'prior', prior FROM o),
+    b AS (SELECT *, coalesce(sum(loc) OVER (PARTITION BY event, score ORDER BY v DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.2 * sum(loc) OVER (PARTITION BY event, score) AS taken FROM u),
+    r AS (SELECT event, idx, score, count(*) FILTER (taken AND hit) / count(*) FILTER (hit) AS recall FROM b GROUP BY 1, 2, 3 HAVING count(*) FILTER (hit) > 0),
+    h AS (SELECT score, v, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS n FROM u SEMI JOIN r USING (event) GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY score ORDER BY v) - n AS below FROM h),
+    a AS (SELECT score, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1), m AS (SELECT score, count(*) AS n_events, median(recall) AS recall FROM r GROUP BY 1),
+    k AS (SELECT x.score, count(*) FILTER (x.recall > y.recall) AS wins, count(*) FILTER (x.recall < y.recall) AS losses FROM r x JOIN r y ON x.event = y.event AND y.score = 'loc' WHERE x.score <> 'prior' OR x.idx >= 5 GROUP BY 1)"""
+
+
+def review(spark, d) -> DataFrame:
+    """(event, idx, path, loc, exposure, prior, hit): the files of each event's parent; prior counts the earlier events that touched a file, which are known only after their evaluation."""
+    p, up = panel(spark, d), parents(spark, d)
+    own = p.select("sha", "path", "loc", snapshot.total(RISKS).alias("exposure"))
+    before = own.join(F.broadcast(up.where("parent is not null").select(F.col("parent").alias("sha"), F.col("sha").alias("event"))), "sha").drop("sha")
+    hit = change(p, up).where("status = 'touched'").select(F.col("sha").alias("event"), F.col("old_path").alias("path"), F.lit(True).alias("hit")).distinct()
+    o = before.join(hit, ["event", "path"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    earlier = Window.partitionBy("path").orderBy("event").rowsBetween(Window.unboundedPreceding, -1)
+    events = o.select("event").distinct().withColumn("idx", F.row_number().over(Window.orderBy("event")) - 1)  # a row an event
+    return o.withColumn("prior", F.coalesce(F.sum(F.col("hit").cast("long")).over(earlier), F.lit(0))).join(F.broadcast(events), "event")
+
+
+@query(f"WITH {REVIEW} SELECT score, n_events, round(recall, 6) AS recall, round(auc, 6) AS auc, wins, losses, CASE WHEN wins + losses = 0 THEN 'UNDEFINED' WHEN wins > losses THEN 'AHEAD OF SIZE' ELSE 'NOT AHEAD' END AS verdict FROM m JOIN a USING (score) JOIN k USING (score)")
+def q3_review_budget(spark, d):
+    """Exposure, size and prior events as orders of review: median recall within a fifth of the lines, pooled AUC, and wins against size, for prior events once five events have passed."""
+    u = review(spark, d).unpivot(["event", "idx", "path", "loc", "hit"], ["exposure", "loc", "prior"], "score", "v")
+    r = stats.budget_recall(u, ["event", "idx", "score"], "v", "path", "loc", "hit").where("n_pos > 0").select("event", "idx", "score", "recall")
+    a = stats.auc(u.join(r.select("event").distinct(), "event", "left_semi"), "v", "hit", ["score"]).select("score", "auc")
+    m = r.groupBy("score").agg(F.count(F.lit(1)).alias("n_events"), F.median("recall").alias("recall"))
+    size = r.where("score = 'loc'").select("event", F.col("recall").alias("_size"))
+    k = r.where("score <> 'prior' or idx >= 5").join(size, "event").groupBy("score").agg(F.count_if(F.col("recall") > F.col("_size")).alias("wins"), F.count_if(F.col("recall") < F.col("_size")).alias("losses"))
+    t = m.join(a, "score").join(k, "score")
+    said = F.when(F.col("wins") + F.col("losses") == 0, "UNDEFINED").when(F.col("wins") > F.col("losses"), "AHEAD OF SIZE").otherwise("NOT AHEAD")
+    return rounded(t.withColumn("verdict", said), "recall", "auc")
+
+
+# --- Q5: which variant of change entropy beats size --------------------------------------------------------------------
+
+SWEEP = _hcm_sql() + """, pos AS (SELECT DISTINCT anchor, l_partkey AS path FROM lineitem, (SELECT DISTINCT anchor FROM t0) WHERE l_quantity > 45 AND date_diff('day', anchor, CAST(l_shipdate AS DATE)) BETWEEN 31 AND 120),
+    size AS (SELECT anchor, path, count(*) AS loc FROM t0 GROUP BY 1, 2), ob AS (SELECT h.variant || '_' || h.length AS feature, round(h.value, 9) AS score, pos.path IS NOT NULL AS good FROM hcm h LEFT JOIN pos USING (anchor, path) UNION ALL SELECT 'loc', loc, pos.path IS NOT NULL FROM size LEFT JOIN pos USING (anchor, path)), long AS (SELECT * FROM ob)"""
+VARIANTS = [f"{a}_{w}_{n}" for n in entropy.LENGTHS for a in entropy.ATTRIBUTION for w in entropy.DECAY]
+
+
+def observations(spark, d) -> DataFrame:
+    """(anchor, path, loc, good, the 36 variants): files with changes before each anchor; good ones get a large line in the months after."""
+    t = _touches(spark, d)
+    v = entropy.change_entropy_variants(t.select("anchor", "path", "age")).withColumn("name", F.concat_ws("_", "variant", F.col("length").cast("string")))
+    wide = v.groupBy("anchor", "path").agg(*[F.max(F.when(F.col("name") == n, F.round("value", 9))).alias(n) for n in VARIANTS])
+    size = t.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("loc"))
+    days = t.select("anchor").distinct()
+    late = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("path"), F.to_date("l_shipdate").alias("day")).distinct()
+    late = late.withColumn("_y", F.explode(F.sequence(F.year("day") - 1, F.year("day")))).join(F.broadcast(days.withColumn("_y", F.year("anchor"))), "_y")
+    good = late.where(F.datediff("day", "anchor").between(31, 120)).select("anchor", "path", F.lit(True).alias("good")).distinct()
+    return wide.join(size, ["anchor", "path"]).join(good, ["anchor", "path"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+def sweep(o: DataFrame) -> DataFrame:
+    """(variant, n_pos, n_neg, auc, lift, place) of the 36 variants against size, the largest lift first; undefined ones come last."""
+    long = o.select("good", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("score")) for c in [*VARIANTS, "loc"]])))
+    a = stats.auc(long, "score", "good", ["feature"])
+    base = a.where("feature = 'loc'").select(F.col("auc").alias("_b"), F.lit(1).alias("_one"))
+    r = a.where("feature <> 'loc'").withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one").withColumn("lift", F.round(F.col("auc") - F.col("_b"), 6))
+    return r.withColumn("place", F.row_number().over(Window.orderBy(F.col("lift").desc_nulls_last(), "feature"))).select(F.col("feature").alias("variant"), "n_pos", "n_neg", F.round("auc", 6).alias("auc"), "lift", "place")  # 36 rows
+
+
+@query(f"""WITH {SWEEP}, {AUC}, a AS (SELECT feature, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1), r AS (SELECT a.feature AS variant, a.n_pos, a.n_neg, round(a.auc, 6) AS auc, round(a.auc - b.auc, 6) AS lift FROM a JOIN a b ON b.feature = 'loc' WHERE a.feature <> 'loc')
+    SELECT *, row_number() OVER (ORDER BY lift DESC, variant) AS place FROM r""")
+def entropy_sweep(spark, d):
+    return sweep(observations(spark, d))
+
+
+@query()
+def q5_entropy_sweep(spark, d):
+    """The five best variants and a named one, tested within bands of size by 5000 draws of the anchors; a variant clears with three bands of four."""
+    o = rank.rank_quartile_of_all(observations(spark, d).persist(), "loc", "path", "anchor").persist()
+    ranked = sweep(o).persist()  # 36 rows
+    best = [r["variant"] for r in ranked.where("place <= 5").orderBy("place").collect()]
+    names = list(dict.fromkeys([*best, "weighted_none_90"]))
+    t = lifts(o, ["band"], cluster="anchor", measures=names, base="loc")
+    head = verdict.band_headline(t.withColumn("yes", F.col("verdict") == "SUPPORTED"), ["measure"], "yes")
+    return t.join(head, "measure").join(ranked.select(F.col("variant").alias("measure"), "place"), "measure").withColumn("conclusion", F.when(F.col("clears"), "SUPPORTED").otherwise("NOT SUPPORTED"))
+
+
+# --- Q6: measures within bands of size, by two schemes -----------------------------------------------------------------
+
+EDGES = (200, 600, 1500)
+SCHEMES = BANDED.replace(", k AS (", f", s2 AS (SELECT * REPLACE (CAST(CASE WHEN n_chars <= {EDGES[0]} THEN 4 WHEN n_chars <= {EDGES[1]} THEN 5 WHEN n_chars <= {EDGES[2]} THEN 6 ELSE 7 END AS INTEGER) AS band) FROM s), k AS (")
+
+
+@query(f"WITH {SCHEMES.replace(', s AS (', ', s1 AS (', 1).replace('FROM s), k', 'FROM s1), s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), k')}, {weights_sql(8, False)}, {draws_sql('band')}, {verdict_sql(16)} SELECT CASE WHEN band < 4 THEN 'rank' ELSE 'absolute' END AS scheme, CAST(band % 4 AS INTEGER) AS band, measure, n_pos, n_neg, {ROUNDED}, count(*) FILTER (verdict = 'SUPPORTED') OVER (PARTITION BY band >= 4, measure) >= 3 AS clears FROM r")
+def q6_centrality_bands(spark, d):
+    """Two schemes of four bands, each measure in each band: sample AUC, lift, its bound at the level of the whole family, verdict, and whether a measure clears three bands of a scheme."""
+    ranked = banded(spark, d)
+    fixed = scored(spark, d).withColumn("band", (rank.absolute_band(F.col("n_chars"), EDGES) + 4).cast("int"))
+    t = lifts(ranked.unionByName(fixed), ["band"]).withColumn("scheme", F.when(F.col("band") < 4, "rank").otherwise("absolute")).withColumn("band", (F.col("band") % 4).cast("int"))
+    head = verdict.band_headline(t.withColumn("yes", F.col("verdict") == "SUPPORTED"), ["scheme", "measure"], "yes").select("scheme", "measure", "clears")
+    return t.join(head, ["scheme", "measure"])
+
+
+# --- Q7: three hypotheses about the labels -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {BANDED}, {weights_sql(4, True)}, {draws_sql('band')}, {verdict_sql(8)}, {MONOTONE}
+    SELECT 'bands' AS hypothesis, measure, CAST(count(*) FILTER (verdict = 'SUPPORTED') AS DOUBLE) AS evidence, CASE WHEN count(*) FILTER (verdict = 'SUPPORTED') >= 3 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END AS verdict FROM r GROUP BY 1, 2
+    UNION ALL SELECT 'monotone', measure, round(share, 6), CASE WHEN share >= 0.99 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END FROM v
+    UNION ALL SELECT 'direction', measure, CAST(count(*) FILTER (auc > 0.5) AS DOUBLE), CASE WHEN count(*) FILTER (auc > 0.5) = count(*) THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END FROM r GROUP BY 1, 2""")
+def q7_label_evaluation(spark, d):
+    """Bands: a measure beats size in three bands of four.  Monotone: its lifts fall from band to band in 99 % of joint draws.  Direction: its AUC is above a half in each band."""
+    rows = banded(spark, d).persist()
+    t = lifts(rows, ["band"], joint=True)
+    yes = lambda c: F.when(c, "SUPPORTED").otherwise("NOT SUPPORTED").alias("verdict")
+    n = F.col("n_supported")
+    first = verdict.band_headline(t.withColumn("yes", F.col("verdict") == "SUPPORTED"), ["measure"], "yes").select(F.lit("bands").alias("hypothesis"), "measure", n.cast("double").alias("evidence"), yes(F.col("clears")))
+    draws = boot.lift_draws(rows, "source", "good", "n_chars", MEASURES, ["band"], DRAWS, SEED, True)
+    shares = [verdict.monotone_share(draws.where(F.col("measure") == m), "iter", "band", "lift").select(F.lit("monotone").alias("hypothesis"), F.lit(m).alias("measure"), F.round("share", 6).alias("evidence"), yes(F.col("supported"))) for m in MEASURES]
+    third = verdict.band_headline(t.withColumn("yes", F.col("auc") > 0.5), ["measure"], "yes").select(F.lit("direction").alias("hypothesis"), "measure", n.cast("double").alias("evidence"), yes(F.col("all_bands")))
+    return reduce(DataFrame.unionByName, [first, *shares, third])
+
+
+# --- Q1: what changes do to exposure -----------------------------------------------------------------------------------
+
+EXPOSURE = DELTA + """, ev AS (SELECT sha, CASE sha % 3 WHEN 0 THEN 'fix' WHEN 1 THEN 'introduced' ELSE 'control' END AS class, avg(structural) AS mean, avg(loc) AS mean_loc FROM d WHERE touched GROUP BY 1),
+    rk AS (SELECT *, rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2.0 AS mr, count(*) OVER (PARTITION BY mean) AS t FROM ev WHERE class <> 'introduced'),
+    mw AS (SELECT CAST(count(*) FILTER (class = 'fix') AS DOUBLE) AS n1, CAST(count(*) FILTER (class = 'control') AS DOUBLE) AS n2, CAST(sum(mr) FILTER (class = 'fix') AS DOUBLE) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM rk),
+    z AS (SELECT (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 + 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM mw),
+    pc AS (SELECT q.sha, p.path, 100 * percent_rank() OVER (PARTITION BY q.sha ORDER BY coalesce(p.risk_debt, 0) + coalesce(p.risk_safety, 0)) AS pct FROM parents q JOIN panel p ON p.sha = q.parent),
+    tg AS (SELECT class, avg(pct) AS pct FROM pc JOIN (SELECT DISTINCT sha, old_path AS path FROM change WHERE status = 'touched') USING (sha, path) JOIN ev USING (sha) GROUP BY 1)"""
+
+
+def classes(column):
+    return F.when(column % 3 == 0, "fix").when(column % 3 == 1, "introduced").otherwise("control")
+
+
+@query(f"""WITH {EXPOSURE}, c AS (SELECT class, count(*) AS n, median(mean) AS mid, median(mean_loc) AS mid_loc, count(*) FILTER (mean < 0) AS down, count(*) FILTER (mean > 0) AS up FROM ev GROUP BY 1)
+    SELECT class, n, round(mid, 6) AS median, round(mid_loc, 6) AS median_loc, down, up, round(pct, 6) AS target_pct, CASE WHEN class = 'fix' THEN round(z, 6) END AS z, CASE WHEN class <> 'fix' THEN 'REFERENCE' WHEN z < -1.6448536269514722 THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END AS verdict FROM c JOIN tg USING (class) CROSS JOIN z""")
+def q1_exposure_report(spark, d):
+    """Events by class: median of their mean change of exposure and of size, signs, how exposed the touched files were before, and whether fixes lower exposure more than controls do (one-sided rank test at 5 %)."""
+    x = deltas(spark, d).where("touched")
+    ev = x.groupBy("sha").agg(F.avg("structural").alias("mean"), F.avg("loc").alias("mean_loc")).withColumn("class", classes(F.col("sha"))).persist()
+    c = ev.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.median("mean").alias("median"), F.median("mean_loc").alias("median_loc"), F.count_if(F.col("mean") < 0).alias("down"), F.count_if(F.col("mean") > 0).alias("up"))
+    z = stats.mann_whitney(ev.where("class <> 'introduced'").withColumn("first", F.col("class") == "fix"), "mean", "first").select(F.lit("fix").alias("class"), "z")
+    p, up = panel(spark, d), parents(spark, d)
+    before = p.select("sha", "path", snapshot.total(RISKS).alias("exposure")).join(F.broadcast(up.where("parent is not null").select(F.col("parent").alias("sha"), F.col("sha").alias("event"))), "sha").drop("sha")
+    hit = change(p, up).where("status = 'touched'").select(F.col("sha").alias("event"), F.col("old_path").alias("path")).distinct()
+    target = rank.percentile_within(before, ["event"], "exposure").join(hit, ["event", "path"]).join(ev.select(F.col("sha").alias("event"), "class"), "event").groupBy("class").agg(F.avg("pct").alias("target_pct"))
+    t = c.join(target, "class").join(z, "class", "left")
+    said = F.when(F.col("class") != "fix", "REFERENCE").when(F.col("z") < -1.6448536269514722, "SUPPORTED").otherwise("NOT SUPPORTED")
+    return rounded(t.withColumn("verdict", said), "median", "median_loc", "target_pct", "z")
+
+
+# --- Q2: what signals move in fixes ------------------------------------------------------------------------------------
+
+ANATOMY = DELTA + ", e AS (SELECT sha, sha % 3 = 0 AS fix, " + ", ".join(f"avg({s}) AS mean_{s}, CAST(sum({s}) AS BIGINT) AS sum_{s}" for s in SIGNALS) + " FROM d WHERE touched AND sha % 3 <> 1 GROUP BY 1), long AS (" + " UNION ALL ".join(f"SELECT '{s}' AS feature, round(mean_{s}, 9) AS score, fix AS good FROM e" for s in SIGNALS) + f"), {AUC}"
+
+
+@query(f"""WITH {ANATOMY}, a AS (SELECT feature, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1), m AS (SELECT feature, avg(CAST(score <> 0 AS INTEGER)) FILTER (good) AS moved_fix, avg(CAST(score <> 0 AS INTEGER)) FILTER (NOT good) AS moved_control FROM long GROUP BY 1)
+    SELECT feature AS signal, n_pos, n_neg, round(auc, 6) AS auc, round(moved_fix, 6) AS moved_fix, round(moved_control, 6) AS moved_control, row_number() OVER (ORDER BY round(abs(auc - 0.5), 6) DESC, feature) AS place, CASE WHEN abs(auc - 0.5) >= 0.1 THEN 'TELLS' ELSE 'DOES NOT TELL' END AS verdict FROM a JOIN m USING (feature)""")
+def q2_signal_anatomy(spark, d):
+    """Each signal's event mean in fixes against controls: AUC, how often it moves on either side, and its place by distance from a half."""
+    e = event_stats(spark, d).where("sha % 3 <> 1").withColumn("fix", F.col("sha") % 3 == 0)
+    long = e.select("fix", F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.round(F.col(f"mean_{s}"), 9).alias("v")) for s in SIGNALS])))
+    moved = lambda c: F.avg(F.when(c, (F.col("v") != 0).cast("double")))
+    t = stats.auc(long, "v", "fix", ["signal"]).join(long.groupBy("signal").agg(moved(F.col("fix")).alias("moved_fix"), moved(~F.col("fix")).alias("moved_control")), "signal")
+    far = F.abs(F.col("auc") - 0.5)
+    t = t.withColumn("place", F.row_number().over(Window.orderBy(F.round(far, 6).desc(), "signal"))).withColumn("verdict", F.when(far >= 0.1, "TELLS").otherwise("DOES NOT TELL"))  # a row a signal
+    return rounded(t, "auc", "moved_fix", "moved_control")
+
+
+# --- Q9: does what told the families apart still do so later -----------------------------------------------------------
+
+HELD = SCORED + """, t AS (SELECT *, CASE WHEN doc_id < (SELECT list_sort(list(doc_id))[count(*) // 2 + 1] FROM scored) THEN 'derivation' ELSE 'holdout' END AS part FROM scored), long AS (SELECT part || ':' || m AS feature, CASE m WHEN 'n_chars' THEN n_chars WHEN 'n_words' THEN n_words ELSE n_stops END AS score, good FROM t, (VALUES ('n_chars'), ('n_words'), ('n_stops')) v(m)), """ + AUC
+
+
+@query(f"""WITH {HELD}, a AS (SELECT split_part(feature, ':', 1) AS part, split_part(feature, ':', 2) AS measure, CAST(sum(p) AS BIGINT) AS n_pos, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1, 2)
+    SELECT x.measure, x.n_pos AS n_derivation, y.n_pos AS n_holdout, round(x.auc, 6) AS auc_derivation, round(y.auc, 6) AS auc_holdout, round(y.auc - b.auc, 6) AS lift_holdout, CASE WHEN y.n_pos < 20 THEN 'UNDERPOWERED' WHEN (x.auc > 0.5) = (y.auc > 0.5) THEN 'HOLDS' ELSE 'DOES NOT HOLD' END AS verdict
+    FROM a x JOIN a y USING (measure) JOIN a b ON b.part = 'holdout' AND b.measure = 'n_chars' WHERE x.part = 'derivation' AND y.part = 'holdout'""")
+def q9_heldout_specificity(spark, d):
+    """Measures on the earlier and the later half of the texts, cut at the index median of the ids, and whether their direction holds."""
+    s = scored(spark, d)
+    n = s.count()
+    cut = stats.running(s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")), [], "doc_id", {"upto": "c"}).where(F.col("upto") >= n // 2 + 1).agg(F.min("doc_id")).first()[0]
+    t = s.withColumn("part", F.when(F.col("doc_id") < cut, "derivation").otherwise("holdout"))
+    a = stats.auc(t.unpivot(["part", "good"], ["n_chars", "n_words", "n_stops"], "measure", "score"), "score", "good", ["part", "measure"])
+    w = a.groupBy("measure").pivot("part", ["derivation", "holdout"]).agg(F.first("n_pos").alias("n"), F.first("auc").alias("auc"))
+    base = w.where("measure = 'n_chars'").select(F.col("holdout_auc").alias("_b"), F.lit(1).alias("_one"))
+    w = w.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
+    said = F.when(F.col("holdout_n") < 20, "UNDERPOWERED").when((F.col("derivation_auc") > 0.5) == (F.col("holdout_auc") > 0.5), "HOLDS").otherwise("DOES NOT HOLD")
+    return w.select("measure", F.col("derivation_n").alias("n_derivation"), F.col("holdout_n").alias("n_holdout"), F.round("derivation_auc", 6).alias("auc_derivation"), F.round("holdout_auc", 6).alias("auc_holdout"), F.round(F.col("holdout_auc") - F.col("_b"), 6).alias("lift_holdout"), said.alias("verdict"))
+
+
+# --- Q14: does the grammar of changes widen or collapse at the grain of a file -----------------------------------------
+
+GRAMMAR = """SELECT grain, n, round(share_loose, 6) AS share_loose, round(share_strict, 6) AS share_strict, round(share_fix_shaped, 6) AS share_fix_shaped"""
+
+
+@query(f"""WITH {DELTA}, e AS (SELECT 'event' AS grain, sum(struct_branch) AS b, sum(state_pointers) AS p, sum(state_alloc) AS a, sum(def_cast) AS c FROM d WHERE touched GROUP BY sha UNION ALL SELECT 'file', struct_branch, state_pointers, state_alloc, def_cast FROM d WHERE touched),
+    f AS (SELECT grain, b > 0 OR p > 0 AS loose, b > 0 AND p > 0 AS strict, (b > 0 OR p > 0) AND a <= 0 AND c <= 0 AS fix_shaped FROM e),
+    s AS (SELECT grain, count(*) AS n, avg(CAST(loose AS INTEGER)) AS share_loose, avg(CAST(strict AS INTEGER)) AS share_strict, avg(CAST(fix_shaped AS INTEGER)) AS share_fix_shaped FROM f GROUP BY 1)
+    {GRAMMAR}, CASE WHEN share_loose > (SELECT share_loose FROM s WHERE grain = 'event') THEN 'WIDENS' WHEN grain = 'event' THEN 'REFERENCE' ELSE 'COLLAPSES' END AS verdict FROM s""")
+def q14_patch_grammar(spark, d):
+    """The three signatures at the grain of an event and of a file, and which way the loose one goes."""
+    x = deltas(spark, d).where("touched")
+    files = x.select(F.lit("file").alias("grain"), *SIGNALS)
+    both = x.groupBy("sha").agg(*[F.sum(s).alias(s) for s in SIGNALS]).select(F.lit("event").alias("grain"), *SIGNALS).unionByName(files)
+    f = signature.prevalence(signature.flags(both, *[F.col(s) for s in SIGNALS]), ["grain"], ["loose", "strict", "fix_shaped"])
+    base = f.where("grain = 'event'").select(F.col("share_loose").alias("_b"), F.lit(1).alias("_one"))
+    f = f.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
+    said = F.when(F.col("share_loose") > F.col("_b"), "WIDENS").when(F.col("grain") == "event", "REFERENCE").otherwise("COLLAPSES")
+    return rounded(f.select("grain", "n", "share_loose", "share_strict", "share_fix_shaped", said.alias("verdict")), "share_loose", "share_strict", "share_fix_shaped")

@@ -90,7 +90,7 @@ def test_match_and_entropy(spark):
 def test_tails():
     from math import comb
 
-    assert tails.sign_tail(3, 0) == 0.125 and tails.sign_tail(0, 0) is None and tails.sign_tail(0, 4) == 1.0
+    assert tails.sign_tail(3, 0) == pytest.approx(0.125) and tails.sign_tail(0, 0) is None and tails.sign_tail(0, 4) == pytest.approx(1.0)
     for n in (1, 7, 30, 3000):
         for w in {0, 1, n // 2, n}:
             assert tails.sign_tail(w, n - w) == pytest.approx(sum(comb(n, k) for k in range(w, n + 1)) / 2**n, rel=1e-9)
@@ -111,10 +111,21 @@ def test_sources(spark, tmp_path):
     assert [(r.path, r.lo, r.hi, r.added, r.removed) for r in got] == [("f.c", 3, 4, ["y"], ["-- old", "x"])]
 
 
-def test_stream(spark, tmp_path):
+def test_stream_takes_a_key_once_over_batches_and_retries(spark, tmp_path):
     from snapgrain.streaming.ingest import watch_panel
 
     schema = "repo_name string, commit_hash string, file_path string, loc long"
-    spark.createDataFrame([("r", "c", "f", 1), ("r", "c", "f", 1)], schema).write.parquet(str(tmp_path / "land"))
-    watch_panel(spark, str(tmp_path / "land"), schema, str(tmp_path / "panel"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "panel")).count() == 1
+    land, panel_, seen = str(tmp_path / "land"), str(tmp_path / "panel"), []
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+        watch_panel(spark, land, schema, panel_, str(tmp_path / "ck"), lambda pairs: seen.append(sorted(map(tuple, pairs.collect())))).awaitTermination()
+        return sorted((r.commit_hash, r.file_path) for r in spark.read.parquet(panel_).collect())
+
+    assert step([("r", "c", "f", 1), ("r", "c", "f", 1)]) == [("c", "f")]
+    assert step([("r", "c", "f", 1), ("r", "c", "g", 2), ("r", "d", "f", 3)]) == [("c", "f"), ("c", "g"), ("d", "f")]
+    assert seen == [[("r", "c")], [("r", "c"), ("r", "d")]]
+    (tmp_path / "ck" / "commits" / "1").unlink()  # the second batch broke off before it was committed
+    for crc in (tmp_path / "ck" / "commits").glob(".1.crc"):
+        crc.unlink()
+    assert step([("r", "e", "f", 9)]) == [("c", "f"), ("c", "g"), ("d", "f"), ("e", "f")]
