@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import boot, entropy, rank, signature, snapshot, stats, verdict
 from .catalog import AUC, SCORED, _hcm_sql, _touches, query, rounded, scored, table
 from .panel import CHANGE, DELTA, RISKS, SIGNALS, change, deltas, event_stats, panel, parents
@@ -67,7 +68,7 @@ def lifts(rows: DataFrame, bands: list[str], joint: bool = False, cluster: str =
 @query(f"WITH {BANDED}, {weights_sql(4, False)}, {draws_sql('band')}, {verdict_sql(8)} SELECT band, measure, n_pos, n_neg, {ROUNDED} FROM r")
 def boot_lift(spark, d):
     """Lift of each measure over size within each band of equal count: 5000 seeded draws of the sources, a seed a band."""
-    return lifts(banded(spark, d), ["band"])
+    return lifts(cut(banded(spark, d)), ["band"])
 
 
 @query(f"WITH {BANDED}, {weights_sql(1, True)}, {draws_sql('0')}, {verdict_sql(2)} SELECT measure, n_pos, n_neg, {ROUNDED} FROM r")
@@ -79,15 +80,16 @@ def boot_paired_lift(spark, d):
 MONOTONE = "i AS (SELECT measure, iter, lift, lift >= lag(lift) OVER (PARTITION BY measure, iter ORDER BY band) AS up FROM l), m AS (SELECT measure, iter, count(*) FILTER (up) AS ups FROM i GROUP BY 1, 2 HAVING count(*) = 4), v AS (SELECT measure, count(iter) AS n_valid, avg(CAST(ups = 0 AS INTEGER)) AS share FROM (SELECT DISTINCT measure FROM o) LEFT JOIN m USING (measure) GROUP BY 1)"
 
 
-def monotone(spark, d, measure):
-    draws = boot.lift_draws(banded(spark, d), "source", "good", "n_chars", [measure], ["band"], DRAWS, SEED, True)
+def monotone(rows, measure):
+    draws = boot.lift_draws(rows, "source", "good", "n_chars", [measure], ["band"], DRAWS, SEED, True)
     return verdict.monotone_share(draws, "iter", "band", "lift").withColumn("measure", F.lit(measure))
 
 
 @query(f"WITH {BANDED}, {weights_sql(4, True)}, {draws_sql('band')}, {MONOTONE} SELECT measure, n_valid, round(share, 6) AS share, coalesce(share >= 0.99, false) AS supported FROM v")
 def boot_joint_lift(spark, d):
     """Whether lifts fall from band to band, on draws that all bands share."""
-    return rounded(reduce(DataFrame.unionByName, [monotone(spark, d, m) for m in MEASURES]), "share")
+    rows = cut(banded(spark, d))
+    return rounded(reduce(DataFrame.unionByName, [monotone(rows, m) for m in MEASURES]), "share")
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT *, doc_id % 3 AS part FROM scored), long AS (SELECT part || ':' || m AS feature, CASE m WHEN 'n_chars' THEN n_chars WHEN 'n_words' THEN n_words ELSE n_stops END AS score, good FROM t, (VALUES ('n_chars'), ('n_words'), ('n_stops')) v(m)), {AUC}, a AS (SELECT split_part(feature, ':', 1) AS part, split_part(feature, ':', 2) AS m, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1, 2)
@@ -194,11 +196,11 @@ def entropy_sweep(spark, d):
 @query()
 def q5_entropy_sweep(spark, d):
     """The five best variants and a named one, tested within bands of size by 5000 draws of the anchors; a variant clears with three bands of four."""
-    o = rank.rank_quartile_of_all(observations(spark, d).persist(), "loc", "path", "anchor").persist()
-    ranked = sweep(o).persist()  # 36 rows
+    o = cut(rank.rank_quartile_of_all(cut(observations(spark, d)), "loc", "path", "anchor"))
+    ranked = cut(sweep(o))  # 36 rows
     best = [r["variant"] for r in ranked.where("place <= 5").orderBy("place").collect()]
     names = list(dict.fromkeys([*best, "weighted_none_90"]))
-    t = lifts(o, ["band"], cluster="anchor", measures=names, base="loc")
+    t = cut(lifts(o, ["band"], cluster="anchor", measures=names, base="loc"))
     head = verdict.band_headline(t.withColumn("yes", F.col("verdict") == "SUPPORTED"), ["measure"], "yes")
     return t.join(head, "measure").join(ranked.select(F.col("variant").alias("measure"), "place"), "measure").withColumn("conclusion", F.when(F.col("clears"), "SUPPORTED").otherwise("NOT SUPPORTED"))
 
@@ -214,7 +216,7 @@ def q6_centrality_bands(spark, d):
     """Two schemes of four bands, each measure in each band: sample AUC, lift, its bound at the level of the whole family, verdict, and whether a measure clears three bands of a scheme."""
     ranked = banded(spark, d)
     fixed = scored(spark, d).withColumn("band", (rank.absolute_band(F.col("n_chars"), EDGES) + 4).cast("int"))
-    t = lifts(ranked.unionByName(fixed), ["band"]).withColumn("scheme", F.when(F.col("band") < 4, "rank").otherwise("absolute")).withColumn("band", (F.col("band") % 4).cast("int"))
+    t = lifts(cut(ranked.unionByName(fixed)), ["band"]).withColumn("scheme", F.when(F.col("band") < 4, "rank").otherwise("absolute")).withColumn("band", (F.col("band") % 4).cast("int"))
     head = verdict.band_headline(t.withColumn("yes", F.col("verdict") == "SUPPORTED"), ["scheme", "measure"], "yes").select("scheme", "measure", "clears")
     return t.join(head, ["scheme", "measure"])
 
@@ -228,7 +230,7 @@ def q6_centrality_bands(spark, d):
     UNION ALL SELECT 'direction', measure, CAST(count(*) FILTER (auc > 0.5) AS DOUBLE), CASE WHEN count(*) FILTER (auc > 0.5) = count(*) THEN 'SUPPORTED' ELSE 'NOT SUPPORTED' END FROM r GROUP BY 1, 2""")
 def q7_label_evaluation(spark, d):
     """Bands: a measure beats size in three bands of four.  Monotone: its lifts fall from band to band in 99 % of joint draws.  Direction: its AUC is above a half in each band."""
-    rows = banded(spark, d).persist()
+    rows = cut(banded(spark, d))
     t = lifts(rows, ["band"], joint=True)
     yes = lambda c: F.when(c, "SUPPORTED").otherwise("NOT SUPPORTED").alias("verdict")
     n = F.col("n_supported")
