@@ -7,8 +7,8 @@ A text without words has the fingerprint of all ones, which is like itself and u
 
 ``similar_classes`` joins bands of the signatures in Spark: documents that share a band's value are candidates, and the
 Jaccard similarity of their shingle sets decides.  Equal sets are one member under their smallest id.  Each member is
-verified against the smallest id of its band; what a band still holds in more than one class meets in blocks of bounded
-size.  16 bands of 4 components find a pair of similarity 0.75 with probability 0.998 and a class through any of its links.
+verified against the smallest id of its band; what a band still holds in more than one class is divided by pivots and
+compared in blocks as regions of the Jaccard join are (``jaccard_join.deeper``).  16 bands of 4 components find a pair of similarity 0.75 with probability 0.998 and a class through any of its links.
 ``similar_pairs`` gives the verified pairs themselves.
 
 Null texts count as empty; rows that repeat a doc_id each get a result, and share its class; rows without an id have no
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, extended
-from .jaccard_join import BROADCAST_ROUTES, LINK, _compared, _mixed, _verified
+from .components import components
+from .jaccard_join import BROADCAST_ROUTES, LINK, _verified, deeper
 from .shared import buffers, shared_dir, small_batches, stored, texts
 from .words import groups, shingles
 
@@ -102,9 +102,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = stored(members.join(low, "region").select("region", "a", "b"), "members")
     first = _verified(known, members.where("a <> b").select("a", "b").distinct(), parts, 5)
     label = components(first.where(LINK).select("a", "b")).select(F.col("node").alias("a"), "component").checkpoint()
-    rest = _mixed(members.select("region", "a"), label)
-    if not rest.isEmpty():
-        label = extended(label, _compared(known, rest, parts, 5))
+    label = deeper(known, members.select("region", "a"), label)
     near = copies.join(label.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("component", "b").alias("class_id"))
     return near.unionByName(label.withColumnRenamed("component", "class_id")).groupBy(F.col("a").alias(id_col)).agg(F.min("class_id").alias("class_id"))
 

@@ -285,6 +285,25 @@ def _compared(docs: DataFrame, members: DataFrame, parts: int, k: int) -> DataFr
     return stored(sent.mapInArrow(run, "a long, b long"), "compared")
 
 
+def deeper(known: DataFrame, members: DataFrame, label: DataFrame, k: int = 5, levels: int = LEVELS, pivots: int = PIVOTS, divide: int = DIVIDE) -> DataFrame:
+    """label (a, component) with all links among members (region, a) of one region: large regions are divided by pivots, level by level, what is left is compared in blocks."""
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = _merged(_mixed(members, label))
+    whole = members.limit(0)
+    for level in range(levels):
+        members = _mixed(members, label)
+        if members.isEmpty():
+            break
+        whole = whole.unionByName(members.where(F.col("size") <= divide).select("region", "a"))
+        members = members.where(F.col("size") > divide)
+        if members.isEmpty():
+            break
+        found, members, kept = _divide(known, members, level, pivots, parts, k)
+        label, whole = extended(label, found), whole.unionByName(kept)
+    rest = _mixed(members.select("region", "a").unionByName(whole), label)
+    return label if rest.isEmpty() else extended(label, _compared(known, rest, parts, k))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, small: int = SMALL, levels: int = LEVELS, pivots: int = PIVOTS, divide: int = DIVIDE, limit: int = LIMIT) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -306,21 +325,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     other = met.where("kind = 1").select("a", "b").distinct().join(same, "a", "left_anti").join(same.withColumnRenamed("a", "b"), "b", "left_anti").join(label, "a", "left").withColumnRenamed("component", "_ca")
     other = other.join(label.select(F.col("a").alias("b"), F.col("component").alias("_cb")), "b", "left").where("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
     label = extended(label, _verified(known, other, parts, k).where(LINK))
-    members = _merged(_mixed(met.where("kind = 2").select("region", "a").distinct().join(same, "a", "left_anti"), label))
-    whole = members.limit(0)
-    for level in range(levels):
-        members = _mixed(members, label)
-        if members.isEmpty():
-            break
-        whole = whole.unionByName(members.where(F.col("size") <= divide).select("region", "a"))
-        members = members.where(F.col("size") > divide)
-        if members.isEmpty():
-            break
-        found, members, kept = _divide(known, members, level, pivots, parts, k)
-        label, whole = extended(label, found), whole.unionByName(kept)
-    rest = _mixed(members.select("region", "a").unionByName(whole), label)
-    if not rest.isEmpty():
-        label = extended(label, _compared(known, rest, parts, k))
+    members = met.where("kind = 2").select("region", "a").distinct().join(same, "a", "left_anti")
+    label = deeper(known, members, label, k, levels, pivots, divide)
     out = sizes.join(label.withColumnRenamed("a", "node"), sizes["id"] == F.col("node"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
