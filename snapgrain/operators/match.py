@@ -107,3 +107,9 @@ def greedy_controls(commits: DataFrame, key: list[str], order: list[str], event:
 
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def dwell(first: DataFrame, second: DataFrame, ident: list[str], at: str, place: str) -> DataFrame:
+    """(ident, gap): time from the first event of an ident to its second; of several on a side the one that stands last in the list counts."""
+    last = lambda df, name: df.groupBy(*ident).agg(F.max_by(at, place).alias(name))
+    return last(first, "_a").join(last(second, "_b"), ident).select(*ident, (F.col("_b") - F.col("_a")).alias("gap"))

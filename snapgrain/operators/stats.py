@@ -87,3 +87,13 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     s = c.groupBy("class").agg(F.sum("actual").alias("actual"), F.sum("guessed").alias("guessed"), F.sum("hit").alias("hit"))
     p, r = F.coalesce(F.try_divide("hit", "guessed"), F.lit(0.0)), F.coalesce(F.try_divide("hit", "actual"), F.lit(0.0))
     return s.select("class", "actual", "guessed", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def index_split(df: DataFrame, order: str) -> DataFrame:
+    """df with part: derivation strictly before the value at place n // 2 of the sorted values, holdout from it on."""
+    h = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("_c"))
+    whole = F.sum("_c").over(Window.partitionBy())
+    upto = F.sum("_c").over(Window.orderBy(order))
+    cut = h.select(order, upto.alias("_to"), whole.alias("_n")).where(F.col("_to") >= F.floor(F.col("_n") / 2) + 1).agg(F.min(order).alias("_cut"), F.lit(1).alias("_one"))  # a row a distinct value
+    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one")
+    return d.withColumn("part", F.when(F.col(order) < F.col("_cut"), "derivation").otherwise("holdout")).drop("_one", "_cut")

@@ -32,3 +32,17 @@ def bonferroni(cells: DataFrame, positives: str, alpha: float = 0.05, least: int
     """(n_powered, level): alpha over the number of cells with enough positives, which is fixed before resampling."""
     n = F.count_if(F.col(positives) >= least)
     return cells.agg(n.alias("n_powered"), F.when(n > 0, alpha / n).otherwise(alpha).alias("level"))
+
+
+def frozen(df: DataFrame, by: list[str], value, still) -> DataFrame:
+    """by, n, worst (the largest absolute value, 0 without any) and frozen: whether what must not move is 0 throughout.  Columns."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.abs(value)), F.lit(0)).alias("worst"), (F.coalesce(F.max(F.abs(still)), F.lit(0)) == 0).alias("frozen"))
+
+
+def counted_sample(df: DataFrame, by: list[str], hit: str, ident: str, k: int) -> DataFrame:
+    """by, n (rows with a hit) and sample: the k smallest distinct idents of them, joined by commas."""
+    n = df.groupBy(*by).agg(F.count_if(hit).alias("n"))
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy(ident))
+    some = df.where(hit).select(*by, ident).distinct().withColumn("_rn", rn).where(F.col("_rn") <= k)
+    joined = some.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", ident))), lambda x: x[ident].cast("string")), ",").alias("sample"))
+    return n.join(joined, by, "left").withColumn("sample", F.coalesce("sample", F.lit("")))

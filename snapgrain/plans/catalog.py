@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, stats as tails
-from ..operators import boot, delta, entropy, learn, match, panel, rank, stats
+from ..operators import boot, delta, entropy, learn, match, panel, rank, signature, stats
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -236,6 +236,13 @@ def hcm_flavour(spark, d):
     return rounded(entropy.flavour(_touches(spark, d), most=5), "value", digits=4)
 
 
+def trajectories(spark, d):
+    """Panel of suppliers by month, whose runs are long: entity, month number, quantity and lines."""
+    m = F.year("l_shipdate") * 12 + F.month("l_shipdate")
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("path"), m.cast("int").alias("idx")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"), F.count(F.lit(1)).alias("lines"))
+
+
+LONG_RUNS = MONTHS.replace("l_partkey", "l_suppkey") + ", i AS (SELECT *, idx - row_number() OVER (PARTITION BY path ORDER BY idx) AS island FROM months), runs AS (SELECT *, min(idx) OVER (PARTITION BY path, island) AS run_start, max(idx) OVER (PARTITION BY path, island) AS run_end FROM i)"
 RUNS = MONTHS + ", i AS (SELECT *, idx - row_number() OVER (PARTITION BY path ORDER BY idx) AS island FROM months), runs AS (SELECT *, min(idx) OVER (PARTITION BY path, island) AS run_start, max(idx) OVER (PARTITION BY path, island) AS run_end FROM i)"
 
 
@@ -244,25 +251,25 @@ def islands(spark, d):
     return panel.with_runs(months(spark, d), ["path"], "idx").groupBy("path", "run_start", "run_end").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {RUNS}, l AS (SELECT *, qty - lag(qty) OVER (PARTITION BY path, run_start ORDER BY idx) AS dq FROM runs),
-    w AS (SELECT path, idx, run_start, regr_slope(qty, idx) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS slope, sum(CASE WHEN dq <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n_moves FROM l)
-    SELECT path, idx, round(slope, 4) AS slope, CAST(n_moves AS BIGINT) AS n_moves FROM w WHERE idx - run_start >= 3""")
+@query(f"""WITH {LONG_RUNS}, l AS (SELECT *, qty - lag(qty) OVER (PARTITION BY path, run_start ORDER BY idx) AS dq FROM runs),
+    w AS (SELECT path, idx, run_start, regr_slope(qty, idx) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS slope, sum(CASE WHEN dq <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS n_moves, stddev_pop(dq) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS sd_moves FROM l)
+    SELECT path, idx, round(slope, 4) AS slope, CAST(n_moves AS BIGINT) AS n_moves, round(sd_moves, 4) AS sd_moves FROM w WHERE idx - run_start >= 7""")
 def lookback_slope(spark, d):
-    r = panel.lookback(panel.with_runs(months(spark, d), ["path"], "idx"), ["path"], "idx", "qty", 4)
-    return rounded(r.select("path", "idx", "slope", F.col("n_moves").cast("long")), "slope", digits=4)
+    r = panel.lookback(panel.with_runs(trajectories(spark, d), ["path"], "idx"), ["path"], "idx", "qty", 8)
+    return rounded(r.select("path", "idx", "slope", F.col("n_moves").cast("long"), "sd_moves"), "slope", "sd_moves", digits=4)
 
 
-@query(f"""WITH {RUNS}, l AS (SELECT *, coalesce(greatest(qty - lag(qty) OVER w, 0), 0) AS a, coalesce(greatest(lines - lag(lines) OVER w, 0), 0) AS b FROM runs WINDOW w AS (PARTITION BY path, run_start ORDER BY idx)),
+@query(f"""WITH {LONG_RUNS}, l AS (SELECT *, coalesce(greatest(qty - lag(qty) OVER w, 0), 0) AS a, coalesce(greatest(lines - lag(lines) OVER w, 0), 0) AS b FROM runs WINDOW w AS (PARTITION BY path, run_start ORDER BY idx)),
     g AS (SELECT path, idx, run_start, sum(a) OVER w AS ga, sum(b) OVER w AS gb FROM l WINDOW w AS (PARTITION BY path, run_start ORDER BY idx ROWS UNBOUNDED PRECEDING)), r AS (SELECT *, ga / greatest(gb, 1) AS ratio FROM g)
-    SELECT path, idx, round(ratio, 6) AS ratio, round(ratio - lag(ratio, 2) OVER (PARTITION BY path, run_start ORDER BY idx), 6) AS drift FROM r""")
+    SELECT path, idx, round(ratio, 6) AS ratio, round(ratio - lag(ratio, 8) OVER (PARTITION BY path, run_start ORDER BY idx), 6) AS drift FROM r""")
 def pairing_ratio(spark, d):
-    r = panel.growth_ratio(panel.with_runs(months(spark, d), ["path"], "idx"), ["path"], "idx", "qty", "lines", 2)
+    r = panel.growth_ratio(panel.with_runs(trajectories(spark, d), ["path"], "idx"), ["path"], "idx", "qty", "lines", 8)
     return rounded(r.select("path", "idx", "ratio", "drift"), "ratio", "drift")
 
 
-@query(f"WITH {RUNS} SELECT path, idx, CASE WHEN run_end >= idx + 2 THEN lead(qty, 2) OVER (PARTITION BY path, run_start ORDER BY idx) END AS ahead FROM runs")
+@query(f"WITH {LONG_RUNS} SELECT path, idx, CASE WHEN run_end >= idx + 8 THEN lead(qty, 8) OVER (PARTITION BY path, run_start ORDER BY idx) END AS ahead FROM runs")
 def value_ahead(spark, d):
-    return panel.value_ahead(panel.with_runs(months(spark, d), ["path"], "idx"), ["path"], "idx", "qty", 2).select("path", "idx", "ahead")
+    return panel.value_ahead(panel.with_runs(trajectories(spark, d), ["path"], "idx"), ["path"], "idx", "qty", 8).select("path", "idx", "ahead")
 
 
 @query(f"WITH e AS (SELECT *, sec // 3600 AS h FROM ({ERRORS})) SELECT event_id, user_id, lead(h) OVER (PARTITION BY user_id ORDER BY h, event_id) - h AS gap, count(*) OVER (PARTITION BY user_id ORDER BY h RANGE BETWEEN 1 FOLLOWING AND 12 FOLLOWING) > 0 AS again FROM e")
@@ -316,11 +323,12 @@ def prefix_join(spark, d):
     return match.prefix_join(a, b, "h", "g").select("h", "o_orderkey")
 
 
-@query("""WITH f AS (SELECT user_id, min(epoch(ts)) FILTER (event_type = 'signup') AS a, max(epoch(ts)) FILTER (event_type = 'purchase') AS b FROM events GROUP BY 1) SELECT user_id, round((b - a) / 86400, 4) AS days FROM f WHERE a IS NOT NULL AND b IS NOT NULL""")
+@query("""WITH a AS (SELECT user_id, arg_max(epoch(ts), event_id) AS t FROM events WHERE event_type = 'signup' GROUP BY 1), b AS (SELECT user_id, arg_max(epoch(ts), event_id) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT user_id, round((b.t - a.t) / 86400, 4) AS days FROM a JOIN b USING (user_id)""")
 def dwell(spark, d):
     e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    f = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "signup", F.col("at"))).alias("a"), F.max(F.when(F.col("event_type") == "purchase", F.col("at"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return f.select("user_id", F.round((F.col("b") - F.col("a")) / 86400, 4).alias("days"))
+    g = match.dwell(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), ["user_id"], "at", "event_id")
+    return g.select("user_id", F.round(F.col("gap") / 86400, 4).alias("days"))
 
 
 @query(f"""WITH {SCORED}, w AS (SELECT i AS iter, c, (hash_c * (i + 3) + i * 17) % 3 AS w FROM (SELECT DISTINCT source AS c, CAST(substr(source, 4) AS BIGINT) AS hash_c FROM scored), range(50) t(i)),
@@ -351,11 +359,8 @@ def signature_rates(spark, d):
 @query("""WITH a AS (SELECT p_brand, p_type, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT l_returnflag, count(*) / sum(count(*)) OVER () AS base FROM a GROUP BY 1),
     g AS (SELECT p_brand, l_returnflag, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY p_brand) AS share FROM a GROUP BY 1, 2) SELECT p_brand, l_returnflag, n, round(share / base, 6) AS lift FROM g JOIN b USING (l_returnflag) WHERE share >= 0.25""")
 def co_added(spark, d):
-    a = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n")
-    base = a.groupBy("l_returnflag").agg(n.alias("b")).crossJoin(a.agg(n.alias("all"))).select("l_returnflag", (F.col("b") / F.col("all")).alias("base"))
-    g = a.withColumn("share", F.col("n") / n.over(Window.partitionBy("p_brand"))).where("share >= 0.25")
-    return g.join(base, "l_returnflag").select("p_brand", "l_returnflag", "n", F.round(F.col("share") / F.col("base"), 6).alias("lift"))
+    a = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(signature.composition(a, "p_brand", "l_returnflag", 0.25).drop("share"), "lift")
 
 
 @query("""WITH x AS (SELECT CASE WHEN l_quantity > 45 THEN 'hit' ELSE 'miss' END AS t, CASE WHEN l_extendedprice > 60000 THEN 'hit' ELSE 'miss' END AS g FROM lineitem), k AS (SELECT DISTINCT t AS class FROM x UNION SELECT DISTINCT g FROM x),
@@ -402,10 +407,7 @@ def skip_reasons(spark, d):
 @query("WITH s AS (SELECT list_sort(list(o_orderdate))[count(*) // 2 + 1] AS cut FROM orders) SELECT CASE WHEN o_orderdate < cut THEN 'derivation' ELSE 'holdout' END AS part, count(*) AS n FROM orders, s GROUP BY 1")
 def temporal_split(spark, d):
     o = table(spark, d, "orders")
-    n = o.count()
-    days = o.groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("c"))
-    cut = days.withColumn("upto", F.sum("c").over(Window.orderBy("o_orderdate"))).where(F.col("upto") >= n // 2 + 1).agg(F.min("o_orderdate").alias("cut"))
-    return o.crossJoin(F.broadcast(cut)).groupBy(F.when(F.col("o_orderdate") < F.col("cut"), "derivation").otherwise("holdout").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.index_split(o, "o_orderdate").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {SCORED}, long AS (SELECT f || ':' || k AS feature, CASE f WHEN 'n_chars' THEN n_chars WHEN 'n_words' THEN n_words ELSE n_stops END AS score, CASE k WHEN 'quality' THEN good ELSE toxic = 0 END AS good FROM scored, (VALUES ('n_chars'), ('n_words'), ('n_stops')) a(f), (VALUES ('quality'), ('clean')) b(k)), {AUC}

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import boot, entropy, rank, signature, snapshot, stats, verdict
-from .catalog import AUC, SCORED, _hcm_sql, _touches, query, rounded, scored, table
-from .panel import CHANGE, DELTA, RISKS, SIGNALS, change, deltas, event_stats, panel, parents
+from ..operators import boot, delta, entropy, history, match, rank, signature, snapshot, stats, verdict
+from ..operators import panel as windows
+from .catalog import AUC, LONG_RUNS, MONTHS, RENAMED, SCORED, _hcm_sql, _sides, _touches, months, query, rounded, scored, table, trajectories
+from .panel import CHANGE, DELTA, PANEL, PROCESS, RISKS, SIGNALS, change, deltas, event_stats, panel, parents, touches
 
 DRAWS, SEED, SOURCES = 5000, 2982, 20
 MEASURES = ["n_words", "n_stops"]
@@ -331,3 +332,91 @@ def q14_patch_grammar(spark, d):
     f = f.withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
     said = F.when(F.col("share_loose") > F.col("_b"), "WIDENS").when(F.col("grain") == "event", "REFERENCE").otherwise("COLLAPSES")
     return rounded(f.select("grain", "n", "share_loose", "share_strict", "share_fix_shaped", said.alias("verdict")), "share_loose", "share_strict", "share_fix_shaped")
+
+
+# --- Q4: do process features tell more than size -----------------------------------------------------------------------
+
+FEATURES = ["churn", "ownership", "scatter", "change_entropy"]
+PROCESS_ROWS = PROCESS + """, f0 AS (SELECT anchor, path, churn, ownership, coalesce(scatter, 0) AS scatter, coalesce(change_entropy, 0) AS change_entropy FROM churn JOIN own USING (anchor, path) LEFT JOIN co USING (anchor, path)),
+    lo AS (SELECT make_date(CAST(year(o_orderdate) AS INTEGER), 1, 1) AS anchor, l_partkey AS path, CAST(sum(l_quantity) AS BIGINT) AS loc FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2), nx AS (SELECT DISTINCT make_date(CAST(year(o_orderdate) AS INTEGER) - 1, 1, 1) AS anchor, l_partkey AS path FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45),
+    ob AS (SELECT lo.anchor, lo.path, lo.loc, churn, ownership, scatter, change_entropy, nx.path IS NOT NULL AS good FROM lo LEFT JOIN f0 USING (anchor, path) LEFT JOIN nx USING (anchor, path)), long AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS score, good FROM ob" for f in [*FEATURES, "loc"]) + f"), {AUC}"
+
+
+@query(f"""WITH {PROCESS_ROWS}, a AS (SELECT feature, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY 1)
+    SELECT a.feature, a.n_pos, a.n_neg, round(a.auc, 5) AS auc, round(a.auc - b.auc, 5) AS lift, CASE WHEN a.n_pos < 20 THEN 'UNDERPOWERED' WHEN a.auc > 0.5 AND a.auc > b.auc THEN 'ABOVE SIZE' ELSE 'NOT ABOVE SIZE' END AS verdict FROM a JOIN a b ON b.feature = 'loc' WHERE a.feature <> 'loc'""")
+def q4_process_features(spark, d):
+    """Churn, ownership, scatter and change entropy of a year's files against size, for files with a large line in the year after; only the year itself feeds the features."""
+    t = touches(spark, d)
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    year = F.year("o_orderdate")
+    day = lambda y: F.make_date(y, F.lit(1), F.lit(1)).alias("anchor")
+    size = lines.groupBy(day(year), F.col("l_partkey").alias("path")).agg(F.sum(F.col("l_quantity").cast("long")).alias("loc"))
+    later = lines.where("l_quantity > 45").select(day(year - 1), F.col("l_partkey").alias("path")).distinct().withColumn("good", F.lit(True))
+    rows = history.with_features(size, history.process_features(t), ["anchor", "path"], FEATURES).join(later, ["anchor", "path"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    long = rows.select("good", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("score")) for c in [*FEATURES, "loc"]])))
+    a = stats.auc(long, "score", "good", ["feature"])
+    base = a.where("feature = 'loc'").select(F.col("auc").alias("_b"), F.lit(1).alias("_one"))
+    r = a.where("feature <> 'loc'").withColumn("_one", F.lit(1)).join(F.broadcast(base), "_one")
+    said = F.when(F.col("n_pos") < 20, "UNDERPOWERED").when((F.col("auc") > 0.5) & (F.col("auc") > F.col("_b")), "ABOVE SIZE").otherwise("NOT ABOVE SIZE")
+    return r.select("feature", "n_pos", "n_neg", F.round("auc", 5).alias("auc"), F.round(F.col("auc") - F.col("_b"), 5).alias("lift"), said.alias("verdict"))
+
+
+# --- Q8: what the past of an entity says about the releases ahead ------------------------------------------------------
+
+AHEAD = LONG_RUNS + """, l AS (SELECT *, qty - lag(qty) OVER (PARTITION BY path, run_start ORDER BY idx) AS dq FROM runs), w AS (SELECT path, idx, run_start, regr_slope(qty, idx) OVER v AS slope, stddev_pop(dq) OVER (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS wobble, CAST(qty AS DOUBLE) AS level FROM l WINDOW v AS (PARTITION BY path, run_start ORDER BY idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+    ev AS (SELECT path, idx FROM months WHERE lines >= 14), r AS (SELECT w.*, EXISTS (SELECT 1 FROM ev WHERE ev.path = w.path AND ev.idx > w.idx AND ev.idx <= w.idx + 4) AS good FROM w WHERE idx - run_start >= 7),
+    long AS (SELECT 'slope' AS feature, round(slope, 9) AS score, good FROM r UNION ALL SELECT 'wobble', round(wobble, 9), good FROM r UNION ALL SELECT 'level', level, good FROM r), """ + AUC
+
+
+@query(f"""WITH {AHEAD}, a AS (SELECT feature, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(n) AS BIGINT) AS n_neg, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) END AS auc FROM c GROUP BY 1)
+    SELECT feature, n_pos, n_neg, round(auc, 6) AS auc, CASE WHEN n_pos < 20 THEN 'UNDERPOWERED' WHEN abs(auc - 0.5) >= 0.1 THEN 'TELLS' ELSE 'DOES NOT TELL' END AS verdict FROM a""")
+def q8_trajectories(spark, d):
+    """Slope, wobble and level over eight releases of an unbroken run against whether a large release follows within four."""
+    t = trajectories(spark, d)
+    r = windows.lookback(windows.with_runs(t, ["path"], "idx"), ["path"], "idx", "qty", 8)
+    r = windows.outcome_ahead(r, t.where("lines >= 14").select("path", "idx"), ["path"], "idx", 4)
+    long = r.select("outcome", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.col(c).cast("double"), 9).alias("score")) for n, c in (("slope", "slope"), ("wobble", "sd_moves"), ("level", "qty"))])))
+    a = stats.auc(long, "score", "outcome", ["feature"])
+    said = F.when(F.col("n_pos") < 20, "UNDERPOWERED").when(F.abs(F.col("auc") - 0.5) >= 0.1, "TELLS").otherwise("DOES NOT TELL")
+    return rounded(a.withColumn("verdict", said), "auc")
+
+
+# --- Q10: density against count in pairs of like size ------------------------------------------------------------------
+
+
+@query(f"""WITH {PANEL}, a AS (SELECT sha, path, loc, struct_branch + state_pointers AS cnt, (struct_branch + state_pointers) / loc AS den FROM panel WHERE loc > 0), j AS (SELECT a.sha, a.path, a.cnt, a.den, b.cnt AS ccnt, b.den AS cden, row_number() OVER (PARTITION BY a.sha, a.path ORDER BY abs(b.loc - a.loc), b.loc < a.loc, CASE WHEN b.loc < a.loc THEN -b.path ELSE b.path END) AS rn FROM a JOIN a b ON a.sha = b.sha AND b.loc >= 0.66 * a.loc AND b.loc <= 1.5 * a.loc WHERE a.path % 9 = 0 AND b.path % 9 > 4),
+    w AS (SELECT 'count' AS measure, CASE WHEN cnt > ccnt THEN 1.0 WHEN cnt = ccnt THEN 0.5 ELSE 0.0 END AS win FROM j WHERE rn = 1 UNION ALL SELECT 'density', CASE WHEN den > cden THEN 1.0 WHEN den = cden THEN 0.5 ELSE 0.0 END FROM j WHERE rn = 1)
+    SELECT measure, count(*) AS n, round(avg(win), 6) AS win_rate, CASE WHEN abs(avg(win) - 0.5) >= 0.1 THEN 'SPECIFIC' ELSE 'NOT SPECIFIC' END AS verdict FROM w GROUP BY 1""")
+def q10_density_specificity(spark, d):
+    """Files of one kind against the file of another kind nearest in size in the same snapshot: how often they carry more signals, and more for each line."""
+    a = panel(spark, d).where("loc > 0").select("sha", "path", "loc", snapshot.total(["struct_branch", "state_pointers"]).alias("count")).withColumn("density", F.col("count") / F.col("loc"))
+    m = match.sorted_neighbours(a.where("path % 9 = 0"), a.where("path % 9 > 4"), ["sha"], "loc", "path")
+    own = a.select("sha", F.col("path").alias("case"), "count", "density")
+    other = a.select("sha", F.col("path").alias("match"), F.col("count").alias("c_count"), F.col("density").alias("c_density"))
+    j = m.join(own, ["sha", "case"]).join(other, ["sha", "match"])
+    win = lambda c: F.when(F.col(c) > F.col(f"c_{c}"), 1.0).when(F.col(c) == F.col(f"c_{c}"), 0.5).otherwise(0.0)
+    long = j.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), win(c).alias("win")) for c in ("count", "density")])))
+    g = long.groupBy("measure").agg(F.count(F.lit(1)).alias("n"), F.avg("win").alias("win_rate"))
+    return rounded(g.withColumn("verdict", F.when(F.abs(F.col("win_rate") - 0.5) >= 0.1, "SPECIFIC").otherwise("NOT SPECIFIC")), "win_rate")
+
+
+# --- Q16 and Q18 -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def q16_signal_classes(spark, d):
+    """Kinds of customers from signals of their orders: undated ones left out, still signals dropped, penalty by folds, classes of the later part: precision, recall and F1 of each."""
+    from .catalog import multinomial_signals
+
+    return rounded(stats.confusion(multinomial_signals(spark, d), "truth", "guess"), "precision", "recall", "f1")
+
+
+@query(f"""WITH {MONTHS}, {RENAMED}, k AS (SELECT coalesce(p.event, c.event) AS event, CASE WHEN c.path IS NULL THEN 'only_left' WHEN p.path IS NULL THEN 'only_right' WHEN p.qty IS DISTINCT FROM c.qty OR p.lines IS DISTINCT FROM c.lines THEN 'differs' ELSE 'same' END AS side FROM p FULL OUTER JOIN c ON p.event = c.event AND p.path = c.path)
+    SELECT event, count(*) FILTER (side = 'only_left') AS only_left, count(*) FILTER (side = 'only_right') AS only_right, count(*) FILTER (side = 'differs') AS differs, CASE WHEN count(*) FILTER (side <> 'same') = 0 THEN 'PARITY' ELSE 'NO PARITY' END AS verdict FROM k GROUP BY 1""")
+def q18_parity_check(spark, d):
+    """Each month against the one before: rows on one side only, rows that differ, and whether there is none."""
+    left, right = _sides(months(spark, d))
+    x = delta.parity(left, right, ["event", "path"], ["qty", "lines"])
+    g = x.groupBy("event").agg(*[F.count_if(F.col("side") == s).alias(n) for s, n in (("only_left", "only_left"), ("only_right", "only_right"), ("both", "differs"))])
+    every = right.select("event").distinct().join(g, "event", "left").fillna(0)
+    return every.withColumn("verdict", F.when(F.col("only_left") + F.col("only_right") + F.col("differs") == 0, "PARITY").otherwise("NO PARITY"))

@@ -91,6 +91,39 @@ def median_difference_boot(spark, d):
     return rounded(resample.median_difference(s, w, "source", "n_words", "good"), "diff")
 
 
+@query("""WITH w AS (SELECT i AS iter, p_partkey, (p_partkey * (i + 3) + i * 17) % 3 AS w FROM part, range(50) t(i)), x AS (SELECT iter, p_retailprice - 20 * p_size - 900 AS diff FROM part JOIN w USING (p_partkey), range(2) k(j) WHERE j < w)
+    SELECT iter, round(median(diff), 6) AS median FROM x GROUP BY 1""")
+def paired_median_boot(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", (20 * F.col("p_size") + 900).cast("double").alias("other"))
+    return rounded(resample.paired_median(p, _weights(p.select("p_partkey"), F.col("p_partkey")), "p_partkey", "p_retailprice", "other"), "median")
+
+
+@query("""WITH g AS (SELECT c_mktsegment, avg(c_acctbal) AS m, stddev_pop(c_acctbal) / sqrt(count(*)) AS e FROM customer GROUP BY 1), a AS (SELECT avg(c_acctbal) AS m FROM customer)
+    SELECT c_mktsegment, round(g.m - a.m - 2 * e, 4) AS lo, round(g.m - a.m + 2 * e, 4) AS hi, round(1 / (1 + abs(g.m - a.m) / e), 6) AS p, 1 / (1 + abs(g.m - a.m) / e) >= 0.01 AND g.m - a.m - 2 * e >= -500 AND g.m - a.m + 2 * e <= 500 AS equivalent FROM g, a""")
+def equivalence(spark, d):
+    """Segments whose mean balance is that of all customers within 500, bounds included."""
+    c = table(spark, d, "customer")
+    whole = c.agg(F.avg("c_acctbal").alias("_m")).withColumn("_one", F.lit(1))
+    g = c.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("m"), (F.stddev_pop("c_acctbal") / F.sqrt(F.count(F.lit(1)))).alias("e")).withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
+    gap = F.col("m") - F.col("_m")
+    r = g.select("c_mktsegment", (gap - 2 * F.col("e")).alias("lo"), (gap + 2 * F.col("e")).alias("hi"), (1 / (1 + F.abs(gap) / F.col("e"))).alias("p"))
+    return rounded(rounded(verdict.equivalent(r, "p", "lo", "hi", 500.0), "lo", "hi", digits=4), "p")
+
+
+@query("""SELECT c_nationkey, count(*) AS n, coalesce(max(abs(c_acctbal)) FILTER (c_acctbal < 0), 0) AS worst, coalesce(max(abs(c_custkey - c_custkey)), 0) = 0 AS frozen FROM customer GROUP BY 1""")
+def frozen_columns(spark, d):
+    """Largest negative balance, 0 without one, and that a column that must not move has not."""
+    return verdict.frozen(table(spark, d, "customer"), ["c_nationkey"], F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")), F.col("c_custkey") - F.col("c_custkey"))
+
+
+@query("""WITH s AS (SELECT source, doc_id, regexp_matches(text, '[A-Z0-9]{16,}') AS hit FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM s WHERE hit), n AS (SELECT source, count(*) FILTER (hit) AS n FROM s GROUP BY 1)
+    SELECT source, n, coalesce((SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM r WHERE r.source = n.source AND rn <= 6), '') AS sample FROM n""")
+def credential_counts(spark, d):
+    """Texts with a key-like word by source, and the six smallest ids of them; the sample is the feature."""
+    t = table(spark, d, "documents").withColumn("hit", F.coalesce(F.col("text").rlike("[A-Z0-9]{16,}"), F.lit(False)))
+    return verdict.counted_sample(t, ["source"], "hit", "doc_id", 6)
+
+
 CELLS = "cells AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS lift, count(*) FILTER (c_acctbal > 5000) AS n_pos FROM customer GROUP BY 1, 2)"
 
 
