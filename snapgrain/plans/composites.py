@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats as tails
 from ..functions.lineage import cut
 from ..operators import boot, delta, entropy, history, match, rank, signature, snapshot, stats, verdict
 from ..operators import panel as windows
 from .catalog import AUC, LONG_RUNS, MONTHS, RENAMED, SCORED, _hcm_sql, _sides, _touches, months, query, rounded, scored, table, trajectories
-from .panel import CHANGE, DELTA, PANEL, PROCESS, RISKS, SIGNALS, change, deltas, event_stats, panel, parents, touches
+from .panel import CHANGE, DELTA, PANEL, PROCESS, RISKS, SIGNALS, change, deltas, event_stats, flagged, panel, parents, touches
 
 DRAWS, SEED, SOURCES = 5000, 2982, 20
 MEASURES = ["n_words", "n_stops"]
@@ -420,3 +421,71 @@ def q18_parity_check(spark, d):
     g = x.groupBy("event").agg(*[F.count_if(F.col("side") == s).alias(n) for s, n in (("only_left", "only_left"), ("only_right", "only_right"), ("both", "differs"))])
     every = right.select("event").distinct().join(g, "event", "left").fillna(0)
     return every.withColumn("verdict", F.when(F.col("only_left") + F.col("only_right") + F.col("differs") == 0, "PARITY").otherwise("NO PARITY"))
+
+
+# --- Q11, Q12, Q13 and Q15 ---------------------------------------------------------------------------------------------
+
+FLOORS = (0, 5, 10, 20)
+
+
+@query(f"""WITH {DELTA}, f AS (SELECT floor, sha, sha % 3 = 0 AS fix, sum(struct_branch) > 0 OR sum(state_pointers) > 0 AS loose FROM d, (VALUES (0), (5), (10), (20)) v(floor) WHERE touched AND sha % 3 <> 1 AND abs(loc) >= floor GROUP BY 1, 2),
+    g AS (SELECT floor, count(*) FILTER (fix) AS n_fix, count(*) FILTER (NOT fix) AS n_control, avg(CAST(loose AS INTEGER)) FILTER (fix) AS fixes, avg(CAST(loose AS INTEGER)) FILTER (NOT fix) AS controls FROM f GROUP BY 1)
+    SELECT floor, n_fix, n_control, round(fixes, 6) AS share_fix, round(controls, 6) AS share_control, CASE WHEN least(n_fix, n_control) < 5 THEN 'TOO FEW' WHEN fixes > controls THEN 'HOLDS' ELSE 'DOES NOT HOLD' END AS verdict FROM g""")
+def q11_churn_floors(spark, d):
+    """The loose signature of fixes against controls, counting only files that changed by at least 0, 5, 10 or 20 lines; five events a side at least."""
+    x = deltas(spark, d).where("touched and sha % 3 <> 1").withColumn("floor", F.explode(F.array(*[F.lit(f) for f in FLOORS]))).where(F.abs(F.col("loc")) >= F.col("floor"))
+    e = signature.flags(x.groupBy("floor", "sha").agg(*[F.sum(s).alias(s) for s in SIGNALS]), *[F.col(s) for s in SIGNALS]).withColumn("fix", F.col("sha") % 3 == 0)
+    share = lambda c: F.avg(F.when(c, F.col("loose").cast("double")))
+    g = e.groupBy("floor").agg(F.count_if("fix").alias("n_fix"), F.count_if(~F.col("fix")).alias("n_control"), share(F.col("fix")).alias("share_fix"), share(~F.col("fix")).alias("share_control"))
+    said = F.when(F.least("n_fix", "n_control") < 5, "TOO FEW").when(F.col("share_fix") > F.col("share_control"), "HOLDS").otherwise("DOES NOT HOLD")
+    return rounded(g.withColumn("verdict", said), "share_fix", "share_control")
+
+
+@query()
+def q12_follow_up_events(spark, d):
+    """Reverts and follow-ups against other events: how many are fix-shaped, with the exact lower and upper tails of the two by two table."""
+    f = flagged(spark, d).withColumn("class", F.when(F.col("sha") % 4 == 0, "revert").when(F.col("sha") % 4 == 1, "follow-up").otherwise("other"))
+    n = {r["class"]: (r["yes"], r["no"]) for r in f.groupBy("class").agg(F.count_if("fix_shaped").alias("yes"), F.count_if(~F.col("fix_shaped")).alias("no")).collect()}  # a row a class
+    rows = []
+    for c in ("revert", "follow-up"):
+        (a, b), (x, y) = n.get(c, (0, 0)), n.get("other", (0, 0))
+        low, high = tails.hypergeometric_tails([[a, b], [x, y]])
+        rows.append((c, a, a + b, x, x + y, round(low, 6), round(high, 6), "FEWER" if low < 0.05 else "MORE" if high < 0.05 else "ALIKE"))
+    return spark.createDataFrame(rows, "class string, n_yes long, n long, other_yes long, other_n long, p_lower double, p_upper double, verdict string")
+
+
+POOLS = " UNION ALL ".join(f"SELECT class, '{s}' AS signal, {s} AS v FROM x" for s in SIGNALS)
+
+
+@query(f"""WITH {DELTA}, x AS (SELECT sha, CASE sha % 3 WHEN 0 THEN 'fix' WHEN 1 THEN 'introduced' ELSE 'control' END AS class, {", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in SIGNALS)} FROM d WHERE touched GROUP BY 1, 2), l AS ({POOLS}), g AS (SELECT class, signal, count(*) AS n, avg(v) AS mean, avg(CAST(v > 0 AS INTEGER)) AS rises FROM l GROUP BY 1, 2), b AS (SELECT signal, avg(CAST(v > 0 AS INTEGER)) AS base FROM l GROUP BY 1)
+    SELECT class, signal, n, round(mean, 6) AS mean, round(rises, 6) AS rises, round(rises / nullif(base, 0), 6) AS lift FROM g JOIN b USING (signal)""")
+def q13_keyword_pools(spark, d):
+    """For each class of events and each signal: the mean of its sums, how often it rises, and that against all events."""
+    x = deltas(spark, d).where("touched").groupBy("sha").agg(*[F.sum(s).alias(s) for s in SIGNALS]).withColumn("class", classes(F.col("sha")))
+    long = x.unpivot(["class"], SIGNALS, "signal", "v")
+    up = F.avg((F.col("v") > 0).cast("double"))
+    g = long.groupBy("class", "signal").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), up.alias("rises"))
+    base = long.groupBy("signal").agg(up.alias("_b"))
+    return rounded(g.join(F.broadcast(base), "signal").withColumn("lift", F.try_divide("rises", "_b")).drop("_b"), "mean", "rises", "lift")
+
+
+FIRST = CHANGE + """, t AS (SELECT DISTINCT sha, parent, old_path AS path FROM change WHERE status = 'touched'), first AS (SELECT path, min(sha) AS sha FROM t GROUP BY 1), po AS (SELECT p.sha AS snap, p.path, p.loc, coalesce(risk_debt, 0) + coalesce(risk_safety, 0) AS exposure FROM first JOIN t USING (path, sha) JOIN panel p ON p.sha = t.parent AND p.path = t.path),
+    ne AS (SELECT p.sha AS snap, p.path, p.loc, coalesce(risk_debt, 0) + coalesce(risk_safety, 0) AS exposure FROM panel p WHERE p.sha IN (SELECT snap FROM po) AND NOT EXISTS (SELECT 1 FROM first WHERE first.path = p.path)),
+    j AS (SELECT po.snap AS s, po.path AS p, po.exposure AS e, ne.exposure AS c, po.snap <> ne.snap AS far, row_number() OVER (PARTITION BY po.snap, po.path ORDER BY po.snap <> ne.snap, abs(po.snap - ne.snap), abs(ne.loc - po.loc), ne.path * 100000 + ne.snap) AS rn FROM po JOIN ne ON ne.loc >= 0.66 * po.loc AND ne.loc <= 1.5 * po.loc)"""
+
+
+@query(f"""WITH {FIRST} SELECT count(*) AS n, count(*) FILTER (NOT far) AS same_snapshot, round(median(e), 6) AS median_first, round(median(c), 6) AS median_control, round(avg(CASE WHEN e > c THEN 1.0 WHEN e = c THEN 0.5 ELSE 0.0 END), 6) AS win_rate, CASE WHEN abs(avg(CASE WHEN e > c THEN 1.0 WHEN e = c THEN 0.5 ELSE 0.0 END) - 0.5) <= 0.1 THEN 'EQUIVALENT' ELSE 'DIFFERENT' END AS verdict FROM j WHERE rn = 1""")
+def q15_first_event_profile(spark, d):
+    """Files just before their first event against files that never have one, of like size in the same snapshot, else in the nearest: is exposure the same within a tenth."""
+    p, up = panel(spark, d), parents(spark, d)
+    t = change(p, up).where("status = 'touched'").select("sha", "parent", F.col("old_path").alias("path")).distinct()
+    first = rank.first_per(t, ["path"], ["sha"])
+    own = p.select(F.col("sha").alias("parent"), "path", "loc", snapshot.total(RISKS).alias("exposure"))
+    stamp = lambda df: df.withColumn("id", F.col("path") * 100000 + F.col("parent")).withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("parent")))
+    cases = stamp(own.join(first.select("parent", "path"), ["parent", "path"], "left_semi"))
+    pool = stamp(own.join(first.select("path"), "path", "left_anti").join(F.broadcast(cases.select("parent").distinct()), "parent", "left_semi"))
+    m = match.date_nearest(cases, pool, "parent", "day", "loc", "id")
+    j = m.join(cases.select(F.col("id").alias("case"), F.col("exposure").alias("e")), "case").join(pool.select(F.col("id").alias("match"), F.col("exposure").alias("c")), "match")
+    win = F.avg(F.when(F.col("e") > F.col("c"), 1.0).when(F.col("e") == F.col("c"), 0.5).otherwise(0.0)).alias("win_rate")
+    g = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == 0).alias("same_snapshot"), F.median("e").alias("median_first"), F.median("c").alias("median_control"), win)
+    return rounded(g.withColumn("verdict", F.when(F.abs(F.col("win_rate") - 0.5) <= 0.1, "EQUIVALENT").otherwise("DIFFERENT")), "median_first", "median_control", "win_rate")
