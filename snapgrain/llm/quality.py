@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A document's score z is a sum of three terms: hashed words by one weight vector, divided by the root of their number; a few
-text measures; and, for each distinct word, a sparse weight of its presence, which long texts do not dilute.  Ordered
+text measures; and, for each distinct word and each opening of a word, a sparse weight of its presence, which long texts do
+not dilute; an opening stands for words of its kind that the sample does not hold.  Ordered
 thresholds t_1 < t_2 turn z into P(grade >= j) = sigmoid(z - t_j).  From these come the expected grade and the tail probability for selection.
 
 Grades from labels (quality, toxic): 0 of low quality, 1 of good quality but toxic, 2 clean.  The model is fitted on the
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import buffers, small_batches, unused
-from .words import LOWER, groups, hashes, spans
+from .words import LOWER, groups, hashes, mix, spans
 
 BITS, SAMPLE, DENSE, GRADES = 18, 4000, 12, 3
+#: Bytes of the openings of longer words that count as present, beside the words.
+OPENINGS = (3, 4)
+#: Rows of the sample that a word or opening is in at least to get a presence weight; in fewer, its pull cannot pass SPARSE.
+HOLDERS = 3
 #: A document stays if P(grade >= 2) is at least this.
 KEEP = 0.5
 #: Words whose pull on the likelihood stays below this have no presence weight.
@@ -38,8 +43,17 @@ SPARSE = 0.002
 Features = tuple[np.ndarray, ...]
 
 
+def distinct_of(word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (word, owner) pairs, in order of owner."""
+    order = np.lexsort((word, owner))
+    w, o = word[order], owner[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+    return w[new], o[new]
+
+
 def features(flat: np.ndarray, offsets: np.ndarray) -> Features:
-    """(hashed word numbers, words per text, measures per text, hashes of distinct words, their number per text) of many texts."""
+    """(hashed word numbers, words per text, measures per text, hashes of distinct words and openings, their number per text) of many texts."""
     n = len(offsets) - 1
     start, end, counts = spans(flat, offsets)
     # one closing punctuation mark does not make another word
@@ -48,7 +62,7 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> Features:
     word = hashes(flat, start, end - marked, True)
     owner = np.repeat(np.arange(n), counts)
     dense = np.zeros((n, DENSE))
-    seen, distinct = np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    seen, distinct, present = np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(start):
         mean = lambda x: np.bincount(owner, x, n) / np.maximum(counts, 1)
         last, before = flat[end - 1], flat[np.maximum(end - 2, start)]
@@ -65,18 +79,20 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> Features:
         dense[:, 3] = mean(again)
         dense[:, 4] = mean((odd & (last != 44) & (last != 46)).astype(float))
         dense[:, 5] = mean((end - start) / 10.0)
-        order = np.lexsort((word, owner))
-        w, o = word[order], owner[order]
-        new = np.ones(len(w))
-        new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
-        seen, distinct = w[new > 0], np.bincount(o, new, n).astype(np.int64)
+        w, o = distinct_of(word, owner)
+        distinct = np.bincount(o, minlength=n)
         dense[:, 6] = distinct / np.maximum(counts, 1) * (counts >= 20)
         dense[:, 7] = (distinct < 0.3 * counts) * (counts >= 20)
+        for size in OPENINGS:
+            long = end - marked - start > size
+            x, y = distinct_of(mix(hashes(flat, start[long], start[long] + size, True) + np.uint64(size)), owner[long])
+            w, o = np.concatenate([w, x]), np.concatenate([o, y])
+        seen, present = w[np.argsort(o, kind="stable")], np.bincount(o, minlength=n)
     dense[:, 8] = np.log1p(counts) / 10
     dense[:, 9] = counts == 0
     dense[:, 10] = counts < 20
     dense[:, 11] = 1 / (1 + counts)
-    return (word & np.uint64((1 << BITS) - 1)).astype(np.int64) if len(start) else np.zeros(0, np.int64), counts, dense, seen, distinct
+    return (word & np.uint64((1 << BITS) - 1)).astype(np.int64) if len(start) else np.zeros(0, np.int64), counts, dense, seen, present
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -109,6 +125,10 @@ def fit(index: np.ndarray, counts: np.ndarray, dense: np.ndarray, seen: np.ndarr
     used, index = np.unique(index, return_inverse=True)
     keys, place = np.unique(seen, return_inverse=True)
     holder = np.repeat(np.arange(n), distinct)
+    often = np.bincount(place, minlength=len(keys)) >= HOLDERS if len(keys) else np.zeros(0, bool)
+    held = often[place]
+    keys, place, holder = keys[often], (np.cumsum(often) - 1)[place[held]], holder[held]
+    distinct = np.bincount(holder, minlength=n)
     params = [np.zeros(len(used)), np.zeros(DENSE), np.array([-1.0, 0.0])]
     u = np.zeros(len(keys))
     share = np.bincount(grade, minlength=GRADES) / n
