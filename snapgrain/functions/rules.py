@@ -12,7 +12,8 @@ KEYWORDS = {
     "license": r"(?i)\blicensed?\b",
     "markup": r"[*#$%&|]{2,}|!!",
 }
-DOC_PREFIXES = ("docs/", "doc/", "tests/", "test/", "examples/", "man/")
+# Folders whose files do not count as code.
+DOC_PREFIXES = ("docs/", "tests/", ".github/", "scripts/", "packages/", "plan/")
 
 
 def keyword_counts(df: DataFrame, text: str, rules: dict[str, str] = KEYWORDS) -> DataFrame:

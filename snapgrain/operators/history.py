@@ -68,18 +68,19 @@ def chronological(events: DataFrame, order: list[str], usable: Column) -> DataFr
     return d.withColumn("order_idx", F.col("_base") + place - 1).where(usable).drop("_day", "_base")
 
 
-def area(path: Column, parts: int = 2) -> Column:
-    """The first folders of a path, the file itself left out; a file at the top is in the area "."."""
-    folders = F.slice(F.split(path, "/"), F.lit(1), F.least(F.size(F.split(path, "/")) - 1, F.lit(parts)))
-    return F.when(F.size(folders) > 0, F.array_join(folders, "/")).otherwise(".")
+def area(path: Column) -> Column:
+    """The first two parts of a path, with a slash behind a folder (a part without a dot); a file at the top is its own area."""
+    parts = F.split(path, "/")
+    second = F.get(parts, F.lit(1))
+    return F.when(F.size(parts) >= 2, F.concat(F.get(parts, F.lit(0)), F.lit("/"), second, F.when(second.contains("."), "").otherwise("/"))).otherwise(path)
 
 
 def is_test(path: Column) -> Column:
-    """Whether a folder or the file's name says test."""
-    return path.rlike(r"(^|/)(tests?|unittests?)(/|$)|(^|/)test_[^/]*$|_test\.[a-z]+$")
+    return path.startswith("tests/")
 
 
 def message_area(subject: Column) -> Column:
-    """What stands before the first colon of a subject, in lower case; null without one or with white space in it."""
-    head = F.substring_index(subject, ":", 1)
-    return F.when(subject.contains(":") & ~head.rlike(r"\s") & (F.length(head) > 0), F.lower(head))
+    """What stands before the first colon of a subject, in lower case: a colon among the first 24 characters, 2 to 16 characters without a space before it; else null."""
+    text = F.trim(subject)
+    head = F.lower(F.trim(F.substring_index(text, ":", 1)))
+    return F.when(F.substring(text, 1, 24).contains(":") & ~head.contains(" ") & F.length(head).between(2, 16), head)

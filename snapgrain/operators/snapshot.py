@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Prefixes of signal columns, and formatting signals that are left out.
-SIGNAL_PREFIXES = ("struct_", "def_", "state_", "arch_", "llm_", "ml_", "dl_")
-FORMATTING = ("struct_indent", "struct_spaces", "struct_tabs")
+SIGNAL_PREFIXES = ("struct_", "def_", "state_", "arch_", "bitwise_ops", "llm_", "ml_", "dl_")
+FORMATTING = ("struct_tabs", "struct_spaces", "struct_linear")
 
 
 def signal_columns(df: DataFrame, prefixes=SIGNAL_PREFIXES, leave=FORMATTING) -> list[str]:
     """The signals that a panel has, found by the prefix of their name, in column order."""
-    return [c for c in df.columns if (c.startswith(tuple(prefixes)) or c == "bitwise_ops") and c not in leave]
+    return [c for c in df.columns if c.startswith(tuple(prefixes)) and c not in leave]
 
 
 def total(columns: list[str]) -> Column:

@@ -193,16 +193,16 @@ def redundancy_check(spark, d):
     return signature.redundancy(p, "p_retailprice", "tenth", 1000.0, 250.0)
 
 
-PATHS = """p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'docs/' WHEN 1 THEN 'lib/' WHEN 2 THEN 'lib/vtls/' WHEN 3 THEN 'tests/unit/' ELSE '' END || lower(replace(p_brand, '#', '_')) || CASE p_size % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.h' ELSE '.txt' END AS path FROM part)"""
+PATHS = """p AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'docs/' WHEN 1 THEN 'lib/' WHEN 2 THEN 'lib/net/' WHEN 3 THEN 'tests/unit/' ELSE '' END || lower(replace(p_brand, '#', '_')) || CASE p_size % 3 WHEN 0 THEN '.c' WHEN 1 THEN '.h' ELSE '.txt' END AS path FROM part)"""
 
 
 def paths(spark, d):
     size = F.col("p_size")
-    folder = F.when(size % 5 == 0, "docs/").when(size % 5 == 1, "lib/").when(size % 5 == 2, "lib/vtls/").when(size % 5 == 3, "tests/unit/").otherwise("")
+    folder = F.when(size % 5 == 0, "docs/").when(size % 5 == 1, "lib/").when(size % 5 == 2, "lib/net/").when(size % 5 == 3, "tests/unit/").otherwise("")
     return table(spark, d, "part").select("p_partkey", F.concat(folder, F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.when(size % 3 == 0, ".c").when(size % 3 == 1, ".h").otherwise(".txt")).alias("path"))
 
 
-@query(f"""WITH {PATHS}, c AS (SELECT CASE WHEN path SIMILAR TO '(docs|doc|tests|test|examples|man)/.*' THEN 'excluded_prefix' WHEN NOT path SIMILAR TO '.*\\.(c|h|py|rs|go|java|js)' THEN 'excluded_extension' ELSE 'kept' END AS class, CASE WHEN path LIKE 'docs/%' THEN 'docs' WHEN path LIKE 'lib/vtls/%' THEN 'lib/vtls' WHEN path LIKE 'lib/%' THEN 'lib' WHEN path LIKE 'tests/unit/%' THEN 'tests/unit' ELSE '.' END AS area, path LIKE 'tests/%' AS test FROM p)
+@query(f"""WITH {PATHS}, c AS (SELECT CASE WHEN path SIMILAR TO '(docs|tests|\\.github|scripts|packages|plan)/.*' THEN 'excluded_prefix' WHEN NOT path SIMILAR TO '.*\\.(c|h|py|rs|go|java|js)' THEN 'excluded_extension' ELSE 'kept' END AS class, CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || CASE WHEN contains(split_part(path, '/', 2), '.') THEN '' ELSE '/' END ELSE path END AS area, path LIKE 'tests/%' AS test FROM p)
     SELECT class, area, test, count(*) AS n FROM c GROUP BY ALL""")
 def path_classes(spark, d):
     p, path = paths(spark, d), F.col("path")
@@ -210,7 +210,7 @@ def path_classes(spark, d):
 
 
 @query(f"""WITH {PATHS}, n AS (SELECT l_orderkey AS sha, path, l_linenumber AS added, CASE WHEN l_quantity < 49 THEN CAST(l_quantity AS BIGINT) END AS removed FROM lineitem JOIN p ON p_partkey = l_partkey)
-    SELECT sha, count(*) AS files, CAST(sum(added + removed) AS BIGINT) AS churn FROM n WHERE removed IS NOT NULL AND (path LIKE '%.c' OR path LIKE '%.h') AND NOT path SIMILAR TO '(docs|doc|tests|test|examples|man)/.*' GROUP BY 1""")
+    SELECT sha, count(*) AS files, CAST(sum(added + removed) AS BIGINT) AS churn FROM n WHERE removed IS NOT NULL AND (path LIKE '%.c' OR path LIKE '%.h') AND NOT path SIMILAR TO '(docs|tests|\\.github|scripts|packages|plan)/.*' GROUP BY 1""")
 def commit_numstat(spark, d):
     """Code files and churn of an order; files without counts are binary."""
     l = table(spark, d, "lineitem").join(paths(spark, d), F.col("l_partkey") == F.col("p_partkey"))

@@ -143,11 +143,11 @@ def test_history(spark):
     assert got == [("2020-03-21", 0), ("2020-03-21", 1), *[("2021-01-01", i) for i in (6, 7, 8, 9)]]  # nothing of the anchor's day or later
     n = spark.createDataFrame([("s", "lib/a.c", 2, 1), ("s", "docs/b.c", 9, 9), ("s", "lib/x.bin", 1, 1), ("s", "lib/b.h", None, None), ("s", "lib/d.h", 0, 4)], "sha string, path string, added long, removed long")
     assert [tuple(r) for r in history.numstat(n).collect()] == [("s", 2, 7)]
-    paths = spark.createDataFrame([("lib/vtls/x/y.c",), ("README",), ("tests/unit1.c",), ("src/test_a.c",), ("contest/a.c",)], "p string")
+    paths = spark.createDataFrame([("lib/net/x/y.c",), ("README",), ("tests/unit1.c",), ("src/test_a.c",), ("contest/a.c",)], "p string")
     got = [tuple(r) for r in paths.select(history.area(F.col("p")), history.is_test(F.col("p"))).collect()]
-    assert got == [("lib/vtls", False), (".", False), ("tests", True), ("src", True), ("contest", False)]
-    s = spark.createDataFrame([("URL: fix",), ("no area",), ("two words: x",), (": x",), (None,)], "s string")
-    assert [r[0] for r in s.select(history.message_area(F.col("s"))).collect()] == ["url", None, None, None, None]
+    assert got == [("lib/net/", False), ("README", False), ("tests/unit1.c", True), ("src/test_a.c", False), ("contest/a.c", False)]
+    s = spark.createDataFrame([(" URL: fix",), ("no area",), ("two words: x",), (": x",), (None,), ("x: y",), ("a-prefix-of-over-16: y",)], "s string")
+    assert [r[0] for r in s.select(history.message_area(F.col("s"))).collect()] == ["url", None, None, None, None, None, None]
     e = spark.createDataFrame([(i, datetime.datetime(2020, 1, 1 + i % 3, i % 5)) for i in range(12)], "i int, at timestamp")
     order = [r["i"] for r in sorted(e.collect(), key=lambda r: (r["at"], r["i"]))]
     assert {r["i"]: r.order_idx for r in history.chronological(e, ["at", "i"], F.col("i") > 3).collect()} == {i: order.index(i) for i in range(4, 12)}
