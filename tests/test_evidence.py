@@ -3,9 +3,12 @@
 import random
 import statistics
 
+import duckdb
 import pytest
 
 from snapgrain.operators import boot, cluster, harvest, resample, verdict
+from snapgrain.plans import evidence  # noqa: F401
+from snapgrain.plans.catalog import ORACLE, QUERIES
 from snapgrain.sources import report
 
 A, B, C = ("a" * 40, "b" * 40, "c" * 40)
@@ -66,6 +69,18 @@ def test_resampling_against_expansion(spark):
     assert [tuple(r) for r in resample.win_rate(pairs, w, "c", "a", "b").collect()] == [(0, 0.5)]
 
 
+def test_pairs_are_drawn_without_a_join(spark, tmp_path):
+    rows = [(1, 950.0, 2), (2, 940.0, 2), (2, 900.0, 2), (4, 1000.0, 1), (7, None, 3), (None, 990.0, 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    files = f"read_parquet('{tmp_path}/part.parquet/*.parquet')"
+    for name in ("matched_pair_boot",):
+        df = QUERIES[name](spark, str(tmp_path))
+        # a join has a side that is as large as the table, which Spark may send through the driver
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r[0], round(r[1], 6)) for r in df.collect())
+        assert got == sorted((i, round(x, 6)) for i, x in duckdb.sql(f"WITH part AS (FROM {files}) SELECT * FROM ({ORACLE[name]})").fetchall())
+
+
 def test_verdicts(spark):
     bands = spark.createDataFrame([("v", 0, True), ("v", 1, True), ("v", 2, True), ("v", 3, None), ("u", 0, True), ("u", 1, True)], "v string, b int, s boolean")
     got = {r.v: tuple(r)[1:] for r in verdict.band_headline(bands, ["v"], "s").collect()}
