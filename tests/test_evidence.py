@@ -73,7 +73,7 @@ def test_pairs_are_drawn_without_a_join(spark, tmp_path):
     rows = [(1, 950.0, 2), (2, 940.0, 2), (2, 900.0, 2), (4, 1000.0, 1), (7, None, 3), (None, 990.0, 1)]
     spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     files = f"read_parquet('{tmp_path}/part.parquet/*.parquet')"
-    for name in ("matched_pair_boot",):
+    for name in ("matched_pair_boot", "paired_median_boot"):
         df = QUERIES[name](spark, str(tmp_path))
         # a join has a side that is as large as the table, which Spark may send through the driver
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
