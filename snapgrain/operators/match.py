@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,24 +52,56 @@ def sorted_neighbours(cases: DataFrame, pool: DataFrame, key: list[str], size: s
     return d.withColumn("_b", best).where("_b is not null").select(*key, F.col("_i").alias("case"), F.col("_b.match").alias("match"), F.col("_b.gap").alias("gap"))
 
 
-def date_nearest(cases: DataFrame, pool: DataFrame, snapshot: str, date: str, size: str, ident: str, low: float = 0.66, high: float = 1.5) -> DataFrame:
-    """(case, match, tier, day_gap, gap): the nearest size within the band in the case's own snapshot (tier 0), else in the snapshot nearest by date (tier 1); unmatched cases are left out.
+def _beside(points: DataFrame, pool: DataFrame, key: list[str]) -> DataFrame:
+    """points (key, _s and more) with the pool's sizes beside their own: _up (_s, _i) at or above it with _lo as _i, _down below it with _hi.  pool: key, _s, _lo, _hi, a row for each size.
+
+    Two running windows, one in order of size and one against it; a frame without an end would be gone through again for each row.
+    """
+    none = F.lit(None)
+    both = points.withColumns({"_side": F.lit(0), "_lo": none.cast(pool.schema["_lo"].dataType), "_hi": none.cast(pool.schema["_hi"].dataType)})
+    both = both.unionByName(pool.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    mine = lambda c: F.last(F.when(F.col("_side") == 1, F.struct("_s", F.col(c).alias("_i"))), True)
+    # a point stands before the pool's row of its size
+    w = lambda *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_down": mine("_hi").over(w(F.asc("_s"), F.asc("_side")))}).withColumns({"_up": mine("_lo").over(w(F.desc("_s"), F.desc("_side")))})
+    return both.where("_side = 0").drop("_side", "_lo", "_hi")
+
+
+def _fits(size, low: float, high: float):
+    return (size >= low * F.col("_s")) & (size <= high * F.col("_s"))
+
+
+def date_nearest(cases: DataFrame, pool: DataFrame, snapshot: str, date: str, size: str, ident: str, low: float = 0.66, high: float = 1.5, carry: list[str] | None = None) -> DataFrame:
+    """(case, match, tier, day_gap, gap, carry): the nearest size within the band in the case's own snapshot (tier 0), else in the snapshot nearest by date (tier 1); unmatched cases are left out.
 
-    Sizes are positive.  The join's key is the logarithm of the size, of which the band spans three steps.
+    Sizes are positive; carry names columns of the pool that come with its rows.  The distinct sizes of a snapshot meet in
+    order of size, never as pairs.  A size without a match there finds its day from the least and largest size of each day
+    in each step of the logarithm, of which the band spans two: a step reaches past one of the band's ends at most, so one
+    of the two fits if any size of it does.  Then the sizes of that day meet as before.
     """
-    step = F.floor(F.ln(F.col(size)) / F.ln(F.lit(high)))
-    a = cases.where(F.col(size) > 0).select(F.col(ident).alias("case"), F.col(snapshot).alias("_snap"), F.col(date).alias("_day"), F.col(size).alias("_s"), F.explode(F.sequence(step - 2, step + 1)).alias("_k"))
-    b = pool.where(F.col(size) > 0).select(F.col(ident).alias("match"), F.col(snapshot).alias("_of"), F.col(date).alias("_at"), F.col(size).alias("_t"), step.alias("_k"))
-    fits = (F.col("_t") >= low * F.col("_s")) & (F.col("_t") <= high * F.col("_s"))
-    gap, days = F.abs(F.col("_t") - F.col("_s")).alias("gap"), F.abs(F.datediff("_day", "_at"))
-
-    def nearest(left, same):
-        j = left.join(b, (left["_k"] == b["_k"]) & (left["_snap"] == b["_of"])) if same else left.join(b, left["_k"] == b["_k"])
-        found = j.where(fits).groupBy("case").agg(F.min(F.struct((F.lit(0) if same else days).alias("day_gap"), gap, F.col("match"), F.col("_of"))).alias("_b"))
-        return found.select("case", F.col("_b.match").alias("match"), F.lit(0 if same else 1).alias("tier"), F.col("_b.day_gap").alias("day_gap"), F.col("_b.gap").alias("gap"))
-
-    first = nearest(a, True)
-    return first.unionByName(nearest(a.join(first.select("case"), "case", "left_anti"), False))
+    if not 0 < low <= 1 <= high or low == high:
+        raise ValueError("the band must hold the size itself")
+    place = lambda c: F.floor(F.ln(c) / (math.log(high / low) / 2))
+    a = cases.where(F.col(size) > 0).select(F.col(ident).alias("case"), F.col(snapshot).alias("_snap"), F.to_date(date).alias("_day"), F.col(size).alias("_s"))
+    b = pool.where(F.col(size) > 0).select(F.struct(F.col(ident).isNull().alias("_none"), F.col(ident).alias("match"), *(carry or [])).alias("_i"), F.col(snapshot).alias("_snap"), F.to_date(date).alias("_at"), F.col(size).alias("_s"))
+    few = lambda k: b.where(F.col(k).isNotNull()).groupBy(k, "_s").agg(F.min("_i").alias("_lo")).withColumn("_hi", F.col("_lo"))
+
+    def near(c):
+        return F.when(_fits(F.col(f"{c}._s"), low, high), F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.col(f"{c}._i").alias("_i")))
+
+    best = F.least(near("_up"), near("_down"))
+    own = _beside(a.select("_snap", "_day", "_s").distinct(), few("_snap"), ["_snap"]).select("_snap", "_day", "_s", best.alias("_b"))
+    left = own.where("_b is null")
+    days = b.where("_at is not null").groupBy("_at", place(F.col("_s")).alias("_k")).agg(F.min("_s").alias("_least"), F.max("_s").alias("_most"))
+    met = left.select("_day", "_s").distinct().withColumn("_k", F.explode(F.sequence(place(low * F.col("_s")), place(high * F.col("_s"))))).join(days, "_k")
+    met = met.where(_fits(F.col("_least"), low, high) | _fits(F.col("_most"), low, high)).groupBy("_day", "_s").agg(F.min(F.abs(F.datediff("_day", "_at"))).alias("day_gap"))
+    met = met.where("day_gap is not null").withColumn("_at", F.explode(F.array_distinct(F.array(F.date_sub("_day", F.col("day_gap")), F.date_add("_day", F.col("day_gap"))))))
+    far = _beside(met, few("_at"), ["_at"]).groupBy("_day", "_s", "day_gap").agg(F.min(best).alias("_b"))
+    found = own.where("_b is not null").select("_snap", "_day", "_s", F.lit(0).alias("tier"), F.lit(0).alias("day_gap"), "_b")
+    found = found.unionByName(left.drop("_b").join(far, ["_day", "_s"]).withColumn("tier", F.lit(1)))
+    j = a.alias("a").join(found.alias("f"), F.col("a._snap").eqNullSafe(F.col("f._snap")) & F.col("a._day").eqNullSafe(F.col("f._day")) & (F.col("a._s") == F.col("f._s")))
+    g = j.groupBy("case").agg(F.min(F.struct("tier", "day_gap", F.col("_b.gap").alias("gap"), F.col("_b._i").alias("_i"))).alias("_b"))
+    return g.select("case", F.col("_b._i.match").alias("match"), "_b.tier", "_b.day_gap", "_b.gap", *[F.col(f"_b._i.{c}").alias(c) for c in carry or []])
 
 
 def greedy_controls(commits: DataFrame, key: list[str], order: list[str], event: str, width: int = 400) -> DataFrame:

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapgrain.operators import boot, delta, entropy, history, learn, match, rank, signature, snapshot, stats
+from snapgrain.plans import composites  # noqa: F401
+from snapgrain.plans.catalog import QUERIES
 from snapgrain.sources import events
 
 DAY = datetime.date
@@ -113,6 +115,54 @@ def test_nearest_matches(spark):
         assert got.get(i) == ((abs(fits[0][2]), fits[0][0]) if fits else None)
 
 
+def joined(df) -> int:
+    """Rows that the largest join of df made, after its run."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        x = plans.pop()
+        name = x.nodeName()
+        if "Join" in name:
+            most = max(most, x.metrics().apply("numOutputRows").value())
+        children = x.children()
+        plans += [children.apply(i) for i in range(children.size())]
+        plans += [x.executedPlan()] if name == "AdaptiveSparkPlan" else [x.plan()] if "QueryStage" in name else []
+    return most
+
+
+def test_date_nearest_makes_no_pairs(spark):
+    rows = lambda first, n: spark.range(first, first + n).selectExpr("id", "id % 2 AS snap", "date_add(DATE'2020-01-01', CAST(id % 2 AS INT)) AS day", "40 + id % 3 AS s")
+    m = match.date_nearest(rows(0, 3000), rows(10000, 3000), "snap", "day", "s", "id")
+    assert m.count() == 3000 and joined(m) <= 3000
+    far = match.date_nearest(rows(0, 3000).where("snap = 0"), rows(10000, 3000).where("snap = 1"), "snap", "day", "s", "id")
+    assert [r.tier for r in far.select("tier").distinct().collect()] == [1] and far.count() == 1500 and joined(far) <= 1500
+
+
+def test_date_nearest_far_and_undated(spark):
+    rng = random.Random(9)
+    side = lambda first, n, snaps: [(first + i, rng.choice(snaps), rng.choice([None, *range(1, 29)]), rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 50, 66, 99, 100, 150, 227, 1000])) for i in range(n)]
+    for snaps in ("xyzu", "xx"):
+        cases, pool = side(0, 60, [*snaps, None]), side(100, 12, ["x", "v", None])
+        a, b = (spark.createDataFrame([(i, p, d and DAY(2020, 1, d), s) for i, p, d, s in x], "id long, snap string, day date, s long").withColumn("own", F.col("id") * 2) for x in (cases, pool))
+        got = {r.case: (r.match, r.tier, r.day_gap, r.gap, r.own) for r in match.date_nearest(a, b, "snap", "day", "s", "id", carry=["own"]).collect()}
+        want = {}
+        for i, snap, day, s in cases:
+            fits = [p for p in pool if s and p[3] and 0.66 * s <= p[3] <= 1.5 * s]
+            same = sorted((0, abs(p[3] - s), p[0]) for p in fits if snap and p[1] == snap)
+            near = sorted((abs(p[2] - day), abs(p[3] - s), p[0]) for p in fits if day and p[2])
+            if same or near:
+                g, gap, m = (same or near)[0]
+                want[i] = (m, 0 if same else 1, g, gap, 2 * m)
+        assert got == want
+    with pytest.raises(ValueError):
+        match.date_nearest(a, b, "snap", "day", "s", "id", 1.1, 1.5)
+
+
+def test_first_event_profile_reads_the_lines_before_it_matches(spark):
+    plan = QUERIES["q15_first_event_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "Relation" not in plan
+
+
 def test_snapshots_and_events(spark):
     p = spark.createDataFrame([(1, "a", 3, 1, None), (1, "b", 0, 2, 5), (2, "a2", 4, 0, 1)], "sha int, path string, loc long, risk_a long, risk_b long")
     assert [tuple(r) for r in snapshot.structural(p, ["risk_a", "risk_b"]).orderBy("sha", "path").collect()] == [(1, "a", 1, 3), (1, "b", 7, 0), (2, "a2", 1, 4)]
