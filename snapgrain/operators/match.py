@@ -16,11 +16,31 @@ def touched_spans(spans: DataFrame, hunks: DataFrame, key: list[str]) -> DataFra
 
 
 def nearest_sibling(cases: DataFrame, pool: DataFrame, key: list[str], size: str, ident: str, low: float = 0.66, high: float = 1.5) -> DataFrame:
-    """For each case the pool row of the same key with the nearest size within [low, high] times its own; ties go to the smaller ident."""
+    """For each case the pool row of the same key with the nearest size within [low, high] times its own; ties go to the smaller ident, and no ident matches itself.
+
+    The cases' sizes and the two smallest idents of each size of the pool meet in order of size, up and down, never as
+    pairs: beside a size stand the nearest row and the nearest of another ident, one of which is not the case.
+    """
+    if not low <= 1 <= high:
+        raise ValueError("the band must hold the size itself")
     a = cases.select(*key, F.col(ident).alias("case"), F.col(size).alias("_s"))
-    b = pool.select(*key, F.col(ident).alias("match"), F.col(size).alias("_t"))
-    j = a.join(b, key).where((F.col("_t") >= low * F.col("_s")) & (F.col("_t") <= high * F.col("_s")) & (F.col("case") != F.col("match")))
-    best = j.groupBy(*key, "case").agg(F.min(F.struct(F.abs(F.col("_t") - F.col("_s")).alias("gap"), "match")).alias("_b"))
+    b = pool.select(*key, F.col(size).alias("_s"), F.col(ident).alias("_i")).dropna(subset=[*key, "_s", "_i"])
+    few = b.withColumn("_rn", F.dense_rank().over(Window.partitionBy(*key, "_s").orderBy("_i"))).where("_rn <= 2").drop("_rn").distinct()
+    points = a.select(*key, "_s").dropna().distinct().withColumn("_i", F.lit(None).cast(b.schema["_i"].dataType))
+    d = points.withColumn("_side", F.lit(0)).unionByName(few.withColumn("_side", F.lit(1)))
+    for c, order in (("_down", F.asc("_s")), ("_up", F.desc("_s"))):
+        # of a size the larger ident comes first and the point last, so the last row of the pool before the point is the nearest
+        w = Window.partitionBy(*key).orderBy(order, F.desc("_side"), F.desc("_i"))
+        d = d.withColumn(c, F.last(F.when(F.col("_side") == 1, F.struct("_s", "_i")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        other = F.when((F.col("_side") == 1) & (F.col(f"{c}._i") != F.col("_i")), F.col(c))
+        d = d.withColumn(f"{c}2", F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    j = a.join(d.where("_side = 0").drop("_side", "_i"), [*key, "_s"])
+
+    def near(c):
+        return F.when(_fits(F.col(f"{c}._s"), low, high) & (F.col(f"{c}._i") != F.col("case")), F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.col(f"{c}._i").alias("match")))
+
+    j = j.withColumn("_b", F.least(*[near(c) for c in ("_down", "_down2", "_up", "_up2")])).where("_b is not null")
+    best = j.groupBy(*key, "case").agg(F.min("_b").alias("_b"))
     return best.select(*key, "case", F.col("_b.match").alias("match"), F.col("_b.gap").alias("gap"))
 
 

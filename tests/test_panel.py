@@ -138,6 +138,27 @@ def test_date_nearest_makes_no_pairs(spark):
     assert [r.tier for r in far.select("tier").distinct().collect()] == [1] and far.count() == 1500 and joined(far) <= 1500
 
 
+def test_nearest_sibling_makes_no_pairs_and_never_matches_itself(spark):
+    many = lambda first: spark.range(first, first + 4000).selectExpr("id", "id % 2 AS k", "100 + id % 5 AS s")
+    m = match.nearest_sibling(many(0), many(10000), ["k"], "s", "id")
+    assert m.count() == 4000 and joined(m) <= 4000
+    rng = random.Random(11)
+    for most in (3, 9, 200):  # few idents stand at many sizes
+        side = lambda n: [(rng.choice(["x", "y", None]), rng.choice([None, *range(most)]), rng.choice([None, *range(-2, 40)])) for _ in range(n)]
+        cases, pool = side(60), side(40)
+        cases += pool[:20]
+        a, b = (spark.createDataFrame(x, "k string, id long, s long") for x in (cases, pool))
+        got = {(r.k, r.case): (r.gap, r.match) for r in match.nearest_sibling(a, b, ["k"], "s", "id").collect()}
+        want = {}
+        for k, i, s in cases:
+            fits = [(abs(t - s), m) for q, m, t in pool if k and q == k and None not in (i, s, m, t) and m != i and 0.66 * s <= t <= 1.5 * s]
+            if fits:
+                want[k, i] = min(want.get((k, i), min(fits)), min(fits))
+        assert got == want
+    with pytest.raises(ValueError):
+        match.nearest_sibling(a, b, ["k"], "s", "id", 1.1)
+
+
 def test_date_nearest_far_and_undated(spark):
     rng = random.Random(9)
     side = lambda first, n, snaps: [(first + i, rng.choice(snaps), rng.choice([None, *range(1, 29)]), rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 50, 66, 99, 100, 150, 227, 1000])) for i in range(n)]
