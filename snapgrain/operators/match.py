@@ -50,26 +50,23 @@ def prefix_join(left: DataFrame, right: DataFrame, a: str, b: str, least: int =
     return j.where(F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a)))
 
 
-def sorted_neighbours(cases: DataFrame, pool: DataFrame, key: list[str], size: str, ident: str, low: float = 0.66, high: float = 1.5) -> DataFrame:
-    """(key, case, match, gap): for each case the pool row of its key with the nearest size within [low, high] times its own, which may serve many cases.
+def sorted_neighbours(cases: DataFrame, pool: DataFrame, key: list[str], size: str, ident: str, low: float = 0.66, high: float = 1.5, keep: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(key, case, match, gap, keep, carry): for each case the pool row of its key with the nearest size within [low, high] times its own, which may serve many cases.
 
-    One window over both in order of size finds the next row at or above and the next below; of two as near the one above
-    wins, of equal sizes above the smaller ident, below the larger.
+    Of two as near the one above wins, of equal sizes above the smaller ident, below the larger.  keep names columns of the
+    cases, carry of the pool, that come with their rows.
     """
-    row = lambda df, side: df.select(*key, F.col(size).alias("_s"), F.lit(side).alias("_side"), F.col(ident).alias("_i"))
-    both = row(cases, 0).unionByName(row(pool, 1))
-    # a case stands before pool rows of its size, so these are above it
-    w = Window.partitionBy(*key).orderBy("_s", "_side", "_i")
-    mine = F.when(F.col("_side") == 1, F.struct("_s", "_i"))
-    up, down = F.first(mine, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.last(mine, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = both.withColumns({"_up": up, "_down": down}).where("_side = 0")
+    if not low <= 1 <= high:
+        raise ValueError("the band must hold the size itself")
+    a = cases.select(*key, F.col(ident).alias("case"), F.col(size).alias("_s"), *(keep or []))
+    b = pool.select(*key, F.col(size).alias("_s"), F.struct(F.col(ident).alias("match"), *(carry or [])).alias("_i")).dropna(subset=[*key, "_s"])
+    few = b.groupBy(*key, "_s").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
 
     def near(c, after):
-        fits = (F.col(f"{c}._s") >= low * F.col("_s")) & (F.col(f"{c}._s") <= high * F.col("_s"))
-        return F.when(fits, F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.lit(after).alias("after"), F.col(f"{c}._i").alias("match")))
+        return F.when(_fits(F.col(f"{c}._s"), low, high), F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.lit(after).alias("after"), F.col(f"{c}._i").alias("_i")))
 
-    best = F.least(near("_up", 0), near("_down", 1))
-    return d.withColumn("_b", best).where("_b is not null").select(*key, F.col("_i").alias("case"), F.col("_b.match").alias("match"), F.col("_b.gap").alias("gap"))
+    points = _beside(a.select(*key, "_s").dropna().distinct(), few, key).withColumn("_b", F.least(near("_up", 0), near("_down", 1))).where("_b is not null").drop("_up", "_down")
+    return a.join(points, [*key, "_s"]).select(*key, "case", F.col("_b._i.match").alias("match"), F.col("_b.gap").alias("gap"), *(keep or []), *[F.col(f"_b._i.{c}").alias(c) for c in carry or []])
 
 
 def _beside(points: DataFrame, pool: DataFrame, key: list[str]) -> DataFrame:

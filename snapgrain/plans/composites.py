@@ -391,10 +391,8 @@ def q8_trajectories(spark, d):
 def q10_density_specificity(spark, d):
     """Files of one kind against the file of another kind nearest in size in the same snapshot: how often they carry more signals, and more for each line."""
     a = panel(spark, d).where("loc > 0").select("sha", "path", "loc", snapshot.total(["struct_branch", "state_pointers"]).alias("count")).withColumn("density", F.col("count") / F.col("loc"))
-    m = match.sorted_neighbours(a.where("path % 9 = 0"), a.where("path % 9 > 4"), ["sha"], "loc", "path")
-    own = a.select("sha", F.col("path").alias("case"), "count", "density")
-    other = a.select("sha", F.col("path").alias("match"), F.col("count").alias("c_count"), F.col("density").alias("c_density"))
-    j = m.join(own, ["sha", "case"]).join(other, ["sha", "match"])
+    pool = a.where("path % 9 > 4").withColumnsRenamed({"count": "c_count", "density": "c_density"})
+    j = match.sorted_neighbours(a.where("path % 9 = 0"), pool, ["sha"], "loc", "path", keep=["count", "density"], carry=["c_count", "c_density"])
     win = lambda c: F.when(F.col(c) > F.col(f"c_{c}"), 1.0).when(F.col(c) == F.col(f"c_{c}"), 0.5).otherwise(0.0)
     long = j.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), win(c).alias("win")) for c in ("count", "density")])))
     g = long.groupBy("measure").agg(F.count(F.lit(1)).alias("n"), F.avg("win").alias("win_rate"))

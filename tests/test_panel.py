@@ -159,6 +159,19 @@ def test_nearest_sibling_makes_no_pairs_and_never_matches_itself(spark):
         match.nearest_sibling(a, b, ["k"], "s", "id", 1.1)
 
 
+def test_sorted_neighbours_go_once_through_a_key(spark):
+    many = lambda first: spark.range(first, first + 4000).selectExpr("id", "id % 2 AS k", "100 + id % 5 AS s", "id * 3 AS own", "id * 5 AS other")
+    m = match.sorted_neighbours(many(0), many(10000), ["k"], "s", "id", keep=["own"], carry=["other"])
+    rows = m.collect()
+    assert len(rows) == 4000 and joined(m) <= 4000 and all(r.own == 3 * r.case and r.other == 5 * r.match for r in rows)
+    for df in (m, QUERIES["nearest_by_size"](spark, "/root/testdata/sf0.001"), QUERIES["q10_density_specificity"](spark, "/root/testdata/sf0.001")):
+        # Spark goes again through the rest of a frame without an end for each row
+        assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString()
+    a, b = (spark.createDataFrame(x, "k string, id long, s long") for x in ([("x", 1, 10), (None, 2, 10), ("x", 3, None), ("x", 4, 100), ("y", 5, 10)], [("x", 7, 11), ("x", 8, 9), ("x", 9, 9), ("x", 6, 11), (None, 1, 10), ("x", 2, None)]))
+    assert sorted(tuple(r) for r in match.sorted_neighbours(a, b, ["k"], "s", "id").collect()) == [("x", 1, 6, 1)]
+    assert [r.match for r in match.sorted_neighbours(a, b.where("s < 10"), ["k"], "s", "id").collect()] == [9]
+
+
 def test_date_nearest_far_and_undated(spark):
     rng = random.Random(9)
     side = lambda first, n, snaps: [(first + i, rng.choice(snaps), rng.choice([None, *range(1, 29)]), rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 50, 66, 99, 100, 150, 227, 1000])) for i in range(n)]
