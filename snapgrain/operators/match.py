@@ -1,4 +1,8 @@
-"""Overlap, nearest and prefix joins, each with an equality in its key."""
+"""Overlap, nearest and prefix joins, each with an equality in its key.
+
+The nearest joins give cases their sizes' neighbours by merging: cases and sizes grow with the input, and a small file of many
+rows would be sent through the driver.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +38,7 @@ def nearest_sibling(cases: DataFrame, pool: DataFrame, key: list[str], size: str
         d = d.withColumn(c, F.last(F.when(F.col("_side") == 1, F.struct("_s", "_i")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         other = F.when((F.col("_side") == 1) & (F.col(f"{c}._i") != F.col("_i")), F.col(c))
         d = d.withColumn(f"{c}2", F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    j = a.join(d.where("_side = 0").drop("_side", "_i"), [*key, "_s"])
+    j = a.join(d.where("_side = 0").drop("_side", "_i").hint("merge"), [*key, "_s"])
 
     def near(c):
         return F.when(_fits(F.col(f"{c}._s"), low, high) & (F.col(f"{c}._i") != F.col("case")), F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.col(f"{c}._i").alias("match")))
@@ -66,7 +70,7 @@ def sorted_neighbours(cases: DataFrame, pool: DataFrame, key: list[str], size: s
         return F.when(_fits(F.col(f"{c}._s"), low, high), F.struct(F.abs(F.col(f"{c}._s") - F.col("_s")).alias("gap"), F.lit(after).alias("after"), F.col(f"{c}._i").alias("_i")))
 
     points = _beside(a.select(*key, "_s").dropna().distinct(), few, key).withColumn("_b", F.least(near("_up", 0), near("_down", 1))).where("_b is not null").drop("_up", "_down")
-    return a.join(points, [*key, "_s"]).select(*key, "case", F.col("_b._i.match").alias("match"), F.col("_b.gap").alias("gap"), *(keep or []), *[F.col(f"_b._i.{c}").alias(c) for c in carry or []])
+    return a.join(points.hint("merge"), [*key, "_s"]).select(*key, "case", F.col("_b._i.match").alias("match"), F.col("_b.gap").alias("gap"), *(keep or []), *[F.col(f"_b._i.{c}").alias(c) for c in carry or []])
 
 
 def _beside(points: DataFrame, pool: DataFrame, key: list[str]) -> DataFrame:
@@ -116,7 +120,7 @@ def date_nearest(cases: DataFrame, pool: DataFrame, snapshot: str, date: str, si
     far = _beside(met, few("_at"), ["_at"]).groupBy("_day", "_s", "day_gap").agg(F.min(best).alias("_b"))
     found = own.where("_b is not null").select("_snap", "_day", "_s", F.lit(0).alias("tier"), F.lit(0).alias("day_gap"), "_b")
     found = found.unionByName(left.drop("_b").join(far, ["_day", "_s"]).withColumn("tier", F.lit(1)))
-    j = a.alias("a").join(found.alias("f"), F.col("a._snap").eqNullSafe(F.col("f._snap")) & F.col("a._day").eqNullSafe(F.col("f._day")) & (F.col("a._s") == F.col("f._s")))
+    j = a.alias("a").join(found.hint("merge").alias("f"), F.col("a._snap").eqNullSafe(F.col("f._snap")) & F.col("a._day").eqNullSafe(F.col("f._day")) & (F.col("a._s") == F.col("f._s")))
     g = j.groupBy("case").agg(F.min(F.struct("tier", "day_gap", F.col("_b.gap").alias("gap"), F.col("_b._i").alias("_i"))).alias("_b"))
     return g.select("case", F.col("_b._i.match").alias("match"), "_b.tier", "_b.day_gap", "_b.gap", *[F.col(f"_b._i.{c}").alias(c) for c in carry or []])
 

@@ -477,17 +477,17 @@ def q15_first_event_profile(spark, d):
     """Files just before their first event against files that never have one, of like size in the same snapshot, else in the nearest: is exposure the same within a tenth."""
     p, up = panel(spark, d), parents(spark, d)
     t = change(p, up).where("status = 'touched'").select("sha", "parent", F.col("old_path").alias("path"))
-    # a row a file at most: its first event's parent
+    # a row a file at most, too many for the driver: its first event's parent
     first = cut(t.groupBy("path").agg(F.min(F.struct("sha", "parent")).alias("_f")).select("path", F.col("_f.parent").alias("_before")))
     own = p.select(F.col("sha").alias("parent"), "path", "loc", snapshot.total(RISKS).alias("exposure")).join(F.broadcast(first.select(F.col("_before").alias("parent")).distinct()), "parent", "left_semi")
-    own = own.join(first, "path", "left").where("_before is null or _before = parent").withColumn("id", F.col("path") * 100000 + F.col("parent"))
+    own = own.join(first.hint("merge"), "path", "left").where("_before is null or _before = parent").withColumn("id", F.col("path") * 100000 + F.col("parent"))
     # one pass over the panel for both sides; of the others' files of a size in a snapshot, that with the smallest id is the one to be matched
     own = own.groupBy("parent", "loc", F.when(F.col("_before").isNotNull(), F.col("id")).alias("_case")).agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "exposure")).alias("_m"))
     own = cut(own.select("parent", "loc", "_case", "_m.id", "_m.exposure", F.date_add(F.lit("1970-01-01").cast("date"), F.col("parent")).alias("day")))
     cases = own.where("_case is not null")
     pool = own.where("_case is null").join(F.broadcast(cases.select("parent").distinct()), "parent", "left_semi").withColumnRenamed("exposure", "c")
     m = match.date_nearest(cases, pool, "parent", "day", "loc", "id", carry=["c"])
-    j = m.join(cases.select(F.col("id").alias("case"), F.col("exposure").alias("e")), "case")
+    j = m.join(cases.select(F.col("id").alias("case"), F.col("exposure").alias("e")).hint("merge"), "case")
     win = F.avg(F.when(F.col("e") > F.col("c"), 1.0).when(F.col("e") == F.col("c"), 0.5).otherwise(0.0)).alias("win_rate")
     g = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == 0).alias("same_snapshot"), F.median("e").alias("median_first"), F.median("c").alias("median_control"), win)
     return rounded(g.withColumn("verdict", F.when(F.abs(F.col("win_rate") - 0.5) <= 0.1, "EQUIVALENT").otherwise("DIFFERENT")), "median_first", "median_control", "win_rate")

@@ -172,6 +172,12 @@ def test_sorted_neighbours_go_once_through_a_key(spark):
     assert [r.match for r in match.sorted_neighbours(a, b.where("s < 10"), ["k"], "s", "id").collect()] == [9]
 
 
+def test_nearest_cases_are_not_broadcast(spark):
+    d = "/root/testdata/sf0.001"
+    for name in ("length_matched_pairs", "nearest_by_size", "q10_density_specificity"):
+        assert "BroadcastHashJoin" not in QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_date_nearest_far_and_undated(spark):
     rng = random.Random(9)
     side = lambda first, n, snaps: [(first + i, rng.choice(snaps), rng.choice([None, *range(1, 29)]), rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 50, 66, 99, 100, 150, 227, 1000])) for i in range(n)]
