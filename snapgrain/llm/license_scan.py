@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Phrases and their labels.
-PHRASES = [("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-# Openings of public license notices and their labels.
+# Phrases of the base columns and their labels.
+PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+# Openings of public license notices, a license's bare name, and their labels.
 NOTICES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
@@ -35,6 +35,7 @@ NOTICES = [
     ("licensed under cc by nc", "cc-by-nc"),
     ("released under the mit license", "mit"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("mit license", "mit"),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -137,6 +137,29 @@ def test_licenses(docs, bodies):
         assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(",")) | {""} and 0 <= got[i].score <= 1
 
 
+def test_license_base_columns_follow_the_contract(spark, tmp_path):
+    """The query's exact columns against a plain loop over the contract's own phrases; a bare name is the method's label only."""
+    from snapgrain.llm.queries import op5_license_scan
+
+    phrases = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+    rng = random.Random(9)
+    vocab = sorted({w for p, _ in phrases for w in p.split()}) + ["\u0130", "\u212a", "x\u00e9", "7", "\x00"]
+    bodies = [None, "", "the MIT License", "Mit license, mit LICENSE", "Under the MIT License", "under\x00the mit-license under the m\u0130t license", "\U0001f600 UNDER the MIT license\u212a", "cc by nc cc by cc by nc under the mit license apache license version 2.0"]
+    for _ in range(60):
+        w = [x for _ in range(rng.randrange(12)) for x in (rng.choice(phrases)[0].split() if rng.random() < 0.3 else [rng.choice(vocab)])]
+        bodies.append(" ".join(x.upper() if rng.random() < 0.2 else x for x in w))
+    spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(op5_license_scan(spark, str(tmp_path)))
+    for i, t in enumerate(bodies):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        hit = [(k, lab) for p, lab in phrases for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        places = [k for k, _ in hit]
+        base = ",".join(sorted({x for _, x in hit}))
+        assert (i, *(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels"))) == (i, len(w), len(hit), min(places, default=None), max(places, default=None), base)
+        assert set(base.split(",")) <= set(got[i].labels.split(",")) | {""}
+    assert [(got[i].base_labels, got[i].labels, got[i].score) for i in (2, 4)] == [("", "mit", 1.0), ("mit", "mit", 1.0)]
+
+
 def test_licenses_count_a_template_pair_once_in_a_span(spark):
     from snapgrain.llm.license_scan import scan
 
