@@ -4,6 +4,7 @@ import random
 import statistics
 
 import duckdb
+import numpy as np
 import pytest
 
 from snapgrain.operators import boot, cluster, harvest, resample, verdict
@@ -81,6 +82,58 @@ def test_pairs_are_drawn_without_a_join(spark, tmp_path):
         assert got == sorted((i, round(x, 6)) for i, x in duckdb.sql(f"WITH part AS (FROM {files}) SELECT * FROM ({ORACLE[name]})").fetchall())
 
 
+def explicit_pairs(pairs, i, seed):
+    """(auc, base_auc) of draw i by picking the pairs one by one and counting every positive against every control."""
+
+    def mix(x):
+        x = (x ^ x >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        x = (x ^ x >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        return x ^ x >> 16
+
+    whole = sorted(x for x in pairs if None not in x)
+    n = len(whole)
+    picked = [whole[n * mix(mix(k + 1) ^ mix(65536 * seed + i)) >> 32] for k in range(n)]
+    return [sum((x[a] > y[a + 1]) + 0.5 * (x[a] == y[a + 1]) for x in picked for y in picked) / n**2 for a in (0, 2)]
+
+
+def test_matched_pairs_against_explicit_resampling(spark):
+    rng = random.Random(4)
+    pairs = [tuple(None if rng.random() < 0.03 else float(rng.randrange(m)) for m in (9, 7, 4, 5)) for _ in range(40)]
+    pairs += pairs[:10]
+    df = spark.createDataFrame(pairs, "a double, b double, c double, d double")
+    got = {r.iter: r for r in resample.matched_draws(df.repartition(5), *"abcd", draws=30, seed=7, parts=4).collect()}
+    assert sorted(got) == list(range(30)) and len({r.auc for r in got.values()}) > 20
+    for i, r in got.items():
+        auc, base = explicit_pairs(pairs, i, 7)
+        assert (r.auc, r.base_auc, r.lift) == pytest.approx((auc, base, auc - base))
+    assert resample.matched_draws(df.limit(0), *"abcd", draws=3).count() == 0 and resample.matched_draws(df, *"abcd", draws=3).count() == 3
+    with pytest.raises(ValueError):
+        resample.matched_draws(df, *"abcd", draws=1 << 16)
+
+
+def test_matched_pairs_are_drawn_like_a_generator_does(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 4)) + [0.4, 0, 0.1, 0]
+    got = resample.matched_draws(spark.createDataFrame(v.tolist(), "a double, b double, c double, d double"), *"abcd", draws=2000).toPandas()
+    wins = [v[:, None, a] > v[None, :, a + 1] for a in (0, 2)]
+    w = rng.multinomial(300, np.full(300, 1 / 300), 2000)
+    auc, base = (((w @ m) * w).sum(1) / 300**2 for m in wins)
+    for name, x in (("auc", auc), ("base_auc", base), ("lift", auc - base)):
+        assert abs(got[name].mean() - x.mean()) < 0.1 * x.std() and 0.9 < got[name].std() / x.std() < 1.1
+
+
+def test_matched_pair_boot_is_the_pooled_lift(spark, tmp_path):
+    """Positives of a draw meet the controls of all its pairs, for price and for size, in 5000 draws; wins within own pairs are another statistic."""
+    rows = [(7 * k, 900.0 + 30 * (k * k % 11), 1 + k % 4) for k in range(25)]
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r[0]: r[1] for r in QUERIES["matched_pair_boot"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(f"{i}:{m}" for i in range(5000) for m in ("auc", "base_auc", "lift"))
+    pairs = [(price, 20.0 * size + 900, float(size), float(size + k % 3 - 1)) for k, price, size in rows]
+    for i in (0, 1, 17, 4999):
+        auc, base = explicit_pairs(pairs, i, 2982)
+        assert [got[f"{i}:{m}"] for m in ("auc", "base_auc", "lift")] == pytest.approx([auc, base, auc - base])
+
+
 def test_verdicts(spark):
     bands = spark.createDataFrame([("v", 0, True), ("v", 1, True), ("v", 2, True), ("v", 3, None), ("u", 0, True), ("u", 1, True)], "v string, b int, s boolean")
     got = {r.v: tuple(r)[1:] for r in verdict.band_headline(bands, ["v"], "s").collect()}
